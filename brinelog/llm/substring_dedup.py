@@ -157,7 +157,7 @@ def travelling_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     ["deal", "words", "suffixes", "places"],
                 )
 
-    return docs.select("d", "t", "text", "repeated", "crowded").mapInArrow(run, "deal long, words binary, suffixes int, places array<struct<d:long,t:long,at:long>>")
+    return docs.mapInArrow(run, "deal long, words binary, suffixes int, places array<struct<d:long,t:long,at:long>>")
 
 
 def deep_leaves(runs: list[tuple[bytes, int, int]], window: int) -> np.ndarray:
@@ -246,6 +246,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, group_limi
     keyed = rows.select("doc_id", "text", *doc_key())
     uses = piece_uses(keyed, window, gram)
     often = saved(uses.groupBy("piece").agg(F.sum("uses").alias("n")).where("n > 1"), "pieces")
+    # Both joins below read every column of `keyed`, so that texts are dealt out by document once and read twice.
     own = uses.select("d", "t", "piece").join(often, "piece")
     per_doc = own.groupBy("d", "t").agg(F.collect_list("piece").alias("repeated"), F.collect_list(F.when(F.col("n") > group_limit, F.col("piece"))).alias("crowded"))
     runs = travelling_runs(keyed.join(per_doc, ["d", "t"]), window, gram)

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _plain(value: object) -> object:
@@ -19,7 +20,7 @@ def _plain(value: object) -> object:
     return [_plain(v) for v in value]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON text with sorted keys, no spaces and numbers as text of twelve significant digits; null for what can't be read."""
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_km, wrap_lon
 
 MAX_GAP = 3600.0
-BEFORE = Window.partitionBy("mmsi").orderBy("t", "ordinal")
 
 
 def segments(track: DataFrame) -> DataFrame:
     """Each position with the one before it (p_*); a track's first position has none."""
-    lag = {f"p_{c}": F.lag(c).over(BEFORE) for c in ("t", "lat", "lon", "speed", "ordinal")}
-    return track.withColumns(lag).withColumn("first_segment", F.lag("t", 2).over(BEFORE).isNull()).where("p_t IS NOT NULL").withColumn("dt", F.col("t") - F.col("p_t"))
+    before = Window.partitionBy("mmsi").orderBy("t", "ordinal")
+    lag = {f"p_{c}": F.lag(c).over(before) for c in ("t", "lat", "lon", "speed", "ordinal")}
+    return track.withColumns(lag).withColumn("first_segment", F.lag("t", 2).over(before).isNull()).where("p_t IS NOT NULL").withColumn("dt", F.col("t") - F.col("p_t"))
 
 
 def at(moment, part: str):
@@ -101,11 +101,12 @@ def loitering(track: DataFrame, km: float = 2.0, least: float = 3600.0) -> DataF
                 dwell = t[i] - t[anchor]
                 break
         if dwell is None:
-            return pd.DataFrame({"mmsi": [], "code": [], "severity": [], "ratio": []})
+            return pd.DataFrame({"mmsi": [], "severity": [], "ratio": []})
         severity = min(1.0, dwell / 21600)
-        return pd.DataFrame({"mmsi": [pdf["mmsi"].iloc[0]], "code": ["loitering"], "severity": [severity], "ratio": [1 + 0.45 * severity]})
+        return pd.DataFrame({"mmsi": [pdf["mmsi"].iloc[0]], "severity": [severity], "ratio": [1 + 0.45 * severity]})
 
-    return track.groupBy("mmsi").applyInPandas(run, "mmsi long, code string, severity double, ratio double")
+    found = track.groupBy("mmsi").applyInPandas(run, "mmsi long, severity double, ratio double")
+    return found.select("mmsi", F.lit("loitering").alias("code"), "severity", "ratio")
 
 
 def anomalies(track: DataFrame, lat: float, lon: float) -> DataFrame:

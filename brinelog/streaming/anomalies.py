@@ -30,6 +30,6 @@ def pair_anomalies(positions: DataFrame) -> DataFrame:
                     found.append((int(key[0]), t, "ais_gap_long" if dt > 2700 else "ais_gap_short", min(1.0, dt / 60 / 180)))
             last = (float(t), float(speed))
         state.update(last)
-        yield pd.DataFrame(found, columns=["mmsi", "t", "code", "severity"])
+        yield pd.DataFrame(found, columns=["mmsi", "t", "code", "severity"]).astype({"code": object})
 
     return positions.groupBy("mmsi").applyInPandasWithState(run, OUT, "t double, speed double", "append", GroupStateTimeout.NoTimeout)

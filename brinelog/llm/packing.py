@@ -24,14 +24,17 @@ from .common import as_bytes
 
 CONTROLS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 SPACES = re.compile("[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-CACHED_CHUNKS = 300_000
+MARKS = ".,;:!?"
+CACHED_CHUNKS = 1_000_000
+TOKENIZERS: dict = {}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class ChunkTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit integers, remembering the ids of each white-space-separated chunk.
 
-    The tokenizer splits at white space before anything else, so a text's ids are its chunks' ids in order."""
+    The tokenizer splits at white space before anything else, so a text's ids are its chunks' ids in order. It also splits
+    between letters and what follows them and ignores the case of A-Z, so most chunks share the ids of a plain word."""
 
     def __init__(self, path: str, remember: int = CACHED_CHUNKS):
         from tokenizers import Tokenizer
@@ -40,31 +43,45 @@ class ChunkTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.remember, self.known = remember, {}
 
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > self.remember:
-            self.known.clear()
-        encoding = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        ids = np.array(encoding.ids, "<u4").tobytes()
-        ends = np.cumsum([len(c) + 1 for c in chunks])
-        starts = np.array([o[0] for o in encoding.offsets], np.int64)
-        cuts = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
-        for i, c in enumerate(chunks):
-            self.known[c] = ids[cuts[i] : cuts[i + 1]]
+    def learn(self, chunks: set[str]) -> None:
+        split = {}
+        for c in chunks:
+            word, mark = (c[:-1], c[-1]) if c[-1] in MARKS and c[:-1].isalpha() else (c, "")
+            split[c] = (word.lower() if word.isascii() and word.isalpha() else word, mark)
+        if new := list({x for parts in split.values() for x in parts if x and x not in self.known}):
+            encoding = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            ids = np.array(encoding.ids, "<u4").tobytes()
+            ends = np.cumsum([len(c) + 1 for c in new])
+            cuts = [0, *(4 * np.searchsorted(np.array([o[0] for o in encoding.offsets], np.int64), ends)).tolist()]
+            self.known.update((c, ids[cuts[i] : cuts[i + 1]]) for i, c in enumerate(new))
+        for c, (word, mark) in split.items():
+            if c not in self.known:
+                self.known[c] = self.known[word] + (self.known[mark] if mark else b"")
 
     def encode(self, utf8: bytes) -> bytes:
         text = utf8.decode()
         # str.split() also cuts at four control characters that are no white space to the tokenizer
         chunks = text.split() if not any(c in utf8 for c in CONTROLS) else [c for c in SPACES.split(text) if c]
-        if new := [c for c in set(chunks) if c not in self.known]:
+        if new := {c for c in chunks if c not in self.known}:
+            if len(self.known) + 2 * len(new) > self.remember and self.known:
+                self.known.clear()
+                new = set(chunks)
             self.learn(new)
         return b"".join(map(self.known.__getitem__, chunks))
 
 
+def worker_tokenizer(path: str) -> ChunkTokenizer:
+    """One tokenizer for each Python worker; what it remembers serves the worker's later tasks."""
+    if path not in TOKENIZERS:
+        TOKENIZERS[path] = ChunkTokenizer(path)
+    return TOKENIZERS[path]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """Pieces of every document's ids, each of at most `capacity`; the ids themselves stay in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = ChunkTokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        tokenizer, end = worker_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):

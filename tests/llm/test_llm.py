@@ -136,6 +136,15 @@ def test_packing(docs, texts, empty):
     assert packing.pack_documents(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_forgetting_changes_no_ids(texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    chunks = packing.ChunkTokenizer(path, remember=50)
+    for t in [*(t for t in texts[:60] if t), "And and, AND. it's, İ. ÉTÉ! a.b ... ?! <|endoftext|>."]:
+        assert chunks.encode(t.encode()) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_first_fit_decreasing_is_plain_first_fit():
     rng = np.random.default_rng(4)
     lengths = np.sort(rng.integers(1, 101, 300))[::-1]

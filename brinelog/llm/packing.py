@@ -46,7 +46,7 @@ class ChunkTokenizer:
     def learn(self, chunks: set[str]) -> None:
         split = {}
         for c in chunks:
-            word, mark = (c[:-1], c[-1]) if c[-1] in MARKS and c[:-1].isalpha() else (c, "")
+            word, mark = (c[:-1], c[-1]) if c[-1] in MARKS and c[:-1].isalpha() and c[:-1].lower().isalpha() else (c, "")
             split[c] = (word.lower() if word.isascii() and word.isalpha() else word, mark)
         if new := list({x for parts in split.values() for x in parts if x and x not in self.known}):
             encoding = self.tokenizer.encode(" ".join(new), add_special_tokens=False)

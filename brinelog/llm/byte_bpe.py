@@ -60,7 +60,12 @@ def let(value: Column, use) -> Column:
 
 
 def fold_merges(word: Column, maps: Column) -> Column:
-    """The ids of a word's bytes. State: the parts so far, and the rank of each part joined with the next."""
+    """The ids of a word's bytes. The literal map is bound once, or every mention of it would travel with each task."""
+    return let(maps, lambda bound: fold_with(word, bound))
+
+
+def fold_with(word: Column, maps: Column) -> Column:
+    """State of the fold: the parts so far, and the rank of each part joined with the next."""
 
     def rank(piece: Column) -> Column:
         return F.coalesce(rank_of(maps, piece), F.lit(NEVER))

@@ -6,7 +6,8 @@ which bounds the squared distance |q|^2 + |c|^2 - 2 q.c from below. The bound is
 and over more and narrower ones for what is left; survivors get their exact integer product.
 
 Queries meet candidates in blocks: each vector is dealt to one of the candidate blocks, each query to all blocks of
-queries times candidates, and the best k of every block are merged. Null vectors and vectors with a null or
+queries times candidates, and the best k of every block are merged. A vector travels once per block of the other side, so
+blocks are as large as a task's memory takes, and the coarse bounds are worked out for a strip of queries at a time. Null vectors and vectors with a null or
 non-finite component take no part; vectors of different length never meet; ties go to the smaller vec_id; rows that
 repeat a vec_id are candidates of their own, except that a query never meets a row of its own id. Products must stay
 below 2**53. Null vec_ids take no part. Extra columns and empty tables need no care.
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = (2, 8, 16)
+STRIP = 128
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -39,10 +41,11 @@ def block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
     c_ids, c = c_ids[order], c[order]
     levels = [(statistics(q, n), statistics(c, n)) for n in LEVELS]
     slack = 1e-9 * (np.linalg.norm(q, axis=1).max(initial=0) * np.linalg.norm(c, axis=1).max(initial=0)) + 1e-6
-    coarse = levels[0][0] @ levels[0][1].T
     found = []
     for i, query_id in enumerate(q_ids):
-        bound = coarse[i]
+        if i % STRIP == 0:
+            coarse = levels[0][0][i : i + STRIP] @ levels[0][1].T
+        bound = coarse[i % STRIP]
         bound[c_ids == query_id] = -np.inf
         near = np.argpartition(-bound, min(2 * k, len(bound)) - 1)[: 2 * k]
         near = near[bound[near] > -np.inf]
@@ -56,7 +59,7 @@ def block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
     return found
 
 
-def exact_topk(vectors: DataFrame, is_query, k: int = 5, candidate_block: int = 4096, query_block: int = 2048) -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query, k: int = 5, candidate_block: int = 1 << 15, query_block: int = 1 << 14) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best candidates, its own row left out."""
     x = F.transform("embedding", lambda v: F.floor(v.cast("double") * 256).cast("double"))
     usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))

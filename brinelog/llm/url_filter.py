@@ -7,8 +7,9 @@ started before it, takes off what has closed and keeps what its path fits. The l
 
 Null urls and urls without `://` have an empty host and path and fit no rule; no rule means `default`. Rules of
 equal length are taken by the greater text. Rule tables may be of any size; rules with null host or path are left
-out. Urls are dealt by hash over `lanes` sorted lanes, so that a hot host has no lane of its own, and the rules are
-copied into every lane. Extra columns, repeated rows and empty tables need no care.
+out. Urls are dealt by hash over `lanes` sorted lanes, or over 64 and more of about `lane_rows` urls each, so that a hot
+host has no lane of its own and lanes grow in number, not in length; the rules are copied into every lane. Extra
+columns, repeated rows and empty tables need no care.
 """
 
 from __future__ import annotations
@@ -61,8 +62,10 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     return opened.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("open", "rules"))).alias("stack"))
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", lanes: int = 64) -> DataFrame:
+def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", lanes: int | None = None, lane_rows: int = 1_000_000) -> DataFrame:
     """page_id, host, path, rule, verdict: one row per page."""
+    if lanes is None:
+        lanes = max(64, -(-pages.count() // lane_rows))
     host, path = parts(F.col("url").cast("string"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("lane", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(lanes)).cast("int")).withColumn("key", host_key(F.col("host")))
     stacks = rule_stacks(rules).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))

@@ -362,3 +362,59 @@ def test_pipeline(spark, tmp_path):
     assert not any(re.search(r"[0-9a-f]{32}", t) for t in texts["secrets"].values())
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in pieces.collect()} == ids
+
+
+def plain_shingles(text):
+    words = WORD.findall((text or "").encode().lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_keepers(rows, least=0.8):
+    """Row numbers kept of (doc_id, text): of each group connected by Jaccard >= 0.8 the smallest id (null last)."""
+    sets = [plain_shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 0.8 * max(len(sets[i]), len(sets[j])) <= min(len(sets[i]), len(sets[j])) and sets[i] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            root[find(j)] = find(i)
+    best = {}
+    for i, (k, _) in enumerate(rows):
+        best[find(i)] = min(best.get(find(i), (True, 1 << 62, i)), (k is None, k or 0, i))
+    return {i for *_, i in best.values()}
+
+
+def test_near_copies_go_by_five_word_jaccard(spark):
+    import corpus_pipeline
+
+    random.seed(5)
+    words = lambda n: [f"w{random.randrange(5000)}" for _ in range(n)]
+    rows = [(i, " ".join(words(random.randrange(3, 300)))) for i in range(60)]
+    base = words(200)
+    for i in range(150):  # one large group, a few words changed in each
+        own = list(base)
+        for at in random.sample(range(200), i % 4):
+            own[at] = f"v{i}-{at}"
+        rows.append((1000 + i, " ".join(own)))
+    for i in range(60):  # planted pairs on either side of the limit
+        text = words(120)
+        far = text[: 120 - i % 30] + words(i % 30)
+        rows += [(2000 + 2 * i, " ".join(text)), (2001 + 2 * i, "  ".join(far).upper())]
+    rows += [(None, "null ids are no group of their own " + str(i) * 9) for i in range(3)] + [(7, " ".join(words(80))), (7, rows[7][1] + " one more"), (8, None), (9, " ")]
+    frame = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, n int")
+    got, want = {r.n for r in corpus_pipeline.near_copies(spark, frame, SF).collect()}, plain_keepers(rows)
+    assert got == want and len(want) < len(rows) - 150
+    assert corpus_pipeline.near_copies(spark, frame.limit(0), SF).count() == 0
+
+
+def test_near_copies_of_the_tables_recall(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {rows[i][0] for i in plain_keepers(rows)}
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()} == want

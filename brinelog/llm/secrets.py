@@ -1,12 +1,13 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Base spans come from three patterns (assign, access, hex), leftmost and non-overlapping per kind. The method adds
-spans of kind `owned`: long mixed tokens without a telling name or shape that only one owner in the whole corpus
-has. Every candidate's hash is counted over the corpus by distinct owners (the source) and repositories (the
-document); a value that `copied_owners` owners or more share is a widely copied example, any other one is
-specific to its owners and looks live.
+spans of kind `owned`: long mixed tokens without a telling name or shape that look live by the corpus. Every
+candidate's hash is counted over the corpus by distinct owners (the source) and repositories (the document); a value
+that `copied_owners` owners or `copied_repositories` repositories or more share is a widely copied example, any other
+one is specific to its owners and looks live.
 
-Null text counts as empty (no spans). Offsets are code points, end exclusive. Null owners count as one owner.
+Null text counts as empty (no spans). Offsets are code points, end exclusive. Null owners count as one owner; a row
+without doc_id is a repository of its own.
 Repeated rows are rows of their own. An empty table gives an empty result; extra columns are ignored.
 """
 
@@ -96,25 +97,28 @@ def scan(docs: DataFrame, owner: str = "source") -> DataFrame:
 
 
 def ownership(rows: DataFrame) -> DataFrame:
-    """hash, n_owners, n_repositories over the whole corpus; owners are distinct before they meet, so a copied value costs a row per owner."""
-    each = rows.select("owner", "doc_id", F.explode("spans").alias("s")).select(F.col("s.hash").alias("hash"), "owner", "doc_id")
+    """hash, n_owners, n_repositories over the whole corpus.
+
+    Repositories are made distinct first, then counted by owner, then added up, so no value's uses meet in one place."""
+    repository = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")).alias("row"))
+    each = rows.select("owner", repository.alias("repository"), F.explode("spans").alias("s")).select(F.col("s.hash").alias("hash"), "owner", "repository").distinct()
     per_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return per_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_uses"))
+    return per_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def judged_spans(docs: DataFrame, owner: str = "source", copied_owners: int = 4) -> tuple[DataFrame, DataFrame]:
-    """The scan's rows, and (row, kind, start, stop, n_owners, live) of each span; owned tokens only where they look live."""
+def judged_spans(docs: DataFrame, owner: str = "source", copied_owners: int = 4, copied_repositories: int = 16) -> tuple[DataFrame, DataFrame]:
+    """The scan's rows, and (row, kind, start, stop, n_owners, n_repositories, live) of each span; owned tokens only where they look live."""
     rows = saved(scan(docs, owner), "secrets")
     owners = saved(ownership(rows), "owners")
     each = rows.select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    spans = each.join(owners, "hash").withColumn("live", F.col("n_owners") < copied_owners)
-    spans = spans.where((F.col("kind") < 3) | (F.col("n_owners") == 1))
+    spans = each.join(owners, "hash").withColumn("live", (F.col("n_owners") < copied_owners) & (F.col("n_repositories") < copied_repositories))
+    spans = spans.where((F.col("kind") < 3) | F.col("live"))
     return rows, spans
 
 
-def secret_scan(docs: DataFrame, owner: str = "source", copied_owners: int = 4) -> DataFrame:
+def secret_scan(docs: DataFrame, owner: str = "source", copied_owners: int = 4, copied_repositories: int = 16) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied: one row per document."""
-    rows, spans = judged_spans(docs, owner, copied_owners)
+    rows, spans = judged_spans(docs, owner, copied_owners, copied_repositories)
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     told = spans.select("row", "live", F.struct("start", "kind", F.concat_ws(":", name, F.col("start").cast("string"), F.col("stop").cast("string")).alias("said")).alias("s"))
     listed = told.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("s"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"))
@@ -128,11 +132,11 @@ def secret_scan(docs: DataFrame, owner: str = "source", copied_owners: int = 4)
     )
 
 
-def redact(docs: DataFrame, owner: str = "source", copied_owners: int = 4) -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", copied_owners: int = 4, copied_repositories: int = 16) -> DataFrame:
     """The documents with every span replaced: live-looking values by [SECRET], widely copied ones by [EXAMPLE].
 
     Documents without spans are untouched. Rows that repeat a doc_id are redacted by their own text's spans."""
-    rows, spans = judged_spans(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), owner, copied_owners)
+    rows, spans = judged_spans(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), owner, copied_owners, copied_repositories)
     cuts = spans.join(rows.select("row", F.col("doc_id").alias("key")), "row").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "live"))).alias("cuts"))
     cuts = saved(cuts, "cuts")
     joined = docs.withColumn("key", F.xxhash64("doc_id", "text")).join(cuts, "key", "left")

@@ -39,6 +39,7 @@ class ContextModel:
     classes: np.ndarray
     deep: np.ndarray
     cost: np.ndarray
+    sampled: int = 0  # bytes learned from in the language with the fewest
 
     def code_lengths(self, text: bytes) -> np.ndarray:
         """Total code length of a text under each language. A text is taken to follow three line ends."""
@@ -89,7 +90,7 @@ def fit(texts: dict[str, list[bytes]], deep_contexts: int = 8192) -> ContextMode
         p3 = blend(np.bincount(row * n + after, minlength=len(keys) * n).reshape(len(keys), n), p2[keys % (n * n)])
         tables.append(np.concatenate([p2, p3]))
     cost = -np.log(np.stack(tables, -1)).reshape(-1, len(languages)).astype(np.float32) if languages else np.zeros((n * n * n, 0), np.float32)
-    return ContextModel(languages, classes, deep, cost)
+    return ContextModel(languages, classes, deep, cost, min((len(v) for v in joined.values()), default=0))
 
 
 def learn(docs: DataFrame, sample: int = 400) -> ContextModel:
@@ -128,6 +129,26 @@ def predict(docs: DataFrame, model: ContextModel, *keep: str) -> DataFrame:
     return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double")
 
 
+def in_some_language(docs: DataFrame, model: ContextModel, start: int = 16, enough: int = 1 << 15) -> DataFrame:
+    """The documents with a letter whose shortest code is no longer than the plain one of 8 bits a byte.
+
+    `start` bytes are free, since a text's first bytes tell little. A model without languages, or with fewer than
+    `enough` sampled bytes in one of them, can't reject a text: then every document with a letter stays."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+
+    def stays(text: bytes | None, model: ContextModel) -> bool:
+        if not text or not LETTER.search(text.decode()):
+            return False
+        return not model.languages or model.sampled < enough or float(model.code_lengths(text).min()) <= float(np.log(256)) * (len(text) + start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = pa.array([stays(text, shared.value) for text in as_bytes(batch.column(batch.num_columns - 1))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in batch.columns[:-1]], names)
+
+    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, sample: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per document."""
     return predict(docs, learn(docs, sample), "doc_id").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, drift_velocity, haversine_km, wrap_lon
+from .fields import nearest_hour
+
+FIELD = ("wind", "wind_from", "current", "current_to")
 
 
 def trajectory(starts: DataFrame, hours: float = 24.0, step_hours: float = 1.0, direction: int = -1, windage: float = 0.03) -> DataFrame:
@@ -26,26 +29,47 @@ def trajectory(starts: DataFrame, hours: float = 24.0, step_hours: float = 1.0,
     return moved.withColumn("end", end).select(*starts.columns, F.col("end.lat").alias("end_lat"), F.col("end.lon").alias("end_lon"))
 
 
+def step_fields(cases: DataFrame, hourly: DataFrame) -> DataFrame:
+    """The cases with steps (an array with each hour's field, backward from t; null where no hour is near enough) and
+    degraded_steps, how many are null. Single nulls of an hour are filled from the case's own field.
+
+    Fields (hour, wind, wind_from, current, current_to) are looked up once for each distinct moment, not for each case."""
+    n = F.greatest(F.lit(1), F.rint("hours")).cast("int")
+    each = cases.select("case_id", *FIELD, "t", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).withColumn("at", F.col("t") - F.col("k") * 3600.0)
+    moments = each.select(F.col("at").alias("probe_id"), F.col("at").alias("t")).distinct()
+    near = nearest_hour(moments, hourly).select(F.col("probe_id").alias("at"), "hour", *[F.col(f).alias(f"near_{f}") for f in FIELD])
+    field = F.struct(*[F.coalesce(f"near_{f}", f).cast("double").alias(f) for f in FIELD])
+    met = each.join(near, "at", "left").withColumn("field", F.when(F.col("hour").isNotNull(), field))
+    steps = met.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("k", "field"))).alias("s"), F.count_if(F.col("hour").isNull()).alias("degraded_steps"))
+    return cases.join(steps.select("case_id", F.transform("s", lambda x: x.field).alias("steps"), "degraded_steps"), "case_id")
+
+
 def ensemble(cases: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
     """Monte Carlo hindcast of each case (case_id, lat, lon, t, wind, wind_from, current, current_to, hours): case_id,
-    particle_id, lat, lon, t, windage. The random streams are seeded by seed + case's order key, so any re-run is the same."""
+    particle_id, lat, lon, t, windage. The random streams are seeded by seed + case's order key, so any re-run is the same.
+
+    A case may bring `steps`, the field of each hour back from t (see step_fields): a step without one holds the field
+    before it. Each particle's errors are drawn once and applied to the step's own field."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf.iloc[0]
         rng = np.random.default_rng(seed + int(c["case_id"]))
         steps, dt = max(1, round(float(c["hours"]))), 3600.0
-        wind = c["wind"] * np.maximum(0.0, 1.0 + rng.normal(0.0, 0.20, n))
-        wind_from = np.radians(c["wind_from"] + rng.normal(0.0, 15.0, n))
-        current = c["current"] * np.maximum(0.0, 1.0 + rng.normal(0.0, 0.30, n))
-        current_to = np.radians(c["current_to"] + rng.normal(0.0, 20.0, n))
+        wind_error, from_error = np.maximum(0.0, 1.0 + rng.normal(0.0, 0.20, n)), rng.normal(0.0, 15.0, n)
+        current_error, to_error = np.maximum(0.0, 1.0 + rng.normal(0.0, 0.30, n)), rng.normal(0.0, 20.0, n)
         windage = np.clip(rng.normal(0.03, 0.005, n), 0.0, 0.10)
         release = np.minimum(np.clip(np.round(rng.normal(steps, 0.15 * steps, n)).astype(int), 1, 2 * steps), steps)
         turn = np.radians(-15.0 if c["lat"] >= 0 else 15.0)
-        e, north = -wind * np.sin(wind_from), -wind * np.cos(wind_from)
-        ve = current * np.sin(current_to) + windage * (e * np.cos(turn) - north * np.sin(turn))
-        vn = current * np.cos(current_to) + windage * (e * np.sin(turn) + north * np.cos(turn))
+        field, own = {f: float(c[f]) for f in FIELD}, c["steps"] if "steps" in pdf.columns and c["steps"] is not None else ()
         lat, lon, degrees, spread = np.full(n, float(c["lat"])), np.full(n, float(c["lon"])), 180 / np.pi, math.sqrt(2 * 5.0 * dt)
         for k in range(steps):
+            if k < len(own) and own[k] is not None:
+                field = own[k]
+            wind, wind_from = field["wind"] * wind_error, np.radians(field["wind_from"] + from_error)
+            current, current_to = field["current"] * current_error, np.radians(field["current_to"] + to_error)
+            e, north = -wind * np.sin(wind_from), -wind * np.cos(wind_from)
+            ve = current * np.sin(current_to) + windage * (e * np.cos(turn) - north * np.sin(turn))
+            vn = current * np.cos(current_to) + windage * (e * np.sin(turn) + north * np.cos(turn))
             half = np.clip(lat - vn * dt / EARTH_M * degrees / 2, -89.5, 89.5)
             shrink = EARTH_M * np.cos(np.radians(half))
             dlat = -(vn * dt) / EARTH_M * degrees + rng.normal(0.0, spread, n) / EARTH_M * degrees

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..llm.common import saved
 from ..operators import drift as D
 from ..operators import fields
 from ..sources.adapters import hourly_fields, particles, table
@@ -97,7 +98,9 @@ def nearest_half_particles(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def ensemble_hindcast(spark: SparkSession, sf: str) -> DataFrame:
     cases = starts(spark, sf).select(F.col("particle_id").alias("case_id"), "lat", "lon", "t", "wind", "wind_from", "current", "current_to", F.lit(24.0).alias("hours"))
-    return D.radii(D.ensemble(cases, n=200), "case_id")
+    hourly = fields.joined_fields(*hourly_fields(spark, sf)).withColumns({"wind": F.col("wind") / 10, "current": F.col("current") / 100})  # events' values as speeds at sea
+    cases = saved(D.step_fields(cases, hourly), "cases")
+    return D.radii(D.ensemble(cases), "case_id").join(cases.select("case_id", "degraded_steps"), "case_id")
 
 
 @query()

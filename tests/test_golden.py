@@ -148,3 +148,27 @@ def test_stream_gives_the_batch_anomalies(spark, tmp_path):
     q.stop()
     drops = tracks.speed_drops(positions(spark, "/root/testdata/sf0.001")).count()
     assert spark.sql("SELECT * FROM found WHERE code = 'speed_drop'").count() == drops > 0
+
+
+def test_ensemble_takes_each_steps_own_field(spark):
+    cases = spark.createDataFrame([(1, 19.0, 72.0, T0, 4.0, 225.0, 0.1, 90.0, 6.0)], "case_id long, lat double, lon double, t double, wind double, wind_from double, current double, current_to double, hours double")
+    hour = int(T0 // 3600)
+    schema = "hour long, wind double, wind_from double, current double, current_to double"
+    told = drift.step_fields(cases, spark.createDataFrame([(hour - k, 8.0, 0.0, None if k == 2 else 0.5, 10.0 * k) for k in range(6)], schema)).first()
+    assert [(s.wind, s.current, s.current_to) for s in told.steps] == [(8.0, 0.1 if k == 2 else 0.5, 10.0 * k) for k in range(6)] and told.degraded_steps == 0
+    alike = drift.step_fields(cases, spark.createDataFrame([(hour - k, 4.0, 225.0, 0.1, 90.0) for k in range(6)], schema))
+    spot = lambda c: [(r.lat, r.lon) for r in drift.ensemble(c).orderBy("particle_id").collect()]
+    assert spot(alike) == spot(cases)
+    turned = drift.step_fields(cases, spark.createDataFrame([(hour - k, 4.0, 225.0, 0.1, 90.0 + 180 * (k > 2)) for k in range(6)], schema))
+    assert spot(turned) != spot(cases)
+    none = drift.step_fields(cases, spark.createDataFrame([(hour - 99, 8.0, 0.0, 0.5, 0.0)], schema))
+    assert none.first().degraded_steps == 6 and spot(none) == spot(cases)
+
+
+def test_ensemble_query_draws_the_default_number_of_particles(spark, monkeypatch):
+    from brinelog.plans import weather
+
+    drawn, ensemble = [], drift.ensemble
+    monkeypatch.setattr(weather.D, "ensemble", lambda cases, n=500, seed=42: drawn.append((n, "steps" in cases.columns)) or ensemble(cases, n, seed))
+    assert weather.ensemble_hindcast(spark, "/root/testdata/sf0.001").count() > 0
+    assert drawn == [(500, True)]

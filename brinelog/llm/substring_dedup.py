@@ -9,8 +9,9 @@ Which part of the prefix deals a suffix out varies in length. By default it is t
 suffix's first `window` words (by a hash): suffixes that agree on `window` words agree on it, and suffixes that follow
 each other mostly share it, so they travel as one run of words instead of `window` words each. Pieces that occur once
 in the corpus can't lie in a repeat; they are counted first and their suffixes never travel. Where a piece occurs more
-than `group_limit` times, its suffixes are dealt by their whole prefix of `window` words instead, so that no group
-outgrows memory; equal runs are folded into one with a list of places before they are shuffled.
+than `group_limit` times, its suffixes are dealt by their whole prefix of `window` words instead. Such a group is one
+window, whose tree is a count: they are counted by partial sums and joined back to their places, and no task holds a
+window's places. Equal runs of a batch are folded into one with a list of places before they are shuffled.
 
 Words are [^\\x20\\x09-\\x0D]+ of the whole text, unchanged; null text has none. Words are compared as bytes, hashes
 only deal suffixes out. Rows that repeat are documents of their own (and so repeat all their windows). Empty and
@@ -127,7 +128,9 @@ def piece_uses(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def travelling_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(deal, words, suffixes, places): runs of suffixes under repeated pieces; equal runs of a batch are one row."""
+    """(deal, words, suffixes, whole, places): runs of suffixes under repeated pieces; equal runs of a batch are one row.
+
+    Under crowded pieces (whole) each window is a run of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,20 +147,20 @@ def travelling_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
                         at = np.arange(a, b)
                         prefix = slices_hash(words, at, at + window).tolist()
                         for j, h in zip(range(a, b), prefix, strict=True):
-                            places[h, b" ".join(text[starts[j] : ends[j + window - 1]].split()), 1].append((d, t, j))
+                            places[h, b" ".join(text[starts[j] : ends[j + window - 1]].split()), 1, True].append((d, t, j))
                         continue
                     for j in range(a, b, RUN_LIMIT):
                         e = min(b, j + RUN_LIMIT)
-                        places[k, b" ".join(text[starts[j] : ends[e + window - 2]].split()), e - j].append((d, t, j))
+                        places[k, b" ".join(text[starts[j] : ends[e + window - 2]].split()), e - j, False].append((d, t, j))
             if places:
-                deal, words_, n = zip(*places, strict=True)
+                deal, words_, n, whole = zip(*places, strict=True)
                 kind = pa.list_(pa.struct([("d", pa.int64()), ("t", pa.int64()), ("at", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(deal, np.uint64).view(np.int64)), pa.array(words_, pa.binary()), pa.array(n, pa.int32()), pa.array([[{"d": d, "t": t, "at": j} for d, t, j in p] for p in places.values()], kind)],
-                    ["deal", "words", "suffixes", "places"],
+                    [pa.array(np.array(deal, np.uint64).view(np.int64)), pa.array(words_, pa.binary()), pa.array(n, pa.int32()), pa.array(whole, pa.bool_()), pa.array([[{"d": d, "t": t, "at": j} for d, t, j in p] for p in places.values()], kind)],
+                    ["deal", "words", "suffixes", "whole", "places"],
                 )
 
-    return docs.mapInArrow(run, "deal long, words binary, suffixes int, places array<struct<d:long,t:long,at:long>>")
+    return docs.mapInArrow(run, "deal long, words binary, suffixes int, whole boolean, places array<struct<d:long,t:long,at:long>>")
 
 
 def deep_leaves(runs: list[tuple[bytes, int, int]], window: int) -> np.ndarray:
@@ -189,6 +192,13 @@ def deep_leaves(runs: list[tuple[bytes, int, int]], window: int) -> np.ndarray:
     return leaves[node[leaf]] >= 2
 
 
+def repeated_windows(runs: DataFrame, window: int) -> DataFrame:
+    """(d, t, first, stop) of the windows under crowded pieces that occur at two places or more."""
+    often = runs.groupBy("deal", "words").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("deal", "words")
+    each = runs.select("deal", "words", "places").join(saved(often, "windows"), ["deal", "words"], "left_semi").select(F.explode("places").alias("p"))
+    return each.select("p.d", "p.t", F.col("p.at").alias("first"), (F.col("p.at") + window).alias("stop"))
+
+
 def repeats(runs: DataFrame, window: int) -> DataFrame:
     """(d, t, first, stop): stretches of words of a document whose windows also start elsewhere."""
 
@@ -250,6 +260,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, group_limi
     own = uses.select("d", "t", "piece").join(often, "piece")
     per_doc = own.groupBy("d", "t").agg(F.collect_list("piece").alias("repeated"), F.collect_list(F.when(F.col("n") > group_limit, F.col("piece"))).alias("crowded"))
     runs = travelling_runs(keyed.join(per_doc, ["d", "t"]), window, gram)
-    found = repeats(runs, window).groupBy("d", "t").agg(F.collect_list(F.struct("first", "stop")).alias("stretches"))
+    runs = saved(runs, "runs")
+    trees = repeats(runs.where("NOT whole").select("deal", "words", "suffixes", "places"), window)
+    found = trees.union(repeated_windows(runs.where("whole"), window)).groupBy("d", "t").agg(F.collect_list(F.struct("first", "stop")).alias("stretches"))
     out = cut(keyed.join(found, ["d", "t"], "left"))
     return out if texts else out.drop("kept")

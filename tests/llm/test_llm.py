@@ -444,3 +444,17 @@ def test_secrets_count_repositories(spark):
     assert got[101].spans == "owned:3:29" and got[101].n_live == 1 and got[200].n_live == 40
     clean = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
     assert clean[5] == "[EXAMPLE]" and clean[101] == "id [SECRET] end"
+
+
+def test_no_tree_task_holds_a_crowded_windows_places(spark, monkeypatch):
+    random.seed(11)
+    some = lambda n: " ".join(f"w{random.randrange(9000)}" for _ in range(n))
+    passage = some(50)
+    own = lambda i, n: " ".join(f"u{i}-{n}-{k}" for k in range(n))
+    texts = [f"{own(i, i % 20)} {passage} {own(i, i % 30)}" for i in range(300)] + [some(40)] + ["y " * 36] * 2
+    frame, seen, repeats = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), [], substring_dedup.repeats
+    monkeypatch.setattr(substring_dedup, "repeats", lambda runs, window: seen.append(runs) or repeats(runs, window))
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(frame, group_limit=20).collect()}
+    assert {got[i] for i in range(300)} == {50} and got[300] == 0 and got[301] == got[302] == 36
+    held = seen[0].selectExpr("deal", "size(places) AS n").groupBy("deal").sum("n").collect()
+    assert all(r[1] <= 20 for r in held)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..llm.common import saved
 from ..operators import drift as D
 from ..operators import fields
+from ..sources.written import saved
 from ..sources.adapters import hourly_fields, particles, table
 from .sql import HOURS, PARTICLES, hav, wrap
 from .tracks import r6

@@ -1,13 +1,12 @@
-"""Shared helpers: table reading, written intermediate tables, null-safe byte access to text."""
+"""Shared helpers: table reading, null-safe byte access to text; written tables come from the sources."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.written import saved, shared_folder  # noqa: F401
+
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -15,25 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once as a table in the shared folder and reads it back.
-
-    Later reads then survive lost executors without recomputing what led here, and a join over the table
-    has plain exchanges on both sides, which adaptive execution can split where a key is hot."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.binary()).to_pylist()

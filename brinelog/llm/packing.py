@@ -5,7 +5,9 @@ ids. Pieces are dealt into random groups of about `group_pieces`, whose number f
 packed on its own: pieces by falling length, each into the first sequence that still has room. The tree over
 sequences holds the largest free room of every subtree, so a placement takes a walk from root to leaf.
 
-An empty table gives an empty result; repeated rows are packed as documents of their own; extra columns are ignored.
+Ids are those of the library with its own settings, its added tokens in a text included. An empty table gives an empty
+result; repeated rows are packed as documents of their own (of equal lengths the order among them is free); extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -17,63 +19,130 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
-
 CONTROLS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 SPACES = re.compile("[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-MARKS = ".,;:!?"
-CACHED_CHUNKS = 1_000_000
+# A chunk of letters of ASCII and Latin-1 before ASCII marks: either is one part to the tokenizer, whatever its case. Those
+# letters stay as they are in every normal form and nobody disputes their small forms; the apostrophe joins what follows.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*$"
+REMEMBERED_PARTS = 1_000_000
+SLICE_BYTES = 16 << 20
 TOKENIZERS: dict = {}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class ChunkTokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit integers, remembering the ids of each white-space-separated chunk.
+def ragged(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """values[s : s + n] of all slices, strung together."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class PartTokenizer:
+    """Ids of whole texts, a slice of a column at a time, remembering the ids of each part.
 
     The tokenizer splits at white space before anything else, so a text's ids are its chunks' ids in order. It also splits
-    between letters and what follows them and ignores the case of A-Z, so most chunks share the ids of a plain word."""
+    between letters and marks, so most chunks are a word and a run of marks, each of which is looked up in small letters.
+    Of such parts the last id alone ends a word, so the ids of many parts are told apart without offsets. Texts that hold
+    one of the tokenizer's added tokens, which may stand anywhere in a chunk, go to the tokenizer whole; so do those with
+    control characters that are white space to the splitting here and not to the tokenizer."""
 
-    def __init__(self, path: str, remember: int = CACHED_CHUNKS):
+    def __init__(self, path: str, remember: int = REMEMBERED_PARTS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.remember, self.known = remember, {}
-
-    def learn(self, chunks: set[str]) -> None:
-        split = {}
-        for c in chunks:
-            word, mark = (c[:-1], c[-1]) if c[-1] in MARKS and c[:-1].isalpha() and c[:-1].lower().isalpha() else (c, "")
-            split[c] = (word.lower() if word.isascii() and word.isalpha() else word, mark)
-        if new := list({x for parts in split.values() for x in parts if x and x not in self.known}):
-            encoding = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            ids = np.array(encoding.ids, "<u4").tobytes()
-            ends = np.cumsum([len(c) + 1 for c in new])
-            cuts = [0, *(4 * np.searchsorted(np.array([o[0] for o in encoding.offsets], np.int64), ends)).tolist()]
-            self.known.update((c, ids[cuts[i] : cuts[i + 1]]) for i, c in enumerate(new))
-        for c, (word, mark) in split.items():
-            if c not in self.known:
-                self.known[c] = self.known[word] + (self.known[mark] if mark else b"")
-
-    def encode(self, utf8: bytes) -> bytes:
-        text = utf8.decode()
-        # str.split() also cuts at four control characters that are no white space to the tokenizer
-        chunks = text.split() if not any(c in utf8 for c in CONTROLS) else [c for c in SPACES.split(text) if c]
-        if new := {c for c in chunks if c not in self.known}:
-            if len(self.known) + 2 * len(new) > self.remember and self.known:
-                self.known.clear()
-                new = set(chunks)
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, chunks))
-
-
-def worker_tokenizer(path: str) -> ChunkTokenizer:
+        self.special = (*CONTROLS, *(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.remember = remember
+        self.forget()
+
+    def forget(self) -> None:
+        """The places in `ids` of each part; part 0 is the empty one."""
+        self.known, self.size = {"": 0}, 0
+        self.ids, self.starts, self.lengths = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def add(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        at, n = len(self.known), len(self.known) + len(parts)
+        while len(self.ids) < self.size + len(ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while len(self.starts) < n:
+            self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
+        self.ids[self.size : self.size + len(ids)] = ids
+        self.starts[at:n], self.lengths[at:n] = self.size + np.cumsum(lengths) - lengths, lengths
+        self.size += len(ids)
+        self.known.update(zip(parts, range(at, n), strict=True))
+
+    def learn(self, parts: list[str], single: bool) -> None:
+        """Learns new parts; single: each is one piece to the tokenizer."""
+        if not parts:
+            return
+        if single:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+        else:
+            encoding = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+            ids = np.array(encoding.ids, "<u4")
+            stops = np.searchsorted(np.array([o[0] for o in encoding.offsets], np.int64), np.cumsum([len(c) + 1 for c in parts]))
+        self.add(parts, ids, np.diff(stops, prepend=0))
+
+    def places(self, parts: pa.Array, single: bool) -> np.ndarray:
+        """The number of each part, learned where it is new."""
+        coded = parts.dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        self.learn([x for x in own if x not in self.known], single)
+        return np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy()]
+
+    def encode_slice(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids end); no text is null or special."""
+        chunks = pc.utf8_split_whitespace(texts)
+        # leading and trailing white space leaves empty chunks, which have no ids
+        coded = chunks.flatten().dictionary_encode()
+        distinct, at = coded.dictionary, coded.indices.to_numpy()
+        if len(self.known) + 2 * len(distinct) > self.remember:
+            self.forget()
+        words = pc.utf8_rtrim(distinct, characters=MARKS)
+        plain = pc.match_substring_regex(words, LETTERS)
+        two = np.zeros((len(distinct), 2), np.int64)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        whole = distinct.filter(plain)
+        words = words.filter(plain)
+        cuts = pc.utf8_length(words).to_pylist()
+        marks = pa.array([c[n:] for c, n in zip(whole.to_pylist(), cuts, strict=True)], pa.string())
+        two[is_plain, 0] = self.places(pc.utf8_lower(words), True)
+        two[is_plain, 1] = self.places(marks, True)
+        two[~is_plain, 0] = self.places(distinct.filter(pc.invert(plain)), False)
+        lengths = self.lengths[two]
+        ids = ragged(self.starts[two].ravel(), lengths.ravel(), self.ids)
+        lengths = lengths.sum(1)
+        starts = np.cumsum(lengths) - lengths
+        each = lengths[at]
+        ends = np.concatenate(([0], np.cumsum(each)))[chunks.offsets.to_numpy()[1:] - chunks.offsets[0].as_py()]
+        return ragged(starts[at], each, ids), ends
+
+    def encode(self, column: pa.StringArray) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, ids) of every text, in any order; null texts have no ids."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        sizes = pc.binary_length(column).to_numpy()
+        special = np.array([any(t in x for t in self.special) for x in column.cast(pa.large_binary()).to_pylist()], bool)
+        for i in np.flatnonzero(special).tolist():
+            yield i, np.array(self.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids, "<u4")
+        rows = np.flatnonzero(~special)
+        for own in np.split(rows, np.flatnonzero(np.diff(np.cumsum(sizes[rows]) // SLICE_BYTES)) + 1):
+            if len(own):
+                ids, ends = self.encode_slice(column.take(pa.array(own)).cast(pa.string()))
+                for i, a, b in zip(own.tolist(), np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True):
+                    yield i, ids[a:b]
+
+
+def worker_tokenizer(path: str) -> PartTokenizer:
     """One tokenizer for each Python worker; what it remembers serves the worker's later tasks."""
     if path not in TOKENIZERS:
-        TOKENIZERS[path] = ChunkTokenizer(path)
+        TOKENIZERS[path] = PartTokenizer(path)
     return TOKENIZERS[path]
 
 
@@ -84,12 +153,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
         tokenizer, end = worker_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                ids = (tokenizer.encode(text) if text else b"") + end
+            doc_ids = batch.column("doc_id").to_pylist()
+            for i, ids in tokenizer.encode(batch.column("text")):
+                ids = ids.tobytes() + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n))
+                    rows.append((doc_ids[i], start, len(piece) // 4, zlib.crc32(piece), n))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 from brinelog.llm import byte_bpe, exact_dedup, language_id, packing, quality, secrets, simhash, substring_dedup, topk, url_filter
 
 SF = "/root/testdata/sf0.001"
-ODD = [None, "", " \t\n", "a", "a a", "É ñ 你好 😀 it's I'LL 12 34!!  \n\n x", "tab\tand\x0bthings\x1chere", "x " * 400, "!" * 700, "Zeile ß\r\nzwei   ", "a", "it's"]
+ODD = [None, "", " \t\n", "a", "a a", "É ñ 你好 😀 it's I'LL 12 34!!  \n\n x", "tab\tand\x0bthings\x1chere", "x " * 400, "!" * 700, "Zeile ß\r\nzwei   ", "a", "it's", "a <|endoftext|> b<|startoftext|>"]
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -112,7 +113,6 @@ def test_bounds_hold():
 
 def test_packing(docs, texts, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), group_pieces=100).collect()
     ids = {k: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
     for k, own in itertools.groupby(sorted(rows, key=lambda r: (r.doc_id, r.start)), lambda r: r.doc_id):
@@ -136,13 +136,17 @@ def test_packing(docs, texts, empty):
     assert packing.pack_documents(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
-def test_forgetting_changes_no_ids(texts):
+def test_forgetting_changes_no_ids(texts, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    chunks = packing.ChunkTokenizer(path, remember=50)
-    for t in [*(t for t in texts[:60] if t), "And and, AND. it's, İ. ÉTÉ! a.b ... ?! <|endoftext|>."]:
-        assert chunks.encode(t.encode()) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    odd = ["And and, AND. it's, İ. ÉTÉ! a.b ... ?! <|endoftext|>.", "a<|endoftext|>b <|startoftext|>hello", "x'y 'z ''' a' ß ẞ ÿ Ÿ a×b ***&&& a*b* 12,3 ª º µ é É. \x1c a\x1cb \u200b ﬁ ŉ a_b `~^ #@!", "||<|| <|end|>", " \u3000\x85x\xa0 y ", " \u0301x E\u0301", "ΑΣ ς Σ. ΑΣ.", "", None, "w " * 9000]
+    column = [*odd, *texts[:80], *odd[::-1]]
+    for remember, limit in ((50, 1 << 24), (10**6, 100), (10**6, 1 << 24)):
+        monkeypatch.setattr(packing, "SLICE_BYTES", limit)
+        got = dict(packing.PartTokenizer(path, remember).encode(pa.array(column, pa.string())))
+        assert len(got) == len(column)
+        for i, t in enumerate(column):
+            assert got[i].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
 def test_first_fit_decreasing_is_plain_first_fit():

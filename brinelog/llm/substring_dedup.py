@@ -11,7 +11,8 @@ each other mostly share it, so they travel as one run of words instead of `windo
 in the corpus can't lie in a repeat; they are counted first and their suffixes never travel. Where a piece occurs more
 than `group_limit` times, its suffixes are dealt by their whole prefix of `window` words instead. Such a group is one
 window, whose tree is a count: they are counted by partial sums and joined back to their places, and no task holds a
-window's places. Equal runs of a batch are folded into one with a list of places before they are shuffled.
+window's places. Equal runs of a part are folded into one with a list of places before they are shuffled. Texts are never
+shuffled: they are written once, bucketed by the part of the scan they came in, and what is found moves to them.
 
 Words are [^\\x20\\x09-\\x0D]+ of the whole text, unchanged; null text has none. Words are compared as bytes, hashes
 only deal suffixes out. Rows that repeat are documents of their own (and so repeat all their windows). Empty and
@@ -25,15 +26,18 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, saved
+from .common import as_bytes, numbered, saved
 
 ODD, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 RUN_LIMIT = 512
 CHUNK_WORDS = 1 << 20
+BLOCK_BYTES = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 POWERS: dict[tuple[int, int], np.ndarray] = {}
@@ -78,18 +82,49 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return least
 
 
-def suffix_runs(text: bytes, window: int, gram: int):
-    """Runs of suffixes that share their least piece: (bounds of words, pieces, piece of each run, first suffix, end)."""
-    raw, starts, ends = word_bounds(text)
-    if len(starts) < window:
-        return None
-    words = slices_hash(raw.astype(np.uint64) + np.uint64(1), starts, ends)
+def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, where rows begin and end) of stretches of a text column of about BLOCK_BYTES, rows never cut."""
+    column = pc.fill_null(column.cast(pa.binary()), b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    cuts = np.flatnonzero(np.diff(offsets[:-1] // BLOCK_BYTES)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(column)], strict=True):
+        yield a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
+def words_of(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of a block begin and end, and the first word of each row; a row's end ends a word."""
+    inside = ~SPACE[data]
+    begins, stops = np.ones(len(data), bool), np.ones(len(data), bool)
+    begins[1:], stops[:-1] = ~inside[:-1], ~inside[1:]
+    begins[rows[rows < len(data)]] = True
+    stops[rows[rows > 0] - 1] = True
+    starts = np.flatnonzero(begins & inside)
+    return starts, np.flatnonzero(stops & inside) + 1, np.searchsorted(starts, rows)
+
+
+def words_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return slices_hash(data.astype(np.uint64) + np.uint64(1), starts, ends)
+
+
+def suffix_runs(data: np.ndarray, rows: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of suffixes that share their least piece: (row, piece, first suffix and end as words of the row, uses of the piece)."""
+    starts, ends, first_word = words_of(data, rows)
+    count = np.maximum(np.diff(first_word) - window + 1, 0)
+    if not count.any():
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    words = words_hash(data, starts, ends)
     at = np.arange(len(words) - gram + 1)
     pieces = slices_hash(words, at, at + gram)
-    least = sliding_least(pieces, window - gram + 1)
-    cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
-    first = np.concatenate(([0], cuts))
-    return starts, ends, words, pieces, least[first], first, np.concatenate((cuts, [len(least)]))
+    row = np.repeat(np.arange(len(count)), count)
+    suffix = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first_word[row]
+    least = sliding_least(pieces, window - gram + 1)[suffix]
+    breaks = np.flatnonzero((least[1:] != least[:-1]) | (row[1:] != row[:-1])) + 1
+    begin = np.concatenate(([0], breaks))
+    first, end = suffix[begin], suffix[np.concatenate((breaks, [len(row)])) - 1] + 1
+    uses = 1 + several_inside(pieces, least[begin], first, end, window - gram + 1)
+    base = first_word[row[begin]]
+    return row[begin], least[begin], first - base, end - base, uses
 
 
 def several_inside(pieces: np.ndarray, key: np.ndarray, first: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
@@ -100,168 +135,166 @@ def several_inside(pieces: np.ndarray, key: np.ndarray, first: np.ndarray, end:
     return left != right
 
 
-def doc_key(text: str = "text") -> list:
-    """A document's identity in joins: its id and its text."""
-    return [F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("t")]
-
-
 def piece_uses(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(d, t, piece, uses): the pieces that deal out a document's suffixes."""
+    """(part, row, piece, first, stop, uses): a document's runs of suffixes and the pieces that deal them out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, pieces, uses = [], [], []
-            for i, text in enumerate(as_bytes(batch.column("text"))):
-                if not text or (found := suffix_runs(text, window, gram)) is None:
-                    continue
-                _, _, _, grams, key, first, end = found
-                twice = several_inside(grams, key, first, end, window - gram + 1)
-                own, at, n = np.unique(key, return_inverse=True, return_counts=True)
-                rows.append(np.full(len(own), i))
-                pieces.append(own.view(np.int64))
-                uses.append(n + np.bincount(at, twice, len(own)).astype(np.int64))
-            if rows:
-                at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch.column("d").take(at), batch.column("t").take(at), pa.array(np.concatenate(pieces)), pa.array(np.concatenate(uses))], ["d", "t", "piece", "uses"])
-
-    return docs.select("d", "t", "text").mapInArrow(run, "d long, t long, piece long, uses long")
-
-
-def travelling_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(deal, words, suffixes, whole, places): runs of suffixes under repeated pieces; equal runs of a batch are one row.
-
-    Under crowded pieces (whole) each window is a run of its own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = defaultdict(list)
-            ds, ts = batch.column("d").to_pylist(), batch.column("t").to_pylist()
-            for d, t, text, repeated, crowded in zip(ds, ts, as_bytes(batch.column("text")), batch.column("repeated"), batch.column("crowded"), strict=True):
-                if not text or (found := suffix_runs(text, window, gram)) is None:
-                    continue
-                starts, ends, words, _, key, first, end = found
-                stays = np.isin(key, repeated.values.to_numpy().view(np.uint64))
-                whole = np.isin(key, crowded.values.to_numpy().view(np.uint64))
-                for k, a, b, w in zip(key[stays].tolist(), first[stays].tolist(), end[stays].tolist(), whole[stays].tolist(), strict=True):
-                    if w:
-                        at = np.arange(a, b)
-                        prefix = slices_hash(words, at, at + window).tolist()
-                        for j, h in zip(range(a, b), prefix, strict=True):
-                            places[h, b" ".join(text[starts[j] : ends[j + window - 1]].split()), 1, True].append((d, t, j))
-                        continue
-                    for j in range(a, b, RUN_LIMIT):
-                        e = min(b, j + RUN_LIMIT)
-                        places[k, b" ".join(text[starts[j] : ends[e + window - 2]].split()), e - j, False].append((d, t, j))
-            if places:
-                deal, words_, n, whole = zip(*places, strict=True)
-                kind = pa.list_(pa.struct([("d", pa.int64()), ("t", pa.int64()), ("at", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(deal, np.uint64).view(np.int64)), pa.array(words_, pa.binary()), pa.array(n, pa.int32()), pa.array(whole, pa.bool_()), pa.array([[{"d": d, "t": t, "at": j} for d, t, j in p] for p in places.values()], kind)],
-                    ["deal", "words", "suffixes", "whole", "places"],
-                )
-
-    return docs.mapInArrow(run, "deal long, words binary, suffixes int, whole boolean, places array<struct<d:long,t:long,at:long>>")
-
-
-def deep_leaves(runs: list[tuple[bytes, int, int]], window: int) -> np.ndarray:
-    """For runs of (words, suffixes, number of places): which suffixes are leaves below an inner node `window` words deep.
-
-    The trees of all groups at hand are built at once, level by level; a suffix is named by its node."""
-    names: dict[bytes, int] = {}
-    word, size = [], []
-    for text, _, _ in runs:
-        own = text.split(b" ")
-        size.append(len(own))
-        word += [names.setdefault(w, len(names)) for w in own]
-    size, suffixes = np.array(size), np.array([n for _, n, _ in runs])
+            for at, data, rows in blocks(batch.column("text")):
+                row, piece, first, stop, uses = suffix_runs(data, rows, window, gram)
+                if len(row):
+                    own = pa.array(row + at)
+                    columns = [batch.column("part").take(own), batch.column("row").take(own), pa.array(piece.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (first, stop, uses))]
+                    yield pa.RecordBatch.from_arrays(columns, ["part", "row", "piece", "first", "stop", "uses"])
+
+    return docs.select("part", "row", "text").mapInArrow(run, "part int, row int, piece long, first int, stop int, uses int")
+
+
+RUNS = "deal long, words binary, suffixes int, places array<struct<part:int,row:int,at:int>>"
+PLACE = pa.struct([("part", pa.int32()), ("row", pa.int32()), ("at", pa.int32())])
+
+
+def travelling_runs(docs: DataFrame, chosen: DataFrame, window: int, whole: bool) -> DataFrame:
+    """(deal, words, suffixes, places): the chosen runs of suffixes (part, row, piece, first, stop); equal runs of a part are one row.
+
+    whole: each window is a run of its own, dealt by its whole prefix."""
+
+    def run(texts: pa.Table, runs: pa.Table) -> pa.Table:
+        places = defaultdict(list)
+        runs = runs.sort_by("row").combine_chunks()
+        row, piece, first, stop = (runs.column(c).to_numpy() for c in ("row", "piece", "first", "stop"))
+        needed = texts.filter(pc.is_in(texts.column("row"), pa.array(np.unique(row)))).sort_by("row").combine_chunks() if len(row) else texts.slice(0, 0)
+        begin = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1, [len(row)])).tolist()
+        at, part = needed.column("row").to_pylist(), int(needed.column("part")[0].as_py()) if len(needed) else 0
+        for base, data, rows in blocks(needed.column("text").combine_chunks()) if len(needed) else []:
+            starts, ends, first_word = words_of(data, rows)
+            text = data.tobytes()
+            if whole:
+                begins = np.arange(max(0, len(starts) - window + 1))
+                prefix = slices_hash(words_hash(data, starts, ends), begins, begins + window).view(np.int64).tolist()
+            starts, ends = starts.tolist(), ends.tolist()
+            for i, word in enumerate(first_word[:-1].tolist()):
+                own = slice(begin[base + i], begin[base + i + 1])
+                for k, a, b in zip(piece[own].tolist(), first[own].tolist(), stop[own].tolist(), strict=True):
+                    step = 1 if whole else RUN_LIMIT
+                    for j in range(a, b, step):
+                        e = min(b, j + step)
+                        words = b" ".join(text[starts[word + j] : ends[word + e + window - 2]].split())
+                        places[prefix[word + j] if whole else k, words, e - j].append((part, at[base + i], j))
+        deal, words, n = zip(*places, strict=True) if places else ((), (), ())
+        sizes = np.fromiter(map(len, places.values()), np.int32, len(places))
+        each = np.array([p for own in places.values() for p in own], np.int32).reshape(-1, 3)
+        fields = pa.StructArray.from_arrays([pa.array(each[:, c]) for c in range(3)], fields=list(PLACE))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), fields)
+        return pa.table([pa.array(deal, pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int32()), lists.cast(pa.list_(PLACE))], ["deal", "words", "suffixes", "places"])
+
+    return docs.select("part", "row", "text").groupBy("part").cogroup(chosen.select("part", "row", "piece", "first", "stop").groupBy("part")).applyInArrow(run, RUNS)
+
+
+def deep_leaves(words: pa.Array, suffixes: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """For runs of words, each with a number of suffixes and of places: which suffixes are leaves below an inner node
+    `window` words deep.
+
+    The trees of all groups at hand are built at once, level by level; a suffix is named by its node, and -1 once its node
+    has a single leaf: only nodes with two leaves or more are carried deeper."""
+    parts = pc.split_pattern(words, b" ")
+    size = parts.value_lengths().to_numpy()
+    node = parts.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
     begin = np.cumsum(size) - size
     leaf = np.repeat(begin - (np.cumsum(suffixes) - suffixes), suffixes) + np.arange(suffixes.sum())
-    weight = np.repeat(np.array([p for _, _, p in runs]), suffixes)
-    node, depth = np.array(word, np.int64), 1
-    everywhere = np.arange(len(node))
-    while depth < window:
+    weight, depth = np.repeat(places, size).astype(float), 1
+    alive = np.arange(len(node))
+    while True:
+        leaves = np.bincount(node[alive], weight[alive], int(node.max(initial=0)) + 1)
+        several = leaves[node[alive]] >= 2
+        node[alive[~several]] = -1
+        alive = alive[several]
+        if depth == window:
+            return node[leaf] >= 0
         step = min(depth, window - depth)
-        at = leaf if depth + step == window else everywhere
+        at = leaf if depth + step == window else alive
         at = at[at + step < len(node)]
-        edge = node[at] * (int(node.max(initial=0)) + 1) + node[at + step]
-        _, below = np.unique(edge, return_inverse=True)
-        deeper = np.zeros(len(node), np.int64)
-        deeper[at] = below
-        node, depth = deeper, depth + step
-    leaves = np.bincount(node[leaf], weight, int(node.max(initial=0)) + 1)
-    return leaves[node[leaf]] >= 2
+        at = at[(node[at] >= 0) & (node[at + step] >= 0)]
+        below = pd.factorize(node[at] * (int(node.max(initial=0)) + 1) + node[at + step])[0]
+        node = np.full(len(node), -1)
+        node[at], alive, depth = below, at, depth + step
 
 
 def repeated_windows(runs: DataFrame, window: int) -> DataFrame:
-    """(d, t, first, stop) of the windows under crowded pieces that occur at two places or more."""
+    """(part, row, first, stop) of the windows under crowded pieces that occur at two places or more."""
     often = runs.groupBy("deal", "words").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("deal", "words")
     each = runs.select("deal", "words", "places").join(saved(often, "windows"), ["deal", "words"], "left_semi").select(F.explode("places").alias("p"))
-    return each.select("p.d", "p.t", F.col("p.at").alias("first"), (F.col("p.at") + window).alias("stop"))
+    return each.select("p.part", "p.row", F.col("p.at").alias("first"), (F.col("p.at") + window).alias("stop"))
 
 
 def repeats(runs: DataFrame, window: int) -> DataFrame:
-    """(d, t, first, stop): stretches of words of a document whose windows also start elsewhere."""
-
-    def grown(rows: list[tuple[bytes, int, list]]) -> pa.RecordBatch:
-        deep = deep_leaves([(w, n, len(p)) for w, n, p in rows], window)
-        out, at = [], 0
-        for _, n, places in rows:
-            own = np.flatnonzero(np.diff(deep[at : at + n], prepend=False, append=False)).tolist()
-            at += n
-            for a, b in zip(own[::2], own[1::2], strict=True):
-                out += [(p["d"], p["t"], p["at"] + a, p["at"] + b + window - 1) for p in places]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["d", "t", "first", "stop"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, last = [], 0, None
-        for batch in batches:
-            for deal, words, n, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if held >= CHUNK_WORDS and deal != last:  # only whole groups make a tree
-                    yield grown(rows)
-                    rows, held = [], 0
-                rows.append((words, n, places))
-                held, last = held + n + window, deal
-        if rows:
-            yield grown(rows)
-
-    return runs.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "d long, t long, first long, stop long")
-
-
-def cut(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and the kept text, from each document's stretches (null: none)."""
+    """(part, row, first, stop): stretches of words of a document whose windows also start elsewhere."""
+
+    def grown(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        words, suffixes, places = (rows.column(c).combine_chunks() for c in ("words", "suffixes", "places"))
+        suffixes, sizes = suffixes.to_numpy().astype(np.int64), places.value_lengths().to_numpy().astype(np.int64)
+        deep = deep_leaves(words, suffixes, sizes, window)
+        run_at = np.cumsum(suffixes) - suffixes
+        new_run = np.zeros(len(deep) + 1, bool)
+        new_run[run_at] = new_run[-1] = True
+        begin = np.flatnonzero(deep & (new_run[:-1] | ~np.concatenate(([False], deep[:-1]))))
+        stop = np.flatnonzero(deep & (new_run[1:] | ~np.concatenate((deep[1:], [False])))) + 1
+        run = np.searchsorted(run_at, begin, "right") - 1
+        n = sizes[run]
+        place = np.repeat((np.cumsum(sizes) - sizes)[run] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        each = places.flatten()
+        part, row, at = (each.field(c).to_numpy()[place] for c in ("part", "row", "at"))
+        first, last = (at + np.repeat(x - run_at[run], n) for x in (begin, stop))
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in (part, row, first, last + window - 1)], ["part", "row", "first", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            total, removed, digests, kept = [], [], [], []
-            for text, stretches in zip(as_bytes(batch.column("text")), batch.column("stretches").to_pylist(), strict=True):
-                words = (text or b"").split()
-                total.append(len(words))
-                if stretches:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, [s["first"] for s in stretches], 1)
-                    np.add.at(edge, [s["stop"] for s in stretches], -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
-                removed.append(total[-1] - len(words))
-                kept.append(b" ".join(words))
-                digests.append(hashlib.sha256(kept[-1]).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return docs.select("doc_id", "text", "stretches").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+            if not batch.num_rows:
+                continue
+            deal = batch.column("deal").to_numpy()
+            held.append(batch)
+            size += int(batch.column("suffixes").to_numpy().sum()) + window * batch.num_rows
+            last = int(np.searchsorted(deal, deal[-1])) if (deal[1:] >= deal[:-1]).all() else 0
+            if size >= CHUNK_WORDS and last:  # only whole groups make a tree
+                yield grown([*held[:-1], batch.slice(0, last)])
+                held, size = [batch.slice(last)], int(batch.column("suffixes").to_numpy()[last:].sum()) + window * (batch.num_rows - last)
+        if held:
+            yield grown(held)
+
+    return runs.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "part int, row int, first int, stop int")
+
+
+def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and the kept text, from the stretches (part, row, first, stop) found."""
+
+    def run(texts: pa.Table, stretches: pa.Table) -> pa.Table:
+        stretches = stretches.sort_by("row")
+        row, first, stop = (stretches.column(c).to_numpy() for c in ("row", "first", "stop"))
+        begin, end = (np.searchsorted(row, texts.column("row").to_numpy(), side).tolist() for side in ("left", "right"))
+        total, removed, digests, kept = [], [], [], []
+        for text, a, b in zip(as_bytes(texts.column("text")), begin, end, strict=True):
+            words = (text or b"").split()
+            total.append(len(words))
+            if a < b:
+                edge = np.bincount(first[a:b], minlength=len(words) + 1) - np.bincount(stop[a:b], minlength=len(words) + 1)
+                words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+            removed.append(total[-1] - len(words))
+            kept.append(b" ".join(words))
+            digests.append(hashlib.sha256(kept[-1]).hexdigest())
+        return pa.table([texts.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, group_limit: int = 128, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text if asked for): one row per document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = rows.select("doc_id", "text", *doc_key())
-    uses = piece_uses(keyed, window, gram)
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "texts")
+    uses = saved(piece_uses(rows, window, gram), "uses")
     often = saved(uses.groupBy("piece").agg(F.sum("uses").alias("n")).where("n > 1"), "pieces")
-    # Both joins below read every column of `keyed`, so that texts are dealt out by document once and read twice.
-    own = uses.select("d", "t", "piece").join(often, "piece")
-    per_doc = own.groupBy("d", "t").agg(F.collect_list("piece").alias("repeated"), F.collect_list(F.when(F.col("n") > group_limit, F.col("piece"))).alias("crowded"))
-    runs = travelling_runs(keyed.join(per_doc, ["d", "t"]), window, gram)
-    runs = saved(runs, "runs")
-    trees = repeats(runs.where("NOT whole").select("deal", "words", "suffixes", "places"), window)
-    found = trees.union(repeated_windows(runs.where("whole"), window)).groupBy("d", "t").agg(F.collect_list(F.struct("first", "stop")).alias("stretches"))
-    out = cut(keyed.join(found, ["d", "t"], "left"))
+    own = saved(uses.drop("uses").join(often, "piece"), "own")
+    windows = saved(travelling_runs(rows, own.where(F.col("n") > group_limit), window, True), "crowded")
+    trees = repeats(travelling_runs(rows, own.where(F.col("n") <= group_limit), window, False), window)
+    out = cut(rows, trees.union(repeated_windows(windows, window)))
     return out if texts else out.drop("kept")

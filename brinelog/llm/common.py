@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(names: list[str], like: str = "own") -> str:
+    """A column name that none of the given ones equals, whatever the case."""
+    taken = {n.lower() for n in names}
+    while like.lower() in taken:
+        like += "_"
+    return like
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.binary()).to_pylist()

@@ -135,18 +135,18 @@ def secret_scan(docs: DataFrame, owner: str = "source", copied_owners: int = 4,
 def redact(docs: DataFrame, owner: str = "source", copied_owners: int = 4, copied_repositories: int = 16) -> DataFrame:
     """The documents with every span replaced: live-looking values by [SECRET], widely copied ones by [EXAMPLE].
 
-    Documents without spans are untouched. Rows that repeat a doc_id are redacted by their own text's spans."""
-    rows, spans = judged_spans(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), owner, copied_owners, copied_repositories)
+    Documents without spans are untouched, null and empty texts among them; an empty table gives an empty result. Rows that
+    repeat a doc_id are redacted by their own text's spans; rows that repeat each other are one repository. Extra columns
+    stay as they are, whatever their names; n_chars follows the text where there is one."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    key = F.xxhash64("doc.doc_id", "doc.text")
+    rows, spans = judged_spans(whole.select(key.alias("doc_id"), F.col(f"doc.{owner}").alias(owner), F.col("doc.text").alias("text")), owner, copied_owners, copied_repositories)
     cuts = spans.join(rows.select("row", F.col("doc_id").alias("key")), "row").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "live"))).alias("cuts"))
-    cuts = saved(cuts, "cuts")
-    joined = docs.withColumn("key", F.xxhash64("doc_id", "text")).join(cuts, "key", "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    between = lambda acc, stop: F.substring(F.col("text"), acc["at"] + 1, F.greatest(stop - acc["at"], F.lit(0)))
+    joined = whole.withColumn("key", key).join(saved(cuts, "cuts"), "key", "left")
+    text, start = F.col("doc.text"), F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    between = lambda acc, stop: F.substring(text, acc["at"] + 1, F.greatest(stop - acc["at"], F.lit(0)))
     mark = lambda c: F.when(c["live"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]"))
     put = lambda acc, c: F.when(c["stop"] <= acc["at"], acc).otherwise(F.struct(F.concat(acc["out"], between(acc, c["start"]), mark(c)).alias("out"), c["stop"].alias("at")))
-    done = F.aggregate("cuts", start, put, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(done)
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(docs.columns)
+    done = F.aggregate("cuts", start, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    new = {"text": done, "n_chars": F.length(done).cast("long")}
+    return joined.select(*[(F.when(F.col("cuts").isNull(), F.col(f"doc.`{c}`")).otherwise(new[c]) if c in new else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

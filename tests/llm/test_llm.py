@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -188,16 +189,62 @@ def test_url_filter(spark):
     assert {r.verdict for r in none.collect()} == {"block"}
 
 
-def test_language_model_sums_to_one():
-    model = language_id.fit({"a": [b"abracadabra"], "b": [b"bananas are", b"nabob"]})
-    n = int(model.classes.max()) + 1
-    unseen = 256 - (n - 1)
-    p = np.exp(-model.cost.astype(float)).reshape(-1, n, 2)
-    assert np.allclose(p[:, 1:].sum(1) + unseen * p[:, 0], p[:, 1:].sum(1) + unseen * p[:, 0])
-    assert (p > 0).all() and (p <= 1).all()
+def plain_ppm(texts, order):
+    """P(byte, context) by method C with exclusion, from dictionaries."""
+    data = b"".join(b"\n\n\n" + t for t in texts)
+    counts = {}
+    for k in range(order + 1):
+        for i in range(k, len(data)):
+            counts.setdefault(data[i - k : i], Counter())[data[i]] += 1
+
+    def p(byte, context):
+        own = counts.get(context)
+        lower = (lambda b: p(b, context[1:])) if context else (lambda b: 1 / 256)
+        if own is None:
+            return lower(byte)
+        left = sum(lower(b) for b in range(256) if b not in own)
+        spare = len(own) if left > 0 else 0
+        total = sum(own.values()) + spare
+        return own[byte] / total if byte in own else spare / total * lower(byte) / left
+
+    return lru_cache(None)(p)
+
+
+def test_language_model_is_plain_ppm_and_sums_to_one():
+    texts = {"a": [b"abracadabra"], "b": [b"bananas are", b"nabob"]}
+    for order in (2, 3):
+        model = language_id.fit(texts, order)
+        n = int(model.classes.max()) + 1
+        weight = np.ones(n)
+        weight[0] = 256 - (n - 1)
+        p = np.exp(-model.cost.astype(float)).reshape(-1, n, 2)
+        assert np.allclose((p * weight[:, None]).sum(1), 1, atol=1e-5) and (p > 0).all()
+        for text in (b"abra", b"nan", b"xa\xffbanana bread"):
+            before = b"\n\n\n" + text
+            for i, k in enumerate("ab"):
+                exact = plain_ppm(texts[k], order)
+                bits = -sum(np.log(exact(before[j], before[j - order : j])) for j in range(3, len(before)))
+                assert abs(model.code_lengths(text)[i] - bits) < 1e-3
     assert model.code_lengths(b"abra").argmin() == 0 and model.code_lengths(b"nan").argmin() == 1
 
 
+def test_language_model_limits(monkeypatch):
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 1000)
+    with pytest.raises(ValueError):
+        language_id.fit({"a": [b"abracadabra"]})
+
+
+def test_rules_nest_and_tie(spark):
+    rules = [("block", "b.com", "/"), ("allow", "a.b.com", "/x"), ("block", "a.b.com", "/x/y"), ("allow", "c.a.b.com", "/"), ("block", "com", "/x/y/z/long"), ("allow", "d.com", "/aa"), ("block", "d.com", "/aa"), ("allow", None, "/"), ("block", "x.com", None), ("block", "b.com", "/"), ("block", "k", "")]
+    urls = [f"a://{h}{p}" for h in ("b.com", "a.b.com", "c.a.b.com", "q.c.a.b.com", "zb.com", "d.com", "x.com", "k", "b.com.k") for p in ("", "/", "/x", "/x/y", "/x/y/z/long", "/aa")]
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    frame = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, depth int")
+    for r in url_filter.url_filter(frame, table, lanes=2).collect():
+        fits = [(len(h + p), h, p, v) for v, h, p in rules if h is not None and p is not None and (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        _, h, p, v = max(fits) if fits else (0, "", "", "allow")
+        assert (r["rule"], r.verdict) == ((h + p if fits else None), v), urls[r.page_id]
+
+
 def test_language_accuracy_and_odd_texts(spark, docs, empty):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in language_id.identify(real).collect()}

@@ -3,9 +3,11 @@
 A text is cut into pieces by the tokenizer's pattern. A piece's bytes (in hexadecimal, two characters each) are folded
 by `aggregate`: each round merges the adjacent pair with the lowest rank, found in a literal rank map that is dealt by
 hash into small maps, because Spark looks maps up from end to end. The distinct words of the corpus are counted, the
-most frequent `remembered` of them (of at most 64 bytes, so that the table's size is bounded) are folded once and
-broadcast, and all other pieces are folded where they stand. Text is never shuffled. Ids are then strung together per
-document in the order of its pieces, and decoding concatenates the vocabulary's binary pieces.
+most frequent `remembered` of them are folded once and broadcast, and all other pieces are folded where they stand. A
+remembered word has at most 64 bytes and so 64 ids: 2**18 of them take at most 100 MB, whatever the corpus. Text is never
+shuffled. Ids are then strung together per document in the order of its pieces, and decoding concatenates the
+vocabulary's binary pieces; both are done on Arrow batches, because putting a document's pieces together again on the
+JVM would shuffle every id.
 
 Null text is empty: no ids. Pieces of over `longest` bytes would cost the fold the square of their length and are
 merged by the same ranks with a heap in Python. Repeated rows are encoded each; an empty table gives an empty
@@ -125,16 +127,18 @@ def split_pieces(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, maps: Column, remembered: int) -> DataFrame:
-    """(word, ids) of the most frequent words: all those as frequent as the cut allows, never more than `remembered`."""
+    """(word, ids) of the `remembered` most frequent words; of those that tie at the cut a share, by hash, so that the table
+    is neither empty nor (but for chance, under a hundredth) larger."""
     words = split_pieces(docs).where("octet_length(word) <= 64").groupBy("word").agg(F.count("*").alias("n"))
     words = saved(words, "words")
-    at_least, total = None, 0
-    for r in words.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
-        total += r["words"]
-        if total > remembered:
+    cut, share, total = 0, 0.0, 0
+    for r in words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():  # `remembered` rows at most
+        if total + r["words"] > remembered:
+            cut, share = r["n"], (remembered - total) / r["words"]
             break
-        at_least = r["n"]
-    chosen = words.where(F.col("n") >= at_least) if at_least is not None else words.limit(0)
+        total += r["words"]
+    drawn = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = words.where((F.col("n") > cut) | ((F.col("n") == cut) & (drawn < share)))
     return saved(chosen.repartition("word").select("word", fold_merges(F.col("word"), maps).alias("ids")), "frequent")
 
 

@@ -107,7 +107,7 @@ def fit(texts: dict[str, list[bytes]], order: int = 3) -> ContextModel:
             part = keys[at : at + (1 << 12)]
             counts = np.bincount((row[own] - at) * n + c[3:][own], minlength=len(part) * n).reshape(len(part), n)
             cost[n * n + at : n * n + at + len(part), :, i] = -np.log(blend(counts, p2[part % (n * n)], weight))
-    return ContextModel(languages, classes, deep, cost.reshape(-1, len(languages)), min((len(v) for v in joined.values()), default=0))
+    return ContextModel(languages, classes, deep, cost.reshape((n * n + len(keys)) * n, len(languages)), min((len(v) for v in joined.values()), default=0))
 
 
 def learn(docs: DataFrame, sample: int = 400, sample_bytes: int = 1 << 16, order: int = 3) -> ContextModel:

@@ -53,6 +53,31 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(z - self.thresholds, -30, 30)))
 
 
+@dataclass
+class Design:
+    """The learned-on documents: word `at[k]` is in document `doc[k]`; x are the shares."""
+
+    doc: np.ndarray
+    at: np.ndarray
+    x: np.ndarray
+    grades: np.ndarray
+
+
+def loss_and_slopes(d: Design, w: np.ndarray, v: np.ndarray, t: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood with the ridge's penalty, and its slopes by word weights, share weights and thresholds."""
+    n = len(d.grades)
+    index, ones, none = np.arange(n), np.ones(n), np.zeros(n)
+    z = np.bincount(d.doc, w[d.at], n) + d.x @ v
+    s = 1 / (1 + np.exp(-np.clip(z - t[:, None], -30, 30)))
+    tail, slope = np.stack([ones, s[0], s[1], none]), np.stack([none, s[0] * (1 - s[0]), s[1] * (1 - s[1]), none])
+    p = np.maximum(tail[d.grades, index] - tail[d.grades + 1, index], 1e-9)
+    upper, lower = slope[d.grades, index], slope[d.grades + 1, index]
+    g = -(upper - lower) / p / n
+    cut = np.array([(np.where(d.grades == j + 1, upper, np.where(d.grades == j, -lower, 0)) / p).sum() / n for j in (0, 1)])
+    loss = -np.log(p).mean() + ridge / 2 * (w @ w + v @ v)
+    return loss, np.bincount(d.at, g[d.doc], len(w)) + ridge * w, d.x.T @ g + ridge * v, cut
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, rounds: int = 300, rate: float = 0.3, ridge: float = 1e-3, least_docs: int = 12) -> OrdinalModel:
     """Adaptive gradient steps on the negative log-likelihood of the cumulative-link model.
 
@@ -64,27 +89,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, rounds: i
     doc = np.repeat(np.arange(len(rows)), [len(w) for w, _ in rows])
     common = np.bincount(word, minlength=BUCKETS)[word] >= least_docs
     used, at = np.unique(word[common], return_inverse=True)
-    doc = doc[common]
-    x = np.stack([s for _, s in rows])
-    weight = 1 / len(grades)
-    w, v, t = np.zeros(len(used)), np.zeros(SHARES), model.thresholds.copy()
-    squares = [np.full(len(used), 1e-8), np.full(SHARES, 1e-8), np.full(2, 1e-8)]
-    above = np.stack([np.ones(len(grades)), *(grades >= j for j in (1, 2)), np.zeros(len(grades))])
+    design = Design(doc[common], at, np.stack([s for _, s in rows]), grades)
+    values = [np.zeros(len(used)), np.zeros(SHARES), model.thresholds.copy()]
+    squares = [np.full(len(x), 1e-8) for x in values]
     for _ in range(rounds):
-        z = np.bincount(doc, w[at], len(rows)) + x @ v
-        s = 1 / (1 + np.exp(-np.clip(z - t[:, None], -30, 30)))
-        tail = np.stack([np.ones(len(z)), s[0], s[1], np.zeros(len(z))])
-        index = np.arange(len(z))
-        p = np.maximum(tail[grades, index] - tail[grades + 1, index], 1e-9)
-        slope = np.stack([np.zeros(len(z)), s[0] * (1 - s[0]), s[1] * (1 - s[1]), np.zeros(len(z))])
-        upper, lower = slope[grades, index], slope[grades + 1, index]
-        g = -weight * (upper - lower) / p
-        cut = np.array([(weight * np.where(grades == j + 1, upper, np.where(grades == j, -lower, 0)) / p).sum() for j in (0, 1)])
-        for value, grad, square in ((w, np.bincount(at, g[doc], len(used)) + ridge * w, squares[0]), (v, x.T @ g + ridge * v, squares[1]), (t, cut, squares[2])):
-            square += grad**2
-            value -= rate * grad / np.sqrt(square)
-        t[1] = max(t[1], t[0] + 1e-3)
-    model.weights[used], model.shares, model.thresholds = w, v, t
+        for value, slope, square in zip(values, loss_and_slopes(design, *values, ridge)[1:], squares, strict=True):
+            square += slope**2
+            value -= rate * slope / np.sqrt(square)
+        values[2][1] = max(values[2][1], values[2][0] + 1e-3)
+    model.weights[used], model.shares, model.thresholds = values
     return model
 
 

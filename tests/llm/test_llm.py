@@ -80,6 +80,15 @@ def test_byte_bpe_is_the_librarys(docs, texts, empty):
     assert byte_bpe.encode_decode(empty, path).count() == 0
 
 
+def test_the_dictionary_is_never_empty(spark):
+    maps = byte_bpe.rank_map(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    texts = [" ".join(["alpha", "beta", "gamma", "delta", "epsilon"] * 40), " zeta" * 300, " " + " ".join("q" + chr(97 + i % 26) + chr(97 + i // 26) for i in range(400))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = lambda n: {r.word for r in byte_bpe.frequent_words(frame, maps, n).collect()}
+    assert known(1) == {" zeta"} and 1 <= len(known(3)) <= 6 and " zeta" in known(3)
+    assert 150 < len(known(200)) < 250 and byte_bpe.frequent_words(frame.limit(0), maps, 5).count() == 0
+
+
 def test_long_pieces_merge_the_same_way():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = byte_bpe.read_ranks(path)
@@ -197,6 +206,7 @@ def plain_ppm(texts, order):
         for i in range(k, len(data)):
             counts.setdefault(data[i - k : i], Counter())[data[i]] += 1
 
+    @lru_cache(None)
     def p(byte, context):
         own = counts.get(context)
         lower = (lambda b: p(b, context[1:])) if context else (lambda b: 1 / 256)
@@ -207,7 +217,7 @@ def plain_ppm(texts, order):
         total = sum(own.values()) + spare
         return own[byte] / total if byte in own else spare / total * lower(byte) / left
 
-    return lru_cache(None)(p)
+    return p
 
 
 def test_language_model_is_plain_ppm_and_sums_to_one():
@@ -330,6 +340,16 @@ def test_exact_dedup(spark, docs, texts, empty):
     assert sorted((r.doc_id or 0, r.kept, r.group_size) for r in twice) == [(0, True, 3), (1, False, 3), (1, False, 3), (2, True, 1)]
 
 
+def test_exact_dedup_of_many_null_ids(spark):
+    rows = [(None if i % 3 else i, f"text {i % 4000}", i) for i in range(12000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, part int").repartition(3)
+    got = exact_dedup.exact_dedup(frame)
+    assert got.groupBy("kept", "group_size").count().collect() and got.where("kept").count() == 4000
+    assert {r.group_size for r in got.collect()} == {3} and got.count() == 12000
+    assert got.where("kept").where("doc_id IS NOT NULL").count() == 0  # null before all others
+    assert exact_dedup.without_copies(frame).count() == 4000
+
+
 def test_golomb_round_trip():
     rng = np.random.default_rng(6)
     for n in (0, 1, 2, 500):
@@ -381,6 +401,34 @@ def test_quality_learns_grades(spark, docs, empty):
     assert quality.grade(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_quality_slopes_and_likelihood():
+    rng = np.random.default_rng(12)
+    d = quality.Design(rng.integers(0, 30, 200), rng.integers(0, 8, 200), rng.random((30, quality.SHARES)), rng.integers(0, 3, 30))
+    values = [rng.normal(size=8) / 3, rng.normal(size=quality.SHARES) / 3, np.array([-0.7, 0.4])]
+    loss, *slopes = quality.loss_and_slopes(d, *values, 0.01)
+    plain = 0.0
+    for i in range(30):  # the cumulative link, document by document
+        z = sum(values[0][a] for k, a in zip(d.doc, d.at, strict=True) if k == i) + d.x[i] @ values[1]
+        above = [1.0, *(1 / (1 + np.exp(t - z)) for t in values[2]), 0.0]
+        plain -= np.log(above[d.grades[i]] - above[d.grades[i] + 1]) / 30
+    assert abs(loss - plain - 0.005 * sum(float(v @ v) for v in values[:2])) < 1e-12
+    for own, slope in zip(values, slopes, strict=True):
+        for j in range(len(own)):
+            ends = []
+            for step in (1e-6, -2e-6):
+                own[j] += step
+                ends.append(quality.loss_and_slopes(d, *values, 0.01)[0])
+            own[j] += 1e-6
+            assert abs((ends[0] - ends[1]) / 2e-6 - slope[j]) < 1e-7
+
+
+def test_quality_takes_the_worst_of_conflicting_labels(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "word " * 60000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (1, 1, 0), (2, 0, 0), (2, None, None), (9, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted((r.doc_id, r.grade) for r in quality.graded(docs, labels).collect()) == [(1, 0), (1, 0), (2, 1), (3, 2)]
+    assert quality.grade(docs, labels).count() == 4
+
+
 def test_queries_run_over_whole_tables(spark):
     from brinelog.llm import queries
 
@@ -404,12 +452,8 @@ def test_pipeline(spark, tmp_path):
         ids, texts[name] = {r.doc_id for r in rows}, {r.doc_id: r.text for r in rows}
     norm = [re.sub(r"[\x20\x09-\x0D]", "", t) for t in texts["exact_copies"].values()]
     assert len(norm) == len(set(norm)) == len({re.sub(r"[\x20\x09-\x0D]", "", t) for t in texts["language"].values()})
-    keys = list(texts["exact_copies"])
-    roots = plain_components([plain_fingerprint(t) for t in texts["exact_copies"].values()])
-    least = {}
-    for k, r in zip(keys, roots, strict=True):
-        least[r] = min(k, least.get(r, k))
-    assert set(texts["near_copies"]) == set(least.values())
+    rows = list(texts["exact_copies"].items())
+    assert set(texts["near_copies"]) == {rows[i][0] for i in plain_keepers(rows)}
     assert not any(re.search(r"[0-9a-f]{32}", t) for t in texts["secrets"].values())
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in pieces.collect()} == ids
@@ -509,3 +553,30 @@ def test_no_tree_task_holds_a_crowded_windows_places(spark, monkeypatch):
     assert {got[i] for i in range(300)} == {50} and got[300] == 0 and got[301] == got[302] == 36
     held = seen[0].selectExpr("deal", "size(places) AS n").groupBy("deal").sum("n").collect()
     assert all(r[1] <= 20 for r in held)
+
+
+def test_pipeline_stages_on_odd_rows_and_names(spark, tmp_path):
+    """Null and repeated ids and rows, null, empty and long texts, an empty table, and columns named as the operators name theirs."""
+    import corpus_pipeline
+
+    random.seed(21)
+    some = lambda n: " ".join(random.choice(["the", "sea", "of", "ships", "and", "weather", "reports", "moves", "on", "w%d" % random.randrange(900)]) for _ in range(n))
+    a, b, c = some(90), some(90), some(90)
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, c), (7, None), (8, ""), (9, some(40000)), (10, b + " password = hunter2hunter2"), (5, b), (11, some(30)), (11, some(30))]
+    names = "key text_sha256 score lang_pred kept_id cuts part row doc node n bands own n_points spans runs".split()
+    frame = spark.createDataFrame([(k, t, "s1", "en", *[i] * len(names)) for i, (k, t) in enumerate(rows)], "doc_id long, text string, source string, lang string, " + ", ".join(f"{x} int" for x in names))
+    docs, kept = frame, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == frame.columns, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        got = docs.collect()
+        assert all(r[x] == r["key"] for r in got for x in names), name
+        kept[name] = {r["key"] for r in got}
+        assert stage(spark, frame.limit(0), SF).count() == 0
+    assert kept["language"] == set(range(12)) - {5, 6}
+    assert kept["exact_copies"] == kept["language"] - {0, 1} - {max({2, 9}, key=lambda i: i not in kept["exact_copies"])}
+    assert 3 in kept["exact_copies"] and len({2, 9} & kept["exact_copies"]) == 1
+    assert kept["near_copies"] == kept["exact_copies"] - {8} and kept["secrets"] == kept["near_copies"]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").count() >= len(kept["secrets"])

@@ -2,6 +2,6 @@
 
 
 def registered() -> list:
-    from . import evidence, raster, scoring, tracks, weather
+    from . import evidence, raster, regions, scoring, tracks, weather
 
-    return [tracks, scoring, weather, raster, evidence]
+    return [tracks, scoring, weather, raster, regions, evidence]

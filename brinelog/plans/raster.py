@@ -95,10 +95,14 @@ def dice_iou(spark: SparkSession, sf: str) -> DataFrame:
     return R.dice(p.select("scene", "y", "x", (F.col("p") > 0.5).alias("m")), p.select((F.col("scene") - 1).alias("scene"), "y", "x", (F.col("p") > 0.55).alias("m"))).select("scene", *r6("dice", "iou", "precision", "recall"))
 
 
-@query(f"""WITH {PIXELS}, c AS (SELECT a.scene, a.y, a.x, avg(b.p) AS m, sqrt(greatest(0.0::DOUBLE, avg(b.p * b.p) - avg(b.p) * avg(b.p))) AS d FROM px a JOIN px b ON a.scene = b.scene AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 GROUP BY 1, 2, 3)
+_AT = "CASE WHEN {0} < 0 THEN -1 - ({0}) WHEN {0} > 7 THEN 15 - ({0}) ELSE {0} END"
+
+
+@query(f"""WITH {PIXELS}, want AS (SELECT scene, y, x, {_AT.format('y + dy')} AS ny, {_AT.format('x + dx')} AS nx FROM px, range(-1, 2) dy(dy), range(-1, 2) dx(dx)),
+c AS (SELECT a.scene, a.y, a.x, avg(b.p) AS m, sqrt(greatest(0.0::DOUBLE, avg(b.p * b.p) - avg(b.p) * avg(b.p))) AS d FROM want a JOIN px b ON a.scene = b.scene AND b.y = ny AND b.x = nx GROUP BY 1, 2, 3)
 SELECT scene, round(median(d / m), 5) AS median_cv, count(*) AS n FROM c GROUP BY 1""")
 def local_cv(spark: SparkSession, sf: str) -> DataFrame:
-    return R.local_cv(pixels(spark, sf), 1).groupBy("scene").agg(F.round(F.median("cv"), 5).alias("median_cv"), F.count("*").alias("n"))
+    return R.local_cv(pixels(spark, sf).select("scene", "y", "x", "p"), 1).groupBy("scene").agg(F.round(F.median("cv"), 5).alias("median_cv"), F.count("*").alias("n"))
 
 
 @query(f"WITH {PIXELS}, b AS (SELECT scene, y // 4 AS py, x // 4 AS px, var_pop(p) AS v FROM px GROUP BY 1, 2, 3) SELECT scene, avg((v < 0.014)::INT) AS flat_ratio FROM b GROUP BY 1")

@@ -64,3 +64,31 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id, status, created, submitted_by: orders as pipeline runs."""
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp").alias("created"), F.col("o_custkey").alias("submitted_by"))
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scene, y, x, p: 25 tiles of 8 x 8 pixels side by side, as one scene of 40 x 40."""
+    i = F.col("scene")
+    return pixels(spark, sf_dir).select(F.floor(i / 25).alias("scene"), (F.floor(i % 25 / 5) * 8 + F.col("y")).cast("int").alias("y"), (i % 5 * 8 + F.col("x")).cast("int").alias("x"), "p")
+
+
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """region_id, run_id, ring, holes, bbox: each part as an L-shaped outline in a picture of 1200 x 900, every fifth without a place."""
+    k = F.col("p_partkey")
+    x, y, w, h = k * 37 % 1000, k * 53 % 800, 5 + k % 40, 4 + k * 7 % 30
+    p = lambda a, b: F.array(a.cast("double"), b.cast("double"))
+    half = lambda n: F.floor(n / 2)
+    ring = F.array(p(x, y), p(x + w, y), p(x + w, y + half(h)), p(x + half(w), y + half(h)), p(x + half(w), y + h), p(x, y + h))
+    square = lambda n, at: F.array(p(x + at, y + at), p(x + at + n, y + at), p(x + at + n, y + at + n), p(x + at, y + at + n))
+    box = F.struct((70.0 + k % 10).alias("min_lon"), (10.0 + k % 20).alias("min_lat"), (72.0 + k % 10).alias("max_lon"), (11.5 + k % 20).alias("max_lat"))
+    part = table(spark, sf_dir, "part")
+    return part.select(k.alias("region_id"), (k % 50).alias("run_id"), ring.alias("ring"), F.array(square(k % 12, 1), square(F.floor(k / 3) % 14, 2)).alias("holes"), F.when(k % 5 != 0, box).alias("bbox"))
+
+
+def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scene, y, x, r, g, b in 0..255: scenes whose channels agree, disagree, lie in flat blocks, or are one colour, by turns."""
+    s, grey = F.col("scene"), F.floor(F.col("p") * 255)
+    other = F.floor(255 * (F.col("p") * 0.3 + 0.7 * ((F.col("x") * 7 + F.col("y") * 13) % 32) / 32))
+    block = F.lit(40) + 20 * F.floor(F.col("x") / 20)
+    kind = lambda a, b, c, d: F.when(s % 4 == 0, a).when(s % 4 == 1, b).when(s % 4 == 2, c).otherwise(d).cast("double")
+    return scenes(spark, sf_dir).select("scene", "y", "x", kind(grey, grey, block, F.lit(90)).alias("r"), kind(grey, other, block, F.lit(90)).alias("g"), kind(grey, grey, block, F.lit(120)).alias("b"))

@@ -30,6 +30,7 @@ from .common import as_bytes, unused
 
 LETTER = re.compile(r"[^\W\d_]")
 STEP = 1 << 20
+SLICE = 1024
 MODEL_BYTES = 1 << 28
 LANGUAGES = 1000
 
@@ -162,12 +163,14 @@ def in_some_language(docs: DataFrame, model: ContextModel, start: int = 16, enou
             return False
         return not model.languages or model.sampled < enough or float(model.code_lengths(text).min()) <= float(np.log(256)) * (len(text) + start)
 
+    at = names.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = pa.array([stays(text, shared.value) for text in as_bytes(batch.column(batch.num_columns - 1))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in batch.columns[:-1]], names)
+            for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
+                yield part.filter(pa.array([stays(text, shared.value) for text in as_bytes(part.column(at))], pa.bool_()))
 
-    return docs.withColumn(unused(names), F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame, sample: int = 400) -> DataFrame:

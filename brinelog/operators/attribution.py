@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, verdict
+from ..sources.written import saved
 from . import tracks
 
 
@@ -18,12 +19,11 @@ def origin(particles: DataFrame) -> DataFrame:
     return mean.crossJoin(F.broadcast(far))
 
 
-def soft_capture(track: DataFrame, particles: DataFrame, radius_km: float) -> DataFrame:
-    """mmsi, weight, captured: Gaussian weights of the particles within 1.5 radii of the vessel at their release time."""
+def soft_capture(track: DataFrame, particles: DataFrame, radius_km: float, segs: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """mmsi (and by), weight, captured: Gaussian weights of the particles within 1.5 radii of the vessel at their release time."""
     sigma = radius_km / 2
-    met = tracks.interpolate(track, particles.select("t", F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon"), "particle_id"))
-    near = met.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("m_at_lat"), F.col("m_at_lon"))).where(F.col("km") <= 3 * sigma)
-    return near.groupBy("mmsi").agg(F.sum(F.exp(-0.5 * F.pow(F.col("km") / sigma, 2))).alias("weight"), F.count("*").alias("captured"))
+    near = tracks.near_moments(segs or tracks.segments(track), track, particles, 3 * sigma)
+    return near.groupBy(*(by or []), "mmsi").agg(F.sum(F.exp(-0.5 * F.pow(F.col("km") / sigma, 2))).alias("weight"), F.count("*").alias("captured"))
 
 
 def global_rank(df: DataFrame, score: str, name: str) -> DataFrame:
@@ -45,8 +45,9 @@ def attribute(track: DataFrame, particles: DataFrame, radius_km: float = 5.0, pr
     if lat is None or lon is None:
         first = o.first()
         lat, lon = first["o_lat"], first["o_lon"]
-    behaviour = tracks.behavioural_factor(tracks.anomalies(track, lat, lon))
-    vessels = track.select("mmsi").distinct().join(soft_capture(track, particles, radius_km), "mmsi", "left").join(behaviour, "mmsi", "left").crossJoin(F.broadcast(o.select("n", "spread_km")))
+    segs = saved(tracks.segments(track), "segments")  # speed drops, gaps and the capture all read them
+    behaviour = tracks.behavioural_factor(tracks.anomalies(track, lat, lon, segs))
+    vessels = track.select("mmsi").distinct().join(soft_capture(track, particles, radius_km, segs), "mmsi", "left").join(behaviour, "mmsi", "left").crossJoin(F.broadcast(o.select("n", "spread_km")))
     wide = F.greatest(F.col("spread_km"), F.lit(sigma))
     unknown_likelihood = F.least(F.lit(1.0), F.lit(2 * math.pi * sigma * sigma) / (math.pi * wide * wide))
     likely = vessels.select("mmsi", F.coalesce("captured", F.lit(0)).alias("captured"), (F.coalesce("weight", F.lit(0.0)) / F.col("n")).alias("likelihood"), F.coalesce("factor", F.lit(1.0)).alias("factor"), (prior_unknown * unknown_likelihood).alias("u"))
@@ -57,6 +58,54 @@ def attribute(track: DataFrame, particles: DataFrame, radius_km: float = 5.0, pr
     return global_rank(posterior, "posterior", "mmsi").withColumn("verdict", verdict(F.col("posterior")))
 
 
+def origins(particles: DataFrame) -> DataFrame:
+    """drift_id, o_lat, o_lon, o_t, n, spread_km of each case's particles."""
+    mean = particles.groupBy("drift_id").agg(F.avg("lat").alias("o_lat"), F.avg("lon").alias("o_lon"), F.avg("t").alias("o_t"), F.count("*").alias("n"))
+    far = particles.join(mean, "drift_id").groupBy("drift_id").agg(F.sqrt(F.avg(F.pow(haversine_km(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")), 2))).alias("spread_km"))
+    return mean.join(far, "drift_id")
+
+
+def vessels_of_cases(track: DataFrame, cases: DataFrame, hours: float = 48.0) -> DataFrame:
+    """drift_id, mmsi: the vessels with a position within `hours` of a case's origin. Days meet, not positions."""
+    day, reach = 86_400.0, hours * 3600
+    days = track.groupBy("mmsi", F.floor(F.col("t") / day).alias("day")).agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    wanted = cases.select("drift_id", "o_t", F.explode(F.sequence(F.floor((F.col("o_t") - reach) / day), F.floor((F.col("o_t") + reach) / day))).alias("day"))
+    return days.join(wanted, "day").where((F.col("low") <= F.col("o_t") + reach) & (F.col("high") >= F.col("o_t") - reach)).select("drift_id", "mmsi").distinct()
+
+
+def attribute_cases(track: DataFrame, particles: DataFrame, radius_km: float = 5.0, prior_unknown: float = 0.25) -> DataFrame:
+    """Many cases at once: drift_id, mmsi (null: a source outside the data), captured, likelihood, factor, posterior, rank, verdict.
+
+    particles: drift_id, particle_id, t, lat, lon. Every vessel near a case in time is a hypothesis of it, and so is the
+    unknown source, which wins ties; a case's posteriors add up to one. A case without evidence is the unknown source's."""
+    sigma = radius_km / 2
+    segs, cases = saved(tracks.segments(track), "segments"), saved(origins(particles), "origins")
+    pairs = saved(vessels_of_cases(track, cases), "pairs")
+    gaps = pairs.join(tracks.longest_gap(track, segs), "mmsi").join(cases.select("drift_id", "o_lat", "o_lon"), "drift_id")
+    gap_ratio = tracks.classed_gaps(gaps, F.col("o_lat"), F.col("o_lon")).select("drift_id", "mmsi", F.col("ratio").alias("gap_ratio"))
+    own = tracks.behavioural_factor(tracks.speed_drops(track, segs).unionByName(tracks.loitering(track))).select("mmsi", "factor")
+    caught = soft_capture(track, particles, radius_km, segs, ["drift_id"])
+    rows = pairs.join(caught, ["drift_id", "mmsi"], "left").join(gap_ratio, ["drift_id", "mmsi"], "left").join(own, "mmsi", "left").join(cases.select("drift_id", "n"), "drift_id")
+    likelihood, one = F.coalesce("weight", F.lit(0.0)) / F.col("n"), F.lit(1.0)
+    vessels = rows.select("drift_id", "mmsi", F.coalesce("captured", F.lit(0)).alias("captured"), likelihood.alias("likelihood"), (F.coalesce("factor", one) * F.coalesce("gap_ratio", one)).alias("factor"))
+    vessels = vessels.withColumn("mass", (1 - prior_unknown) * F.col("likelihood") * F.col("factor"))
+    wide = F.greatest(F.col("spread_km"), F.lit(sigma))
+    elsewhere = F.least(F.lit(1.0), F.lit(2 * sigma * sigma) / (wide * wide))
+    unknown = cases.select("drift_id", elsewhere.alias("likelihood"), one.alias("factor"), (prior_unknown * elsewhere).alias("mass"))
+    every = vessels.unionByName(unknown, allowMissingColumns=True)
+    evidence = F.sum("mass").over(Window.partitionBy("drift_id"))
+    posterior = F.when(evidence > 0, F.col("mass") / evidence).otherwise(F.col("mmsi").isNull().cast("double"))
+    order = Window.partitionBy("drift_id").orderBy(F.desc("posterior"), F.col("mmsi").isNotNull(), F.col("mmsi").cast("string"))
+    return every.withColumn("posterior", posterior).withColumn("rank", F.row_number().over(order)).withColumn("verdict", verdict(F.col("posterior"))).drop("mass")
+
+
+def case_conclusions(hypotheses: DataFrame) -> DataFrame:
+    """drift_id, best (null: the unknown source), posterior, unknown, conclusion."""
+    first = F.struct("mmsi", "posterior", "verdict")
+    s = hypotheses.groupBy("drift_id").agg(F.min_by(first, "rank").alias("top"), F.max(F.when(F.col("mmsi").isNull(), F.col("posterior"))).alias("unknown"))
+    return s.select("drift_id", F.col("top.mmsi").alias("best"), F.col("top.posterior").alias("posterior"), "unknown", F.when(F.col("top.mmsi").isNull(), "insufficient_evidence").otherwise(F.col("top.verdict")).alias("conclusion"))
+
+
 def conclusion(ranked: DataFrame) -> DataFrame:
     """One row: best vessel, its posterior, the unknown source's, and what follows; unknown wins ties."""
     best = ranked.agg(F.max_by("mmsi", F.struct("posterior", -F.col("rank"))).alias("best"), F.max("posterior").alias("posterior"), F.max("unknown").alias("unknown"))
@@ -72,12 +121,13 @@ def legacy_minima(track: DataFrame, lat: float, lon: float, t: float, hours: flo
 
 
 def legacy_codes(track: DataFrame) -> DataFrame:
-    """mmsi, n_codes of the three older kinds of anomaly."""
+    """mmsi, codes and n_codes of the three older kinds of anomaly."""
     s = tracks.segments(track)
     pairs = s.groupBy("mmsi").agg(F.bool_or(F.col("dt") > 1800).alias("gap"), F.bool_or((F.col("dt") <= 600) & (F.abs(F.col("speed") - F.col("p_speed")) > 5)).alias("change"))
     both = pairs.join(tracks.legacy_loitering(track), "mmsi", "full")
-    as_int = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("int")
-    return both.select("mmsi", (as_int("gap") + as_int("change") + as_int("loiters")).alias("n_codes"))
+    names = {"gap": "ais_gap", "change": "speed_change", "loiters": "loitering"}
+    codes = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(n)) for c, n in names.items()]))
+    return both.select("mmsi", F.array_sort(codes).alias("codes"), F.size(codes).alias("n_codes"))
 
 
 def legacy_score(track: DataFrame, lat: float, lon: float, t: float, radius_km: float = 50.0, weights: tuple[float, float, float] = (0.40, 0.35, 0.25)) -> DataFrame:

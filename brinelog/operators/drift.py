@@ -29,6 +29,24 @@ def trajectory(starts: DataFrame, hours: float = 24.0, step_hours: float = 1.0,
     return moved.withColumn("end", end).select(*starts.columns, F.col("end.lat").alias("end_lat"), F.col("end.lon").alias("end_lon"))
 
 
+def path(starts: DataFrame, hours: float = 24.0, step_hours: float = 1.0, windage: float = 0.03) -> DataFrame:
+    """The columns of starts, the hindcast's places (lat, lon) from the oldest to the start, and how far off its end may be:
+    2 km and half a kilometre for each hour."""
+    steps, dt = int(hours / step_hours), step_hours * 3600
+    east, north = drift_velocity(F.col("wind"), F.col("wind_from"), F.col("current"), F.col("current_to"), windage, 0.0, F.col("lat"))
+    turn = 180 / math.pi
+
+    def step(places: Column, _: Column) -> Column:
+        at = F.element_at(places, -1)
+        new = F.struct((at["lat"] - F.col("vn") * dt / EARTH_M * turn).alias("lat"), (at["lon"] - F.col("ve") * dt / (EARTH_M * F.cos(F.radians(at["lat"]))) * turn).alias("lon"))
+        return F.concat(places, F.array(new))
+
+    moved = starts.withColumn("ve", east).withColumn("vn", north)
+    first = F.array(F.struct(F.col("lat"), F.col("lon")))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step) if steps else first
+    return moved.withColumn("path", F.reverse(walked)).withColumn("uncertainty_km", F.lit(2.0 + 0.5 * hours)).drop("ve", "vn")
+
+
 def step_fields(cases: DataFrame, hourly: DataFrame) -> DataFrame:
     """The cases with steps (an array with each hour's field, backward from t; null where no hour is near enough) and
     degraded_steps, how many are null. Single nulls of an hour are filled from the case's own field.

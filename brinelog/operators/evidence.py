@@ -53,6 +53,56 @@ def verify(manifests: DataFrame) -> DataFrame:
     return manifests.select("run_id", (F.size(reasons) == 0).alias("valid"), F.array_join(reasons, "; ").alias("reasons"))
 
 
+UNSEALED = ("created_at", "content_sha256", "manifest_sha256")
+
+
+def canonical(fields: Column, but: tuple[str, ...] = ()) -> Column:
+    """Canonical JSON of a map from name to text, but for some names: sorted keys, no spaces. Values are text already, as
+    every number of a manifest is; nested JSON goes through canonical_json."""
+    entries = F.array_sort(F.map_entries(F.map_filter(fields, lambda k, _: ~k.isin(*but)) if but else fields))
+    quoted = lambda x: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    told = F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.coalesce(quoted(e["value"]), F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(told, ","), F.lit("}"))
+
+
+def sealed(manifests: DataFrame, fields: str = "fields") -> DataFrame:
+    """Adds both seals to manifests (a map from name to text). The content's leaves out when it was made, so two runs of one
+    analysis show the same; the manifest's holds that and the content's seal, so that a new issue is visible."""
+    content = digest(canonical(F.col(fields), UNSEALED))
+    with_content = manifests.withColumn("content_sha256", content)
+    return with_content.withColumn("manifest_sha256", digest(canonical(F.map_concat(fields, F.create_map(F.lit("content_sha256"), F.col("content_sha256"))))))
+
+
+def verified(manifests: DataFrame, key: str, fields: str = "fields") -> DataFrame:
+    """key, valid, reasons: sealed manifests against what their fields give now, and against the files' digests where given
+    (input_now, model_now; null: not checked). Each reason names what doesn't hold."""
+    named = F.map_concat(F.map_filter(fields, lambda k, _: ~k.isin(*UNSEALED[1:])), F.create_map(F.lit("content_sha256"), F.col("content_sha256")))
+    checks = [
+        (~digest(canonical(named)).eqNullSafe(F.col("manifest_sha256")), "manifest_sha256"),
+        (~digest(canonical(F.col(fields), UNSEALED)).eqNullSafe(F.col("content_sha256")), "content_sha256"),
+        (F.col("input_now").isNotNull() & ~F.col("input_now").eqNullSafe(F.try_element_at(fields, F.lit("input_sha256"))), "input"),
+        (F.col("model_now").isNotNull() & ~F.col("model_now").eqNullSafe(F.try_element_at(fields, F.lit("model_sha256"))), "model"),
+    ]
+    reasons = F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in checks]))
+    return manifests.select(key, (F.size(reasons) == 0).alias("valid"), F.array_join(reasons, ",").alias("reasons"))
+
+
+def folder_digests(files: DataFrame, folder: str) -> DataFrame:
+    """folder, sha256 of folders of files (folder, path inside it, sha256): a walk from the top, each folder's own files by
+    name before its sub-folders by name; paths and digests are strung together and digested."""
+    steps = F.split("path", "/")
+    inner = F.slice(steps, 1, F.size(steps) - 1)
+    # a file sorts before every sub-folder of its own folder: files' names get a lower mark than folders'
+    order = F.concat(F.transform(inner, lambda s: F.concat(F.lit("1"), s)), F.array(F.concat(F.lit("0"), F.element_at(steps, -1))))
+    each = files.select(folder, F.struct(order.alias("by"), "path", "sha256").alias("f"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda f: F.concat(f["path"], f["sha256"])), "")
+    return each.groupBy(folder).agg(F.sha2(told, 256).alias("sha256"))
+
+
+def code_version(commit: str | None, dirty: bool = False) -> str:
+    return "unavailable" if not commit else f"{commit}-dirty" if dirty else commit
+
+
 def dossier(runs: DataFrame, regions: DataFrame, suspects: DataFrame) -> DataFrame:
     """One nested row per run: its regions by falling area and its suspects by rank."""
     r = regions.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("area")).alias("by"), "region_id", "area"))).alias("regions"))

@@ -13,9 +13,33 @@ def joined_fields(wind: DataFrame, current: DataFrame) -> DataFrame:
 def nearest_hour(probes: DataFrame, fields: DataFrame, within: int = 24) -> DataFrame:
     """Each probe (probe_id, t in epoch seconds) with the field of the nearest hour, the earlier of two; null beyond `within` hours.
 
-    Probes meet only the hours around them, by equality, never all of them."""
-    hour = F.floor(F.col("t") / 3600).cast("long")
-    around = probes.withColumn("hour", F.explode(F.sequence(hour - within, hour + 1 + within)))
-    met = around.join(fields, "hour").withColumn("away", F.abs(F.col("t") - F.col("hour") * 3600))
-    best = met.groupBy("probe_id").agg(F.min_by(F.struct(*fields.columns), F.struct("away", "hour")).alias("f"))
-    return probes.join(best, "probe_id", "left").select(*probes.columns, "f.*")
+    Which hours with a field lie next before and after depends on the probe's own hour alone, so they are looked up once for
+    each hour that has probes, and the probes join that short table by their hour."""
+    bucket = F.floor(F.col("t") / 3600).cast("long")
+    around = probes.select(bucket.alias("bucket")).distinct().withColumn("hour", F.explode(F.sequence(F.col("bucket") - within, F.col("bucket") + 1 + within)))
+    side = lambda f, when: f(F.when(when, F.struct(*fields.columns)), F.when(when, F.col("hour")))
+    ends = around.join(fields, "hour").groupBy("bucket").agg(side(F.max_by, F.col("hour") <= F.col("bucket")).alias("back"), side(F.min_by, F.col("hour") > F.col("bucket")).alias("ahead"))
+    met = probes.withColumn("bucket", bucket).join(ends, "bucket", "left")
+    earlier = F.col("ahead").isNull() | (F.col("t") - F.col("back.hour") * 3600 <= F.col("ahead.hour") * 3600 - F.col("t"))
+    return met.withColumn("f", F.when(F.col("back").isNotNull() & earlier, F.col("back")).otherwise(F.col("ahead"))).select(*probes.columns, "f.*")
+
+
+# fixed values: what stands in where no field is known
+DEFAULTS = {"wind": 5.0, "wind_from": 180.0, "current": 0.3, "current_to": 90.0}
+
+
+def cache_key(lat, lon, moment):
+    """Where and when a field is the same: hundredths of a degree and the hour."""
+    return F.format_string("metocean:%.2f:%.2f:%s", lat, lon, F.date_format(moment, "yyyyMMdd_HH"))
+
+
+def sampled(probes: DataFrame, fields: DataFrame, point: DataFrame | None = None, within: int = 24) -> DataFrame:
+    """Each probe (probe_id, t) with the nearest hour's fields; a field that is missing there comes from the probe's own point
+    sample (probe_id and the fields), else from the defaults. `source` says where each probe's values are from."""
+    names = list(DEFAULTS)
+    series = nearest_hour(probes, fields.select("hour", *names), within)
+    own = point.select("probe_id", *[F.col(c).alias(f"point_{c}") for c in names]) if point is not None else probes.select("probe_id", *[F.lit(None).cast("double").alias(f"point_{c}") for c in names])
+    met = series.join(own, "probe_id", "left")
+    values = {c: F.coalesce(F.col(c), F.col(f"point_{c}"), F.lit(DEFAULTS[c])) for c in names}
+    source = F.when(F.col("hour").isNotNull(), "series").when(F.coalesce(*[F.col(f"point_{c}") for c in names]).isNotNull(), "point").otherwise("default")
+    return met.select(*probes.columns, "hour", *[v.alias(c) for c, v in values.items()], source.alias("source"), F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in names]).alias("filled"))

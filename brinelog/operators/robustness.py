@@ -32,6 +32,25 @@ def stability(results: DataFrame, baseline, by: str) -> DataFrame:
     return s.withColumn("band", F.when(F.col("stability") >= 0.75, "robust").when(F.col("stability") >= 0.45, "conditional").otherwise("fragile"))
 
 
+def baseline_posteriors(scenarios: DataFrame, posteriors: DataFrame, baseline, by: str) -> DataFrame:
+    """by, scenario, winner, verdict and the posterior of the baseline vessel (0 where a scenario doesn't know it), or of the
+    unknown source where no baseline was named. posteriors: by, scenario, mmsi (null: unknown), posterior; baseline: a column."""
+    own = posteriors.withColumn("base", baseline).where(F.col("mmsi").eqNullSafe(F.col("base"))).select(by, "scenario", F.col("posterior").alias("own"))
+    return scenarios.join(own, [by, "scenario"], "left").withColumn("posterior", F.coalesce("own", F.lit(0.0))).drop("own")
+
+
+def audited(results: DataFrame, baseline, by: str) -> DataFrame:
+    """by, scenarios, failed, stability, verdict_stability, least, median, most. A failed scenario (verdict null) names no winner: it
+    counts for stability, where a null baseline holds it, and neither for the verdicts nor for the posteriors."""
+    ran = F.col("verdict").isNotNull()
+    steady = F.when(ran, F.col("verdict").isin("strong", "probable").cast("double"))
+    p = F.when(ran, F.col("posterior"))
+    return results.groupBy(by).agg(
+        F.count("*").alias("scenarios"), F.count_if(~ran).alias("failed"), F.avg(F.col("winner").eqNullSafe(baseline).cast("double")).alias("stability"),
+        F.coalesce(F.avg(steady), F.lit(0.0)).alias("verdict_stability"), F.coalesce(F.min(p), F.lit(0.0)).alias("least"), F.coalesce(F.median(p), F.lit(0.0)).alias("median"), F.coalesce(F.max(p), F.lit(0.0)).alias("most"),
+    )
+
+
 def influence(results: DataFrame, baseline, parameters: dict[str, float]) -> DataFrame:
     """parameter, influence: distance of its means in held and flipped scenarios over its span."""
     pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(p).alias("value"), F.lit(float(s)).alias("span")) for p, s in parameters.items()]))

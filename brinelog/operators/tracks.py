@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -48,6 +50,42 @@ def interpolate(track: DataFrame, moments: DataFrame, max_gap: float = MAX_GAP)
     return met.unionByName(lone)
 
 
+def near_moments(segs: DataFrame, track: DataFrame, moments: DataFrame, reach_km: float, max_gap: float = MAX_GAP) -> DataFrame:
+    """mmsi, km and the columns of moments (t, lat, lon, any others): the moments within `reach_km` of a vessel's interpolated place.
+
+    As `interpolate`, but segments and moments meet by hour and cell, so that what is far apart never meets: cells come in
+    sizes of 360 degrees over powers of two, a segment lies in the few cells of the size that its box (widened by the
+    reach) calls for, and a moment in one cell of each size."""
+    degrees = reach_km / 111.0
+    finest = max(0, int(math.floor(math.log2(360.0 / degrees))))
+    size = F.lit(360.0) / F.pow(F.lit(2.0), F.col("level"))
+    cell = lambda x: F.floor((x + 180.0) / size)
+    around = lambda x: F.pmod(x, F.pow(F.lit(2.0), F.col("level")).cast("long"))
+    hour = lambda t: F.floor(t / max_gap)
+    keys = ["bucket", "level", "cy", "cx"]
+
+    def dealt(rows: DataFrame, lat0, lat1, lon0, lon1, since, until) -> DataFrame:
+        wide = degrees / F.greatest(F.lit(0.02), F.cos(F.radians(F.greatest(F.abs(lat0), F.abs(lat1)) + degrees)))
+        extent = F.greatest(F.greatest(lat0, lat1) - F.least(lat0, lat1) + 2 * degrees, F.greatest(lon0, lon1) - F.least(lon0, lon1) + 2 * wide)
+        rows = rows.withColumn("level", F.greatest(F.lit(0), F.least(F.lit(finest), F.floor(F.log2(360.0 / extent)).cast("int"))))
+        cells = lambda a, b, by: F.sequence(cell(F.least(a, b) - by), cell(F.greatest(a, b) + by))
+        rows = rows.withColumn("bucket", F.explode(F.sequence(hour(since), hour(until)))).withColumn("cy", F.explode(cells(lat0, lat1, degrees)))
+        return rows.withColumn("cx", F.explode(F.array_distinct(F.transform(cells(lon0, lon1, wide), around))))
+
+    lat, lon, p_lat, p_lon = (F.col(c) for c in ("lat", "lon", "p_lat", "p_lon"))
+    short = segs.where(F.col("dt") <= max_gap).withColumn("u_lon", p_lon + wrap_lon(lon - p_lon))
+    short = dealt(short, p_lat, lat, p_lon, F.col("u_lon"), F.col("p_t"), F.col("t"))
+    others = {c: f"m_{c}" for c in moments.columns}
+    own = moments.withColumnsRenamed(others).withColumn("bucket", hour(F.col("m_t"))).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(finest))))
+    own = own.withColumn("cy", cell(F.col("m_lat"))).withColumn("cx", around(cell(F.col("m_lon"))))
+    inside = ((F.col("p_t") < F.col("m_t")) | (F.col("first_segment") & (F.col("p_t") == F.col("m_t")))) & (F.col("m_t") <= F.col("t"))
+    met = short.join(own, keys).where(inside).select("mmsi", *others.values(), at(F.col("m_t"), "lat").alias("lat"), at(F.col("m_t"), "lon").alias("lon"))
+    single = track.groupBy("mmsi").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("t", "lat", "lon")]).where("n = 1")
+    lone = dealt(single, lat, lat, lon, lon, F.col("t") - max_gap, F.col("t") + max_gap).join(own, keys).where(F.abs(F.col("m_t") - F.col("t")) <= max_gap).select("mmsi", *others.values(), "lat", "lon")
+    near = met.unionByName(lone).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("m_lat"), F.col("m_lon"))).where(F.col("km") <= reach_km)
+    return near.select("mmsi", "km", *[F.col(n).alias(o) for o, n in others.items()])
+
+
 def closest_approach(track: DataFrame, lat: float, lon: float, t: float, window: float = 48 * 3600.0, max_gap: float = MAX_GAP) -> DataFrame:
     """mmsi, cpa_km, cpa_t over the positions in the window and eleven points inside each segment; the first of equals."""
     near = lambda c: F.abs(F.col(c) - t) <= window
@@ -59,29 +97,50 @@ def closest_approach(track: DataFrame, lat: float, lon: float, t: float, window:
     return each.groupBy("mmsi").agg(F.min("km").alias("cpa_km"), F.min_by("moment", F.struct("km", "moment")).alias("cpa_t"))
 
 
-def longest_gap(track: DataFrame) -> DataFrame:
-    """mmsi, gap_s and the gap's ends; the earliest of equal gaps."""
+def longest_gap(track: DataFrame, segs: DataFrame | None = None) -> DataFrame:
+    """mmsi, gap_s and the gap's ends; the earliest of equal gaps. segs: the track's segments, where they are at hand."""
     ends = F.struct("p_t", "t", "p_lat", "p_lon", "lat", "lon")
-    return segments(track).groupBy("mmsi").agg(F.max_by(ends, F.struct("dt", (-F.col("t")).alias("early"), (-F.col("ordinal")).alias("o"))).alias("e"), F.max("dt").alias("gap_s")).select("mmsi", "gap_s", "e.*")
+    return (segs or segments(track)).groupBy("mmsi").agg(F.max_by(ends, F.struct("dt", (-F.col("t")).alias("early"), (-F.col("ordinal")).alias("o"))).alias("e"), F.max("dt").alias("gap_s")).select("mmsi", "gap_s", "e.*")
 
 
-def gap_classes(track: DataFrame, lat: float, lon: float) -> DataFrame:
+def gap_classes(track: DataFrame, lat: float, lon: float, segs: DataFrame | None = None) -> DataFrame:
     """mmsi, code, severity, ratio of the longest gap above 30 minutes; dark if its midpoint lies within 25 km."""
-    g = longest_gap(track).where("gap_s > 1800").withColumn("minutes", F.col("gap_s") / 60)
-    km = haversine_km((F.col("p_lat") + F.col("lat")) / 2, (F.col("p_lon") + F.col("lon")) / 2, F.lit(lat), F.lit(lon))
+    return classed_gaps(longest_gap(track, segs), F.lit(lat), F.lit(lon)).select("mmsi", "code", "severity", "ratio")
+
+
+def classed_gaps(gaps: DataFrame, lat, lon) -> DataFrame:
+    """Longest gaps above 30 minutes with code, severity and ratio, seen from a place (columns)."""
+    g = gaps.where("gap_s > 1800").withColumn("minutes", F.col("gap_s") / 60)
+    km = haversine_km((F.col("p_lat") + F.col("lat")) / 2, (F.col("p_lon") + F.col("lon")) / 2, lat, lon)
     code = F.when((F.col("minutes") > 45) & (km <= 25), "dark_vessel_gap").when(F.col("minutes") > 45, "ais_gap_long").otherwise("ais_gap_short")
     base = F.when(F.col("code") == "dark_vessel_gap", 2.10).when(F.col("code") == "ais_gap_long", 1.60).otherwise(1.15)
     severity = F.least(F.lit(1.0), F.col("minutes") / 180)
-    return g.withColumn("code", code).withColumn("severity", severity).withColumn("ratio", 1 + (base - 1) * F.greatest(F.col("severity"), F.lit(0.35))).select("mmsi", "code", "severity", "ratio")
+    return g.withColumn("code", code).withColumn("severity", severity).withColumn("ratio", 1 + (base - 1) * F.greatest(F.col("severity"), F.lit(0.35)))
 
 
-def speed_drops(track: DataFrame) -> DataFrame:
+def speed_drops(track: DataFrame, segs: DataFrame | None = None) -> DataFrame:
     """mmsi, code, severity, ratio: one for each pair at most ten minutes apart that loses over 5 knots."""
     drop = F.col("p_speed") - F.col("speed")
-    s = segments(track).where((F.col("dt") > 0) & (F.col("dt") <= 600) & (drop > 5))
+    s = (segs or segments(track)).where((F.col("dt") > 0) & (F.col("dt") <= 600) & (drop > 5))
     return s.select("mmsi", F.lit("speed_drop").alias("code"), F.least(F.lit(1.0), drop / 15).alias("severity")).withColumn("ratio", 1 + 0.35 * F.col("severity"))
 
 
+def next_event(t: np.ndarray, phi: np.ndarray, lam: np.ndarray, anchor: int, km: float, least: float) -> tuple[int, bool]:
+    """The first position after the anchor that lies over `km` from it (its place, True) or comes over `least` seconds later
+    while still near (its place, False); the track's length if neither comes. Looked for in blocks of growing length."""
+    at, block = anchor + 1, 16
+    while at < len(t):
+        j = slice(at, min(len(t), at + block))
+        across = (lam[j] - lam[anchor] + np.pi) % (2 * np.pi) - np.pi
+        a = np.sin((phi[j] - phi[anchor]) / 2) ** 2 + np.cos(phi[anchor]) * np.cos(phi[j]) * np.sin(across / 2) ** 2
+        far = 2 * 6371.0 * np.arcsin(np.minimum(1.0, np.sqrt(a))) > km
+        hit = np.flatnonzero(far | (t[j] - t[anchor] > least))
+        if len(hit):
+            return at + int(hit[0]), bool(far[hit[0]])
+        at, block = j.stop, block * 2
+    return len(t), True
+
+
 def loitering(track: DataFrame, km: float = 2.0, least: float = 3600.0) -> DataFrame:
     """mmsi, code, severity, ratio of the first dwell of over an hour within 2 km of a moving anchor; tracks of three or more.
 
@@ -89,28 +148,22 @@ def loitering(track: DataFrame, km: float = 2.0, least: float = 3600.0) -> DataF
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "ordinal"])
-        t, lat, lon = (pdf[c].to_numpy() for c in ("t", "lat", "lon"))
-        anchor, dwell = 0, None
-        phi, lam = np.radians(lat), np.radians(lon)
-        for i in range(1, len(t) if len(t) >= 3 else 0):
-            across = (lam[i] - lam[anchor] + np.pi) % (2 * np.pi) - np.pi
-            a = np.sin((phi[i] - phi[anchor]) / 2) ** 2 + np.cos(phi[anchor]) * np.cos(phi[i]) * np.sin(across / 2) ** 2
-            if 2 * 6371.0 * np.arcsin(min(1.0, np.sqrt(a))) > km:
-                anchor = i
-            elif t[i] - t[anchor] > least:
-                dwell = t[i] - t[anchor]
-                break
-        if dwell is None:
+        t, phi, lam = pdf["t"].to_numpy(), np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
+        at, far = 0, True
+        while far and at < len(t) and len(t) >= 3:
+            anchor = at
+            at, far = next_event(t, phi, lam, anchor, km, least)
+        if far:
             return pd.DataFrame({"mmsi": [], "severity": [], "ratio": []})
-        severity = min(1.0, dwell / 21600)
+        severity = min(1.0, (t[at] - t[anchor]) / 21600)
         return pd.DataFrame({"mmsi": [pdf["mmsi"].iloc[0]], "severity": [severity], "ratio": [1 + 0.45 * severity]})
 
-    found = track.groupBy("mmsi").applyInPandas(run, "mmsi long, severity double, ratio double")
+    found = track.select("mmsi", "t", "ordinal", "lat", "lon").groupBy("mmsi").applyInPandas(run, "mmsi long, severity double, ratio double")
     return found.select("mmsi", F.lit("loitering").alias("code"), "severity", "ratio")
 
 
-def anomalies(track: DataFrame, lat: float, lon: float) -> DataFrame:
-    return speed_drops(track).unionByName(gap_classes(track, lat, lon)).unionByName(loitering(track))
+def anomalies(track: DataFrame, lat: float, lon: float, segs: DataFrame | None = None) -> DataFrame:
+    return speed_drops(track, segs).unionByName(gap_classes(track, lat, lon, segs)).unionByName(loitering(track))
 
 
 def behavioural_factor(found: DataFrame) -> DataFrame:
@@ -157,19 +210,15 @@ def integrity(track: DataFrame) -> DataFrame:
 def legacy_loitering(track: DataFrame, km: float = 2.0, least: float = 3600.0) -> DataFrame:
     """mmsi of tracks with some position that all following ones stay within 2 km of for over an hour.
 
-    A chain from i holds until the first position outside; it can only be as long as the dwell there, so the fold below
-    moves on from each start to its own first exit. Tracks stream through one at a time."""
+    From each start the track is followed to the first position outside or the first after an hour, whichever comes first:
+    never further than a dwell, so a track costs its length times the positions of an hour. A track at a time."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "ordinal"])
         t, phi, lam = pdf["t"].to_numpy(), np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
         for i in range(len(t) - 1):
-            across = (lam[i + 1 :] - lam[i] + np.pi) % (2 * np.pi) - np.pi
-            a = np.sin((phi[i + 1 :] - phi[i]) / 2) ** 2 + np.cos(phi[i]) * np.cos(phi[i + 1 :]) * np.sin(across / 2) ** 2
-            out = np.flatnonzero(2 * 6371.0 * np.arcsin(np.minimum(1.0, np.sqrt(a))) > km)
-            last = i + (int(out[0]) if len(out) else len(t) - 1 - i)
-            if t[last] - t[i] > least:
+            if not next_event(t, phi, lam, i, km, least)[1]:
                 return pd.DataFrame({"mmsi": [pdf["mmsi"].iloc[0]], "loiters": [True]})
         return pd.DataFrame({"mmsi": [], "loiters": []}).astype({"mmsi": "int64", "loiters": "bool"})
 
-    return track.groupBy("mmsi").applyInPandas(one, "mmsi long, loiters boolean")
+    return track.select("mmsi", "t", "ordinal", "lat", "lon").groupBy("mmsi").applyInPandas(one, "mmsi long, loiters boolean")

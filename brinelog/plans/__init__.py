@@ -2,6 +2,6 @@
 
 
 def registered() -> list:
-    from . import evidence, raster, regions, scoring, tracks, weather
+    from . import cases, evidence, raster, regions, scoring, tracks, weather
 
-    return [tracks, scoring, weather, raster, regions, evidence]
+    return [tracks, scoring, weather, raster, regions, cases, evidence]

@@ -177,4 +177,20 @@ def breaking_points_top3(spark: SparkSession, sf: str) -> DataFrame:
     return B.breaking_points(scenarios(spark, sf), F.lit(1), "wind_scale", 0.5, 1.0).select("scenario", "winner", *r6("value"))
 
 
+AUDIT = f"""{SCENARIOS}, r AS (SELECT scenario % 10 AS run_id, scenario // 10 AS k, CASE WHEN winner = 0 THEN NULL ELSE winner END AS winner, CASE WHEN scenario % 9 = 0 THEN NULL WHEN posterior >= 0.6 THEN 'strong' WHEN posterior >= 0.35 THEN 'probable' ELSE 'weak' END AS verdict, posterior AS p,
+  CASE WHEN scenario % 10 % 3 = 0 THEN NULL ELSE 1 END AS base FROM scn),
+w AS (SELECT *, CASE WHEN base IS NULL THEN 1 - p WHEN winner IS NOT NULL AND scenario_known THEN p ELSE 0 END AS own FROM (SELECT *, k % 5 <> 0 AS scenario_known FROM r))"""
+
+
+@query(f"WITH {AUDIT} SELECT run_id, count(*) AS scenarios, count(*) FILTER (verdict IS NULL) AS failed, round(avg((winner IS NOT DISTINCT FROM base)::INT), 6) AS stability, round(coalesce(avg((verdict IN ('strong', 'probable'))::INT), 0), 6) AS verdict_stability, round(coalesce(min(own) FILTER (verdict IS NOT NULL), 0), 6) AS least, round(coalesce(median(own) FILTER (verdict IS NOT NULL), 0), 6) AS median, round(coalesce(max(own) FILTER (verdict IS NOT NULL), 0), 6) AS most FROM w GROUP BY 1")
+def robustness_audit(spark: SparkSession, sf: str) -> DataFrame:
+    s, p, k = scenarios(spark, sf), F.col("posterior"), F.col("scenario")
+    r = s.select((k % 10).alias("run_id"), F.floor(k / 10).alias("scenario"), F.when(F.col("winner") != 0, F.col("winner")).alias("winner"), F.when(k % 9 != 0, F.when(p >= 0.6, "strong").when(p >= 0.35, "probable").otherwise("weak")).alias("verdict"), "posterior")
+    known = r.where("winner IS NOT NULL AND scenario % 5 <> 0").select("run_id", "scenario", F.lit(1).alias("mmsi"), "posterior")
+    unknown = r.select("run_id", "scenario", F.lit(None).cast("int").alias("mmsi"), (1 - p).alias("posterior"))
+    base = F.when(F.col("run_id") % 3 != 0, F.lit(1))
+    own = B.baseline_posteriors(r.drop("posterior"), known.unionByName(unknown), base, "run_id")
+    return B.audited(own, base, "run_id").select("run_id", "scenarios", "failed", *r6("stability", "verdict_stability", "least", "median", "most"))
+
+
 QUERIES, ORACLE_SQL = Q, SQL

@@ -9,7 +9,7 @@ from ..operators import attribution as A
 from ..operators import tracks as T
 from ..sources.adapters import T0, particles, positions
 from .sql import AIS, PARTICLES, PI, SEG, hav
-from .tracks import FLAGS, INTERP, LEGACY_LOITER, _factor, _gaps, r6
+from .tracks import DROPS, FLAGS, INTERP, LEGACY_LOITER, LOITER, _factor, _gaps, r6
 
 RADIUS = 60.0
 O_LAT, O_LON, O_T = 19.0, 72.0, T0 + 6 * 3600
@@ -111,4 +111,41 @@ def top_suspects(spark: SparkSession, sf: str) -> DataFrame:
     return ranked(spark, sf).where("rank <= 3").select("mmsi", "rank", *r6("posterior"))
 
 
+DRIFTS = f"""clouds AS (SELECT *, particle_id % 4 AS drift_id FROM particles),
+org0 AS (SELECT drift_id, avg(lat) AS o_lat, avg(lon) AS o_lon, avg(t) AS o_t, count(*) AS n FROM clouds GROUP BY 1),
+org AS (SELECT o.*, s.spread FROM org0 o JOIN (SELECT c.drift_id, sqrt(avg({hav('lat', 'lon', 'o_lat', 'o_lon')} ** 2)) AS spread FROM clouds c JOIN org0 USING (drift_id) GROUP BY 1) s USING (drift_id)),
+near AS (SELECT particle_id % 4 AS drift_id, mmsi, {hav('lat', 'lon', 'at_lat', 'at_lon')} AS km FROM met),
+caught AS (SELECT drift_id, mmsi, sum(exp(-0.5::DOUBLE * (km / {SIGMA}) ** 2)) AS weight, count(*) AS captured FROM near WHERE km <= 3 * {SIGMA} GROUP BY 1, 2),
+fixed0 AS (SELECT mmsi, 1 + 0.35::DOUBLE * severity AS ratio FROM drops UNION ALL SELECT mmsi, 1 + 0.45::DOUBLE * severity FROM loiter), fixed AS (SELECT mmsi, product(ratio) AS f FROM fixed0 GROUP BY 1),
+long AS (SELECT mmsi, max(dt) AS gap_s, max_by((p_lat + lat) / 2, dt) AS g_lat, max_by((p_lon + lon) / 2, dt) AS g_lon FROM seg GROUP BY 1),
+gp AS (SELECT drift_id, mmsi, gap_s, {hav('g_lat', 'g_lon', 'o_lat', 'o_lon')} AS km, least(1.0::DOUBLE, gap_s / 10800) AS sev FROM long, org WHERE gap_s > 1800),
+gr AS (SELECT drift_id, mmsi, 1 + CASE WHEN gap_s > 2700 AND km <= 25 THEN 1.1::DOUBLE WHEN gap_s > 2700 THEN 0.6::DOUBLE ELSE 0.15::DOUBLE END * greatest(sev, 0.35::DOUBLE) AS g FROM gp),
+pr AS (SELECT DISTINCT drift_id, n, mmsi FROM ais, org WHERE abs(t - o_t) <= 172800),
+hyp AS (SELECT pr.drift_id, pr.mmsi, coalesce(captured, 0) AS captured, coalesce(weight, 0) / n AS likelihood, coalesce(f, 1) * coalesce(g, 1) AS factor FROM pr LEFT JOIN caught c ON pr.drift_id = c.drift_id AND pr.mmsi = c.mmsi LEFT JOIN gr ON pr.drift_id = gr.drift_id AND pr.mmsi = gr.mmsi LEFT JOIN fixed x ON pr.mmsi = x.mmsi
+  UNION ALL SELECT drift_id, NULL, NULL, least(1.0::DOUBLE, 2 * {SIGMA} * {SIGMA} / greatest(spread, {SIGMA}) ** 2), 1.0::DOUBLE FROM org),
+ms AS (SELECT *, CASE WHEN mmsi IS NULL THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END * likelihood * factor AS mass FROM hyp),
+ps AS (SELECT *, mass / sum(mass) OVER (PARTITION BY drift_id) AS posterior FROM ms),
+rk AS (SELECT *, row_number() OVER (PARTITION BY drift_id ORDER BY posterior DESC, mmsi IS NOT NULL, mmsi::VARCHAR)::INT AS rank, CASE WHEN posterior >= 0.6 THEN 'strong' WHEN posterior >= 0.35 THEN 'probable' WHEN posterior >= 0.15 THEN 'weak' ELSE 'insufficient' END AS verdict FROM ps)"""
+BY_CASE = f"WITH RECURSIVE {AIS}, {SEG}, {DROPS}, {LOITER}, {PARTICLES}, {INTERP}, {DRIFTS}"
+
+
+def by_case(spark: SparkSession, sf: str) -> DataFrame:
+    return A.attribute_cases(positions(spark, sf), particles(spark, sf).withColumn("drift_id", F.col("particle_id") % 4), RADIUS)
+
+
+@query(f"{BY_CASE} SELECT drift_id, mmsi, captured, round(likelihood, 6) AS likelihood, round(factor, 4) AS factor, round(posterior, 6) AS posterior, rank, verdict FROM rk")
+def attribution_by_case(spark: SparkSession, sf: str) -> DataFrame:
+    return by_case(spark, sf).select("drift_id", "mmsi", "captured", *r6("likelihood"), F.round("factor", 4).alias("factor"), *r6("posterior"), "rank", "verdict")
+
+
+@query(f"{BY_CASE} SELECT drift_id, min_by(coalesce(mmsi, -1), rank) AS best, round(max(posterior), 6) AS posterior, round(max(posterior) FILTER (mmsi IS NULL), 6) AS unknown, CASE WHEN min_by(coalesce(mmsi, -1), rank) = -1 THEN 'insufficient_evidence' ELSE min_by(verdict, rank) END AS conclusion FROM rk GROUP BY 1")
+def conclusions_by_case(spark: SparkSession, sf: str) -> DataFrame:
+    return A.case_conclusions(by_case(spark, sf)).select("drift_id", F.coalesce("best", F.lit(-1)).alias("best"), *r6("posterior", "unknown"), "conclusion")
+
+
+@query(f"{HEADLESS}, {LEGACY_LOITER}, k AS (SELECT s.mmsi, max((dt > 1800)::INT) AS gap, max((dt <= 600 AND abs(speed - p_speed) > 5)::INT) AS change, max((l.mmsi IS NOT NULL)::INT) AS stays FROM seg s LEFT JOIN old_loiter l ON s.mmsi = l.mmsi GROUP BY 1) SELECT mmsi, concat_ws(' ', CASE WHEN gap = 1 THEN 'ais_gap' END, CASE WHEN stays = 1 THEN 'loitering' END, CASE WHEN change = 1 THEN 'speed_change' END) AS codes FROM k")
+def legacy_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return A.legacy_codes(positions(spark, sf)).select("mmsi", F.array_join("codes", " ").alias("codes"))
+
+
 QUERIES, ORACLE_SQL = Q, SQL

@@ -49,3 +49,11 @@ def append(rows: DataFrame, path: str, by: str | None = None) -> None:
 def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
     """Replaces exactly the partitions that rows has."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def counters(raw: DataFrame, cleaned: DataFrame, existing: DataFrame) -> DataFrame:
+    """One row: vessels_created, records_created and errors of a load."""
+    fresh = absent(cleaned.select("mmsi").distinct(), existing.select("mmsi").distinct(), "mmsi").agg(F.count("*").alias("vessels_created"))
+    kept = cleaned.agg(F.count("*").alias("records_created"))
+    read = raw.agg(F.count("*").alias("n"))
+    return fresh.crossJoin(kept).crossJoin(read).select("vessels_created", "records_created", (F.col("n") - F.col("records_created")).alias("errors"))  # one row each

@@ -125,10 +125,13 @@ def nearest_share(particles: DataFrame, by: str, share: float) -> DataFrame:
     return d.where(F.col("rn") <= F.greatest(F.lit(3), F.ceil(F.col("n") * share)))
 
 
-def hulls(particles: DataFrame, by: str) -> DataFrame:
-    """by, ring: closed convex hull of each group's points, anticlockwise from the westmost."""
+def hulls(particles: DataFrame, by: str, slices: int = 64) -> DataFrame:
+    """by, ring: closed convex hull of each group's points, anticlockwise from the westmost.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    A group is cut into slices by a hash of the point (so repeated points meet), each slice is reduced to its own hull, and
+    the hull of those few points is the group's: no task holds a group's points."""
+
+    def corners(pdf: pd.DataFrame) -> list:
         points = sorted(set(zip(pdf["lon"].tolist(), pdf["lat"].tolist(), strict=True)))
 
         def chain(of: list) -> list:
@@ -139,7 +142,15 @@ def hulls(particles: DataFrame, by: str) -> DataFrame:
                 out.append(p)
             return out
 
-        ring = points if len(points) < 3 else chain(points)[:-1] + chain(points[::-1])[:-1]
+        return points if len(points) < 3 else chain(points)[:-1] + chain(points[::-1])[:-1]
+
+    def slice_hull(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf[by].iloc[0], *p) for p in corners(pdf)], columns=[by, "lon", "lat"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring = corners(pdf)
         return pd.DataFrame({by: [pdf[by].iloc[0]], "ring": [[list(p) for p in [*ring, ring[0]]]]})
 
-    return particles.select(by, "lon", "lat").groupBy(by).applyInPandas(run, f"{by} long, ring array<array<double>>")
+    cut = particles.select(by, "lon", "lat").withColumn("slice", F.pmod(F.xxhash64("lon", "lat"), F.lit(slices)))
+    few = cut.groupBy(by, "slice").applyInPandas(slice_hull, f"{by} long, lon double, lat double")
+    return few.groupBy(by).applyInPandas(whole, f"{by} long, ring array<array<double>>")

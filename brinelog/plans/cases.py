@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from ..operators import joins as J
 from ..operators import text as X
 from ..operators import tracks as T
 from ..sources import ais_csv as C
+from ..sources import rasters as R
 from ..sources.adapters import T0, hourly_fields, positions, runs, table
 from ..sources.written import shared_folder
 from .sql import AIS, HOURS, SEG
@@ -235,4 +239,59 @@ def hindcast_path(spark: SparkSession, sf: str) -> DataFrame:
     return D.path(starts(spark, sf), 24.0).select("particle_id", F.posexplode("path").alias("step", "p"), "uncertainty_km").where("step IN (0, 13, 24)").select("particle_id", F.col("step").cast("long").alias("step"), F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"), "uncertainty_km")
 
 
+# ---- raster files and sidecars
+
+def tiffs(spark: SparkSession, sf: str) -> DataFrame:
+    """path, content: each part as the TIFF file of a small two-band picture; some without a place, some cut short."""
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for k in pdf["p_partkey"].tolist():
+                w, h, wide = 3 + k % 4, 2 + k % 3, k % 2 == 1
+                pixels = ((np.arange(w * h * 2) * 7 + k) % 250).astype("<u2" if wide else "u1").tobytes()
+                tags = [(256, 3, 1, w), (257, 3, 1, h), (258, 3, 2, 16 * 65537 if wide else 8 * 65537), (259, 3, 1, 1), (273, 4, 1, 300), (277, 3, 1, 2), (279, 4, 1, len(pixels))]
+                tags += [(33550, 12, 3, 200), (33922, 12, 6, 230)] if k % 5 else []
+                head = b"II" + struct.pack("<HIH", 42, 8, len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags)
+                place = struct.pack("<3d", 0.01, 0.02, 0) + b"\0" * 6 + struct.pack("<6d", 0, 0, 0, -170 + k % 300, 80 - k % 100, 0)
+                whole = head.ljust(200, b"\0") + place.ljust(100, b"\0") + pixels
+                rows.append((f"scene/{k}.tif", whole[:50] if k % 11 == 0 else whole))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return table(spark, sf, "part").select("p_partkey").mapInPandas(run, "path string, content binary")
+
+
+_TIFF = "t AS (SELECT p_partkey AS k, 3 + p_partkey % 4 AS w, 2 + p_partkey % 3 AS h, -170.0::DOUBLE + p_partkey % 300 AS lon, 80.0::DOUBLE - p_partkey % 100 AS lat, p_partkey % 5 <> 0 AS placed FROM part WHERE p_partkey % 11 <> 0)"
+
+
+@query(f"WITH {_TIFF} SELECT 'scene/' || k || '.tif' AS path, w::INT AS width, h::INT AS height, 2 AS bands, CASE WHEN k % 2 = 1 THEN 'uint16' ELSE 'uint8' END AS kind, CASE WHEN placed THEN lon END AS min_lon, round(CASE WHEN placed THEN lat - h * 0.02::DOUBLE END, 6) AS min_lat, round(CASE WHEN placed THEN lon + w * 0.01::DOUBLE END, 6) AS max_lon, CASE WHEN placed THEN lat END AS max_lat, true AS readable FROM t UNION ALL SELECT 'scene/' || p_partkey || '.tif', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false FROM part WHERE p_partkey % 11 = 0")
+def raster_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return R.read_tiff(tiffs(spark, sf)).select("path", "width", "height", "bands", "kind", "min_lon", *r6("min_lat", "max_lon"), "max_lat", F.col("error").isNull().alias("readable"))
+
+
+@query(f"WITH {_TIFF}, p AS (SELECT k, w, unnest(range(w * h * 2)) AS i FROM t) SELECT 'scene/' || k || '.tif' AS path, (i % 2)::INT AS band, count(*) AS n, sum(((i * 7 + k) % 250) * (1 + i // 2))::DOUBLE AS mark FROM p GROUP BY 1, 2")
+def raster_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    width = R.read_tiff(tiffs(spark, sf)).select("path", "width")
+    return R.tiff_pixels(tiffs(spark, sf)).join(width, "path").groupBy("path", "band").agg(F.count("*").alias("n"), F.sum(F.col("value") * (1 + F.col("y") * F.col("width") + F.col("x"))).alias("mark"))
+
+
+_MODELS = "m AS (SELECT c_custkey AS k, 'models/g' || c_custkey % 7 || '/p' || c_custkey % 5 || '/net' || c_custkey AS checkpoint FROM customer)"
+
+
+@query(f"""WITH {_MODELS} SELECT checkpoint, CASE WHEN k % 4 = 0 THEN 'own ' || k WHEN k % 5 = 1 THEN 'parent' WHEN k % 7 = 2 THEN 'top' ELSE 'net' || k END AS name, CASE WHEN k % 4 = 0 THEN '2.0' ELSE '1.0.0' END AS version, 'custom_unet' AS architecture, CASE WHEN k % 4 <> 0 AND k % 5 = 1 THEN 128 ELSE 256 END AS input_size, 224 AS stride, 'scale_0_1' AS normalization, 0.5::DOUBLE AS threshold,
+CASE WHEN k % 4 = 0 THEN checkpoint || '/model_info.json' WHEN k % 5 = 1 THEN 'models/g' || k % 7 || '/p1/model_info.json' WHEN k % 7 = 2 THEN 'models/g2/model_info.json' END AS sidecar FROM m""")
+def model_sidecars(spark: SparkSession, sf: str) -> DataFrame:
+    """Sidecars written as JSON and read back; the nearest of three folders counts."""
+    k = F.col("c_custkey")
+    at = lambda *x: F.concat(*[F.lit(i) if isinstance(i, str) else i.cast("string") for i in x])
+    models = table(spark, sf, "customer").select(k, at("models/g", k % 7, "/p", k % 5, "/net", k).alias("checkpoint"))
+    own = models.where("c_custkey % 4 = 0").select(at(F.col("checkpoint"), "/model_info.json").alias("path"), at("own ", k).alias("name"), F.lit("2.0").alias("version"))
+    parent = models.where("c_custkey % 5 = 1").select(at("models/g", k % 7, "/p1/model_info.json").alias("path"), F.lit("parent").alias("name"), F.lit(128).alias("input_size")).distinct()
+    top = models.where("c_custkey % 7 = 2").select(F.lit("models/g2/model_info.json").alias("path"), F.lit("top").alias("name")).distinct()
+    folder = f"{shared_folder(spark)}/sidecars-{uuid.uuid4().hex}"
+    own.unionByName(parent, allowMissingColumns=True).unionByName(top, allowMissingColumns=True).write.json(folder)
+    read = spark.read.schema("path string, name string, version string, input_size int").json(folder)
+    return R.with_sidecars(models.select("checkpoint"), read)
+
+
 QUERIES, ORACLE_SQL = Q, SQL

@@ -81,7 +81,9 @@ def region_of_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs(spark, sf).join(each, "run_id", "left").select("run_id", F.coalesce("largest", F.lit(0.0)).cast("double").alias("largest"), F.coalesce("regions", F.lit(0)).cast("long").alias("regions"))
 
 
-@query()
+@query("""WITH r AS (SELECT l_orderkey, to_json(list({'by': -l_quantity::DOUBLE, 'region_id': l_linenumber, 'area': l_quantity::DOUBLE} ORDER BY l_quantity DESC, l_linenumber))::VARCHAR AS regions FROM lineitem GROUP BY 1),
+s AS (SELECT l_orderkey, to_json(list({'rank': l_linenumber, 'mmsi': l_suppkey, 'posterior': l_discount::DOUBLE} ORDER BY l_linenumber, l_suppkey, l_discount))::VARCHAR AS suspects FROM lineitem WHERE l_discount > 0 GROUP BY 1)
+SELECT o_orderkey AS run_id, o_orderstatus AS status, regions, suspects, suspects IS NULL AS stale FROM orders LEFT JOIN r ON o_orderkey = r.l_orderkey LEFT JOIN s ON o_orderkey = s.l_orderkey""")
 def dossier_nested(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("region_id"), F.col("l_quantity").cast("double").alias("area"), F.col("l_suppkey").alias("mmsi"), F.col("l_discount").cast("double").alias("posterior"))
     suspects = items.select("run_id", F.col("region_id").alias("rank"), "mmsi", "posterior").where("posterior > 0")

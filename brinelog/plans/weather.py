@@ -103,9 +103,22 @@ def ensemble_hindcast(spark: SparkSession, sf: str) -> DataFrame:
     return D.radii(D.ensemble(cases), "case_id").join(cases.select("case_id", "degraded_steps"), "case_id")
 
 
-@query()
+HULL = f"""WITH {PARTICLES}, cl AS (SELECT particle_id % 7 AS cloud, * FROM particles),
+ce AS (SELECT cloud, avg(lat) AS mean_lat, {wrap("degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon)))))")} AS mean_lon, count(*) AS n FROM cl GROUP BY 1),
+nr AS (SELECT c.*, n, row_number() OVER (PARTITION BY c.cloud ORDER BY {hav('lat', 'lon', 'mean_lat', 'mean_lon')}, particle_id) AS rn FROM cl c JOIN ce USING (cloud)),
+pts AS (SELECT cloud, lon, lat FROM nr WHERE rn <= greatest(3, ceil(n * 0.9::DOUBLE))),
+side AS (SELECT a.cloud, a.lon, a.lat, min((b.lon - a.lon) * (c.lat - a.lat) - (b.lat - a.lat) * (c.lon - a.lon)) AS least FROM pts a JOIN pts b ON a.cloud = b.cloud AND (a.lon <> b.lon OR a.lat <> b.lat) JOIN pts c ON a.cloud = c.cloud GROUP BY a.cloud, a.lon, a.lat, b.lon, b.lat),
+corner AS (SELECT DISTINCT cloud, lon, lat FROM side WHERE least >= 0),
+mid AS (SELECT cloud, avg(lon) AS m_lon, avg(lat) AS m_lat, min_by(lon, lon) AS w_lon, min_by(lat, lon) AS w_lat, count(*) AS n FROM corner GROUP BY 1),
+turn AS (SELECT c.cloud, lon, lat, n, ((atan2(lat - m_lat, lon - m_lon) - atan2(w_lat - m_lat, w_lon - m_lon)) % (2 * pi()) + 2 * pi() + 1e-9) % (2 * pi()) AS angle FROM corner c JOIN mid USING (cloud)),
+ring AS (SELECT cloud, row_number() OVER (PARTITION BY cloud ORDER BY angle) - 1 AS k, lon, lat, n FROM turn)
+SELECT cloud, k::INT AS k, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ring UNION ALL SELECT cloud, n::INT, round(lon, 6), round(lat, 6) FROM ring WHERE k = 0"""
+
+
+@query(HULL)
 def convex_hull(spark: SparkSession, sf: str) -> DataFrame:
-    return D.hulls(D.nearest_share(particles(spark, sf).withColumn("cloud", F.col("particle_id") % 7), "cloud", 0.9), "cloud")
+    rings = D.hulls(D.nearest_share(particles(spark, sf).withColumn("cloud", F.col("particle_id") % 7), "cloud", 0.9), "cloud")
+    return rings.select("cloud", F.posexplode("ring").alias("k", "p")).select("cloud", "k", F.round(F.col("p")[0], 6).alias("lon"), F.round(F.col("p")[1], 6).alias("lat"))
 
 
 @query(f"WITH {HOURS} SELECT w.hour, round(wind, 5) AS wind, wind_from, round(current, 5) AS current, current_to FROM wind w LEFT JOIN curr c ON w.hour = c.hour")

@@ -114,6 +114,23 @@ def test_exact_topk(spark):
     assert topk.exact_topk(frame.limit(0), lambda v: v % 50 == 0).count() == 0
 
 
+def test_envelopes_spare_blocks_and_lose_nothing(spark):
+    rng = np.random.default_rng(17)
+    centres = rng.normal(size=(12, 16)) * 4
+    x = centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 16)) / 20
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_topk(frame, lambda v: v % 50 == 0, candidate_block=60, query_block=7, envelopes=4).collect())
+    y = np.floor(x * 256)
+    want = []
+    for i in range(0, 1500, 50):
+        s = y @ y[i]
+        want += [(i, r + 1, int(j), int(s[j])) for r, j in enumerate([j for j in np.lexsort((np.arange(1500), -s)) if j != i][:5])]
+    assert got == sorted(want)
+    stats = topk.statistics(y, topk.LEVELS[-1])
+    bound = topk.envelope_bounds(y[::50], stats[:100].min(0)[None], stats[:100].max(0)[None])
+    assert (bound[:, 0] >= (y[::50] @ y[:100].T).max(1) - 1e-6).all()
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     q, c = rng.normal(size=(20, 64)), rng.normal(size=(50, 64))

@@ -38,8 +38,8 @@ def centroid(ring: Column, axis: int) -> Column:
     """The centre of the ring's area along an axis, cut to whole pixels; of its points where it has no area."""
     signed = _edges(ring, _cross) / 2
     moment = _edges(ring, lambda p, q: (p[axis] + q[axis]) * _cross(p, q)) / 6
-    mean = F.aggregate(ring, F.lit(0.0), lambda total, p: total + p[axis]) / F.size(ring)
-    return F.when(signed != 0, moment / signed).otherwise(mean).cast("long")
+    mean = F.try_divide(F.aggregate(ring, F.lit(0.0), lambda total, p: total + p[axis]), F.size(ring))
+    return F.when(signed != 0, F.try_divide(moment, signed)).otherwise(mean).cast("long")
 
 
 def closed(ring: Column) -> Column:

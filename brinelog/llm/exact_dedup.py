@@ -19,11 +19,10 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, as_bytes, numbered, saved
+from .common import WHITESPACE, as_bytes, numbered, rows_at, saved
 
 DIGESTS = "part int, row int, doc_id long, n_points long, text_sha256 string, owner int, slot int, n int, block binary"
 
@@ -106,16 +105,6 @@ def answers(blocks: DataFrame, owner_bits: int) -> DataFrame:
     return blocks.groupBy("owner").applyInPandas(run, "part int, owner int, bitmap array<long>")
 
 
-def rows_at(rows: DataFrame, places: DataFrame, inside: bool = True) -> DataFrame:
-    """The rows of bucketed documents whose (part, row) is among the places, or is not; only the places move."""
-
-    def run(own: pa.Table, places: pa.Table) -> pa.Table:
-        there = pc.is_in(own.column("row"), places.column("row").combine_chunks())
-        return own.filter(there if inside else pc.invert(there))
-
-    return rows.groupBy("part").cogroup(places.select("part", "row").groupBy("part")).applyInArrow(run, rows.schema)
-
-
 def marked_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From (part, row, doc_id, text): the digests of documents that no other equals, and of the suspects with keep_id, group_size and kept."""
     owner_bits = max(4, (rows.count() // 1_000_000).bit_length())

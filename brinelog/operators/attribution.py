@@ -143,3 +143,15 @@ def suspects(ranked: DataFrame, legacy: DataFrame, integrity: DataFrame) -> Data
     """The attribution's rows with the older score (0 where missing) and track integrity (plausible where missing)."""
     out = ranked.join(legacy.select("mmsi", "composite"), "mmsi", "left").join(integrity.select("mmsi", "plausible", "n_flags"), "mmsi", "left")
     return out.withColumns({"composite": F.coalesce("composite", F.lit(0.0)), "plausible": F.coalesce("plausible", F.lit(True)), "n_flags": F.coalesce("n_flags", F.lit(0)).cast("long")})
+
+
+def run_cases(regions: DataFrame, particles: DataFrame, track: DataFrame, times: DataFrame, radius_km: float = 5.0) -> DataFrame:
+    """From placed regions to ranked suspects, for all cases at once: the hypotheses of `attribute_cases` for the drifts whose
+    region has a place, and what each vessel's track itself is worth (plausible where nothing speaks against it).
+
+    regions: region_id, centroid_lat; particles: drift_id, region_id, particle_id, t, lat, lon; times: drift_id, region_id."""
+    open_ = regions.where(F.col("centroid_lat").isNotNull()).select("region_id").distinct()
+    allowed = times.join(open_, "region_id", "left_semi").select("drift_id").distinct()
+    own = particles.join(allowed, "drift_id", "left_semi")
+    hypotheses = attribute_cases(track, own.select("drift_id", "particle_id", "t", "lat", "lon"), radius_km)
+    return hypotheses.join(tracks.integrity(track).select("mmsi", "plausible", "n_flags"), "mmsi", "left").withColumns({"plausible": F.coalesce("plausible", F.lit(True)), "n_flags": F.coalesce("n_flags", F.lit(0)).cast("long")})

@@ -185,6 +185,27 @@ def suspects_stored(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(every.schema).parquet(path).select("drift_id", "rank", "mmsi", *r6("posterior"))
 
 
+@query("SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 'running' WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 5 = 0 THEN 2 ELSE 3 END AS version FROM orders")
+def run_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs and their changes of state, each appended; the last one of a run is what holds."""
+    o, k = runs(spark, sf).select("run_id"), F.col("run_id")
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    for version, status, which in ((1, "running", F.lit(True)), (2, "failed", (k % 3 != 0) & (k % 5 == 0)), (3, "completed", (k % 3 != 0) & (k % 5 != 0))):
+        C.append(o.where(which).select("run_id", F.lit(status).alias("status"), F.lit(version).alias("version")), path)
+    kept = spark.read.schema("run_id long, status string, version int").parquet(path)
+    return kept.groupBy("run_id").agg(F.max_by("status", "version").alias("status"), F.max("version").alias("version"))
+
+
+@query("SELECT 'scene-' || p_partkey AS scene, p_partkey % 3 <> 0 AS has_slick, CASE WHEN p_partkey % 3 <> 0 THEN 'truth/' || p_partkey || '.tif' END AS truth FROM part WHERE p_partkey % 4 <> 0")
+def suite_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """A suite's manifest written as JSON and read back; its scenes with what they should show."""
+    k = F.col("p_partkey")
+    scenes = table(spark, sf, "part").select((k % 8).alias("part"), F.struct(F.format_string("scene-%d", k).alias("scene"), (k % 3 != 0).alias("has_slick"), F.when(k % 3 != 0, F.format_string("truth/%d.tif", k)).alias("truth"), (k % 4 == 0).alias("withdrawn")).alias("s"))
+    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    scenes.groupBy("part").agg(F.collect_list("s").alias("scenes")).write.json(path)
+    return R.read_manifest(spark, path)
+
+
 # ---- what a reader sees
 
 @query(f"WITH {AIS}, {SEG}, {FLAGS} SELECT mmsi, string_agg(code, ' ' ORDER BY severity DESC, code) AS flags, coalesce(string_agg(code, ' ' ORDER BY severity DESC, code) FILTER (severity >= 0.5), '') AS material FROM best GROUP BY 1")

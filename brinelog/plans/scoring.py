@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attribution as A
+from ..operators import geometry as G
 from ..operators import tracks as T
-from ..sources.adapters import T0, particles, positions
+from ..sources.adapters import T0, outlines, particles, positions
+from .regions import PLACED
 from .sql import AIS, PARTICLES, PI, SEG, hav
 from .tracks import DROPS, FLAGS, INTERP, LEGACY_LOITER, LOITER, _factor, _gaps, r6
 
@@ -148,4 +150,13 @@ def legacy_codes(spark: SparkSession, sf: str) -> DataFrame:
     return A.legacy_codes(positions(spark, sf)).select("mmsi", F.array_join("codes", " ").alias("codes"))
 
 
+@query(f"{BY_CASE}, {PLACED}, {FLAGS}, bad AS (SELECT mmsi, count(*) AS n_flags, bool_or(severity >= 0.7) AS bad FROM best GROUP BY 1) SELECT drift_id, rk.mmsi, rank, round(posterior, 6) AS posterior, NOT coalesce(bad, false) AS plausible, coalesce(n_flags, 0) AS n_flags FROM rk LEFT JOIN bad ON rk.mmsi = bad.mmsi WHERE drift_id + 21 IN (SELECT region_id FROM placed WHERE centroid_lat IS NOT NULL)")
+def cases_from_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions 21 to 24 are the cases'; some are too small, some have no place: their drifts go no further."""
+    regions = G.georeferenced(G.measured(outlines(spark, sf)), F.lit(1200), F.lit(900), F.col("bbox"))
+    p = particles(spark, sf).withColumn("drift_id", F.col("particle_id") % 4).withColumn("region_id", F.col("drift_id") + 21)
+    found = A.run_cases(regions, p, positions(spark, sf), p.select("drift_id", "region_id").distinct(), RADIUS)
+    return found.select("drift_id", "mmsi", "rank", *r6("posterior"), "plausible", "n_flags")
+
+
 QUERIES, ORACLE_SQL = Q, SQL

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = {1: "B", 3: "H", 4: "I", 11: "f", 12: "d"}  # fixed values: TIFF field types
@@ -88,6 +88,14 @@ def tiff_pixels(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, band int, y int, x int, value double")
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """scene, has_slick, truth of each scene of the manifests at a path (JSON with a list `scenes`) that isn't withdrawn; a scene
+    without a truth has none to be found."""
+    kind = "scenes array<struct<scene:string,has_slick:boolean,truth:string,withdrawn:boolean>>"
+    listed = spark.read.schema(kind).json(path).select(F.inline("scenes"))
+    return listed.where(~F.coalesce("withdrawn", F.lit(False))).select("scene", F.coalesce("has_slick", F.col("truth").isNotNull()).alias("has_slick"), "truth")
+
+
 # fixed values: what a model is taken to be where its sidecar says nothing
 DEFAULTS = {"version": "1.0.0", "architecture": "custom_unet", "input_size": 256, "stride": 224, "normalization": "scale_0_1", "threshold": 0.5}
 

@@ -103,7 +103,7 @@ class PartTokenizer:
         # leading and trailing white space leaves empty chunks, which have no ids
         coded = chunks.flatten().dictionary_encode()
         distinct, at = coded.dictionary, coded.indices.to_numpy()
-        if len(self.known) + 2 * len(distinct) > self.remember:
+        if len(self.known) > self.remember:
             self.forget()
         words = pc.utf8_rtrim(distinct, characters=MARKS)
         plain = pc.match_substring_regex(words, LETTERS)

@@ -103,7 +103,7 @@ def links(nodes: DataFrame) -> DataFrame:
     """(a, b): the distinct links between distinct fingerprints, a < b as longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_k, rest_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        key, held = None, []  # the last variant so far and its fingerprints, batch by batch
 
         def found(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(np.diff(k)) + 1
@@ -117,17 +117,25 @@ def links(nodes: DataFrame) -> DataFrame:
                 ab = np.unique(ab, axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
+        def ended() -> Iterator[pa.RecordBatch]:
+            f = np.concatenate(held)
+            return found(np.full(len(f), key), f)
+
         for batch in batches:
-            k = np.concatenate((rest_k, batch.column("variant").to_numpy()))
-            f = np.concatenate((rest_f, batch.column("fp").to_numpy().view(np.uint64)))
-            if not len(k):
-                continue
-            last = int(np.searchsorted(k, k[-1]))
-            rest_k, rest_f = k[last:], f[last:]
-            if last:
-                yield from found(k[:last], f[:last])
-        if len(rest_k):
-            yield from found(rest_k, rest_f)
+            k, f = batch.column("variant").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            if held and len(k):
+                own = int(np.searchsorted(k, key, "right"))
+                held.append(f[:own])
+                k, f = k[own:], f[own:]
+                if len(k):
+                    yield from ended()
+            if len(k):
+                last = int(np.searchsorted(k, k[-1]))
+                key, held = int(k[-1]), [f[last:]]
+                if last:
+                    yield from found(k[:last], f[:last])
+        if held:
+            yield from ended()
 
     sorted_variants = variants(nodes).repartition("variant").sortWithinPartitions("variant")
     return sorted_variants.mapInArrow(run, "a long, b long").distinct()

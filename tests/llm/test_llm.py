@@ -597,3 +597,35 @@ def test_pipeline_stages_on_odd_rows_and_names(spark, tmp_path):
     assert 3 in kept["exact_copies"] and len({2, 9} & kept["exact_copies"]) == 1
     assert kept["near_copies"] == kept["exact_copies"] - {8} and kept["secrets"] == kept["near_copies"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").count() >= len(kept["secrets"])
+
+
+def test_repeated_rows_null_ids_and_very_long_texts(spark):
+    """What each operator says of rows that repeat an id or each other, have no id, or hold a megabyte."""
+    random.seed(31)
+    some = lambda n: " ".join("".join(random.choice("abcdefghij") for _ in range(random.randrange(2, 7))) for _ in range(n))
+    a, key = some(60), "password = hunter2hunter2"
+    long = some(150_000) + " " + key
+    rows = [(1, a), (1, a), (None, a), (None, key), (None, key), (2, long), (1, "other"), (3, None), (4, "")]
+    frame = spark.createDataFrame([(k, t, "s", "en") for k, t in rows], "doc_id long, text string, source string, lang string").repartition(3)
+    ids = Counter(k for k, _ in rows)
+
+    def got(df):
+        found = df.collect()
+        assert Counter(r.doc_id for r in found) == ids
+        return found
+
+    cut = got(substring_dedup.substring_dedup(frame))
+    assert Counter((r.doc_id, r.n_removed) for r in cut if r.n_removed) == {(1, 60): 2, (None, 60): 1}
+    told = got(byte_bpe.encode_decode(frame, public_tokenizers.path("byte_bpe_50k.tiktoken"), remembered=2000))
+    assert Counter(r.decoded_sha256 for r in told) == Counter(hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows)
+    packs = packing.pack_documents(frame, public_tokenizers.path("word_bpe_49k.json"), group_pieces=10).collect()
+    assert Counter(r.doc_id for r in packs if r.start == 0) == ids
+    assert sum(r.length for r in packs) == sum(r.doc_tokens for r in packs if r.start == 0)
+    found = got(secrets.secret_scan(frame))
+    assert Counter(r.n_assign for r in found) == {0: 6, 1: 3} and {r.spans for r in found if r.doc_id == 2} == {f"assign:{len(long) - len(key)}:{len(long)}"}
+    prints = got(simhash.near_duplicates(frame))
+    assert {r.component_id for r in prints if r.fingerprint == f"{plain_fingerprint(a):016x}"} == {1}
+    assert {r.component_id for r in prints if r.fingerprint == f"{plain_fingerprint(key):016x}"} == {None}
+    named = got(language_id.identify(frame))
+    assert Counter(r.lang_pred for r in named)["und"] >= 2 and all(0 <= r.score <= 1 for r in named)
+    assert len(exact_dedup.exact_dedup(frame).where("kept").collect()) == 5

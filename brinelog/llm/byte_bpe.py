@@ -34,7 +34,7 @@ from .common import saved
 SPACES = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 BUCKETS = 4096
-NEVER = 1 << 30
+PLACES, NEVER = 12, 1 << 18  # a place in a piece and a rank share an int
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,34 +67,41 @@ def fold_merges(word: Column, maps: Column) -> Column:
 
 
 def fold_with(word: Column, maps: Column) -> Column:
-    """State of the fold: the parts so far, and the rank of each part joined with the next."""
+    """State of the fold: the parts so far, and the rank of each part joined with the next.
+
+    The lowest rank and its place are found as one minimum, of ranks with places in their lower bits."""
 
     def rank(piece: Column) -> Column:
         return F.coalesce(rank_of(maps, piece), F.lit(NEVER))
 
     def merge(state: Column, _: Column) -> Column:
-        def at_lowest(at: Column) -> Column:
+        def at_lowest(lowest: Column) -> Column:
+            at = lowest.bitwiseAND(F.lit((1 << PLACES) - 1))
+
             def joined(part: Column) -> Column:
                 parts, n = state["parts"], F.size(state["parts"])
-                left = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), part)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(at + 1 < n, F.array(rank(F.concat(part, F.get(parts, at + 1))))).otherwise(F.array().cast("array<int>"))
+                left = F.when(at > 0, F.array(rank(F.concat(F.get(parts, at - 1), part)))).otherwise(F.array().cast("array<int>"))
+                right = F.when(at + 2 < n, F.array(rank(F.concat(part, F.get(parts, at + 2))))).otherwise(F.array().cast("array<int>"))
                 return F.struct(
-                    F.concat(F.slice(parts, 1, at - 1), F.array(part), F.slice(parts, at + 2, n)).alias("parts"),
-                    F.concat(F.slice(state["ranks"], 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(state["ranks"], at + 2, n)).alias("ranks"),
+                    F.concat(F.slice(parts, 1, at), F.array(part), F.slice(parts, at + 3, n)).alias("parts"),
+                    F.concat(F.slice(state["ranks"], 1, F.greatest(at - 1, F.lit(0))), left, right, F.slice(state["ranks"], at + 3, n)).alias("ranks"),
                 )
 
-            return let(F.concat(F.get(state["parts"], at - 1), F.get(state["parts"], at)), joined)
+            both = F.concat(F.get(state["parts"], at), F.get(state["parts"], at + 1))
+            return F.when(F.shiftright(lowest, PLACES) >= NEVER, state).otherwise(let(both, joined))
 
-        lowest = F.array_min(state["ranks"])
-        return F.when(F.coalesce(lowest, F.lit(NEVER)) == NEVER, state).otherwise(let(F.array_position(state["ranks"], lowest).cast("int"), at_lowest))
+        placed = F.transform(state["ranks"], lambda r, i: F.shiftleft(r, PLACES).bitwiseOR(i))
+        return let(F.coalesce(F.array_min(placed), F.lit(NEVER << PLACES)), at_lowest)
 
     def begin(parts: Column) -> Column:
         pairs = F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts)), lambda a, b: rank(F.concat(a, b)))
         return F.aggregate(F.slice(parts, 2, F.size(parts)), F.struct(parts.alias("parts"), pairs.alias("ranks")), merge, lambda s: F.transform(s["parts"], lambda p: rank_of(maps, p)))
 
-    hexed = F.hex(F.encode(word, "UTF-8"))
-    singles = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.substring(hexed, i, F.lit(2)))
-    return let(hexed, lambda h: F.coalesce(F.when(rank_of(maps, h).isNotNull(), F.array(rank_of(maps, h))), let(singles, begin)))
+    def folded(hexed: Column) -> Column:
+        singles = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.substring(hexed, i, F.lit(2)))
+        return F.coalesce(F.when(rank_of(maps, hexed).isNotNull(), F.array(rank_of(maps, hexed))), let(singles, begin))
+
+    return let(F.hex(F.encode(word, "UTF-8")), folded)
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -157,6 +164,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], remembered: int, longest: i
 def encode_decode(docs: DataFrame, ranks_path: str, remembered: int = 1 << 18, longest: int = 512) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per document."""
     ranks = read_ranks(ranks_path)
+    if max(ranks.values()) >= NEVER or longest >= 1 << PLACES:
+        raise ValueError(f"ranks must stay below {NEVER} and folded pieces below {1 << PLACES} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = {rank: piece for piece, rank in ranks.items()}

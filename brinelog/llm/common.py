@@ -31,14 +31,14 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def numbered(docs: DataFrame, label: str, rows_a_bucket: int = 8192) -> DataFrame:
+def numbered(docs: DataFrame, label: str, rows_a_bucket: int = 4096) -> DataFrame:
     """docs with `part` (what one task of their scan read) and `row` (its place there), written bucketed by part.
 
     Each task writes one file, and whatever is joined or cogrouped by part later moves to the texts: they are not
     shuffled again. `part` and `row` tell rows apart that repeat each other or an id; no column of docs may have these names."""
     spark, number = docs.sparkSession, F.monotonically_increasing_id()
     rows = docs.withColumns({"part": F.shiftright(number, 33).cast("int"), "row": number.bitwiseAND(F.lit((1 << 33) - 1)).cast("int")})
-    name, buckets = f"{label}_{uuid.uuid4().hex}", min(100_000, max(64, docs.count() // rows_a_bucket))
+    name, buckets = f"{label}_{uuid.uuid4().hex}", min(100_000, max(128, docs.count() // rows_a_bucket))
     rows.write.bucketBy(buckets, "part").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 

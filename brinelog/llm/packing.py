@@ -29,8 +29,8 @@ SPACES = re.compile("[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 # letters stay as they are in every normal form and nobody disputes their small forms; the apostrophe joins what follows.
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*$"
-REMEMBERED_PARTS = 500_000
-SLICE_BYTES = 8 << 20
+REMEMBERED_PARTS = 400_000
+SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
 TOKENIZERS: dict = {}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -151,7 +151,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = worker_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE_ROWS) for whole in batches for i in range(0, whole.num_rows, SLICE_ROWS)):
             rows = []
             doc_ids = batch.column("doc_id").to_pylist()
             for i, ids in tokenizer.encode(batch.column("text")):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, packing, quality, secrets, simhash, substring_dedup, topk, url_filter
+from . import byte_bpe, exact_dedup, language_id, packing, piece_bpe, quality, secrets, simhash, substring_dedup, topk, url_filter
 from .common import table
 
 
@@ -49,7 +49,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_exact_topk, op4_packing, op5_url_filter, op6_language_id, op7_simhash, op8_exact_dedup, op9_quality, op10_secret_scan)}
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_decode(table(spark, sf_dir, "documents"), piece_bpe.read_model(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_exact_topk, op4_packing, op5_url_filter, op6_language_id, op7_simhash, op8_exact_dedup, op9_quality, op10_secret_scan, op13_sentencepiece)}
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, packing, piece_bpe, quality, secrets, simhash, substring_dedup, topk, url_filter
+from . import byte_bpe, exact_dedup, language_id, packing, piece_bpe, prefix_trie, quality, secrets, simhash, substring_dedup, topk, url_filter
 from .common import table
 
 
@@ -49,11 +49,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.spliced(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_decode(table(spark, sf_dir, "documents"), piece_bpe.read_model(public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_exact_topk, op4_packing, op5_url_filter, op6_language_id, op7_simhash, op8_exact_dedup, op9_quality, op10_secret_scan, op13_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_exact_topk, op4_packing, op5_url_filter, op6_language_id, op7_simhash, op8_exact_dedup, op9_quality, op10_secret_scan, op12_prefix_trie, op13_sentencepiece)}
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -82,4 +86,24 @@ ORACLE_SQL = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                row_number() OVER w = 1 AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+    "op12_prefix_trie": r"""
+        WITH t(x) AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))),
+        r AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS o FROM conversations WHERE conv_id IS NOT NULL),
+        h AS (SELECT c, n, c - ((c % 5) + 5) % 5 AS base,
+                     xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda v, b: xor(v >> 8, x[(xor(v, b) & 255) + 1])), 4294967295) % 9 AS h
+              FROM (SELECT c, count(*) AS n FROM r GROUP BY c), t),
+        k AS (SELECT h.c, h.h, least(h.h, coalesce(b.n, 0)) AS given, least(h.h, coalesce(b.n, 0)) + greatest(h.n - h.h, 0) AS length, h.base FROM h LEFT JOIN h b ON b.c = h.base),
+        s AS (SELECT k.c, r.o AS p, r.role, r.text FROM k JOIN r ON r.c = k.base AND r.o < k.h
+              UNION ALL SELECT k.c, k.given + r.o - k.h, r.role, r.text FROM k JOIN r ON r.c = k.c AND r.o >= k.h),
+        w AS (SELECT c, list(sha256(length(role) || ':' || role || text) ORDER BY p) AS path, list(strlen(text) ORDER BY p) AS bytes FROM s GROUP BY c),
+        m AS (SELECT k.c, k.length, coalesce(path, []) AS path, coalesce(bytes, []) AS bytes FROM k LEFT JOIN w USING (c)),
+        e AS (SELECT c, length, d AS depth, path[1:d] AS id, CASE WHEN d > 0 THEN bytes[d] ELSE 0 END AS bytes FROM (SELECT *, unnest(range(length + 1)) AS d FROM m)),
+        n AS (SELECT id, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS saves,
+                     sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE length = depth), '')) AS ends_sha256 FROM e GROUP BY id, depth),
+        f AS (SELECT n.*, p.conv_id AS parent_conv_id FROM n LEFT JOIN n p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.id = n.id[1:n.depth - 1]),
+        g AS (SELECT id[1:depth - 1] AS id, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+        u AS (SELECT id[1:d] AS id, count(*) FILTER (WHERE leaf)::BIGINT AS n_leaves, sum(saves)::BIGINT AS saved_tokens
+              FROM (SELECT n.*, g.n_children IS NULL AS leaf, unnest(range(n.depth + 1)) AS d FROM n LEFT JOIN g USING (id)) GROUP BY 1)
+        SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256 FROM f LEFT JOIN g USING (id) JOIN u USING (id)""",
 }

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, packing, piece_bpe, prefix_trie, quality, secrets, simhash, substring_dedup, topk, url_filter
+from . import byte_bpe, exact_dedup, hard_negatives, language_id, packing, piece_bpe, prefix_trie, quality, secrets, simhash, substring_dedup, topk, url_filter
 from .common import table
 
 
@@ -49,6 +50,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.spliced(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))))
 
@@ -57,7 +63,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_decode(table(spark, sf_dir, "documents"), piece_bpe.read_model(public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_exact_topk, op4_packing, op5_url_filter, op6_language_id, op7_simhash, op8_exact_dedup, op9_quality, op10_secret_scan, op12_prefix_trie, op13_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_exact_topk, op4_packing, op5_url_filter, op6_language_id, op7_simhash, op8_exact_dedup, op9_quality, op10_secret_scan, op11_hard_negatives, op12_prefix_trie, op13_sentencepiece)}
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -106,4 +112,14 @@ ORACLE_SQL = {
         u AS (SELECT id[1:d] AS id, count(*) FILTER (WHERE leaf)::BIGINT AS n_leaves, sum(saves)::BIGINT AS saved_tokens
               FROM (SELECT n.*, g.n_children IS NULL AS leaf, unnest(range(n.depth + 1)) AS d FROM n LEFT JOIN g USING (id)) GROUP BY 1)
         SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256 FROM f LEFT JOIN g USING (id) JOIN u USING (id)""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+                   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS a, v.vec_id AS b, a.label = v.label AS same, list_dot_product(a.x, v.x)::BIGINT AS score
+              FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id AND len(a.x) = len(v.x)),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+        SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)::INT AS rank,
+               n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM p JOIN s n ON p.a = n.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+        QUALIFY rank <= 5""",
 }

@@ -66,9 +66,11 @@ def block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
 
 
 def envelope_bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Upper bounds of queries' products with anything in blocks, from the ranges of the blocks' statistics (never negative deviations)."""
+    """Upper bounds of queries' products with anything in blocks, from the ranges of the blocks' statistics (never negative deviations),
+    widened by more than rounding can take from sums of so large terms, whatever their signs."""
     stats = statistics(q, LEVELS[-1])
-    return np.maximum(stats, 0) @ high.T + np.minimum(stats, 0) @ low.T
+    slack = 1e-9 * (np.abs(stats) @ np.maximum(np.abs(low), np.abs(high)).T) + 1e-6
+    return np.maximum(stats, 0) @ high.T + np.minimum(stats, 0) @ low.T + slack
 
 
 def exact_topk(vectors: DataFrame, is_query, k: int = 5, candidate_block: int = 1 << 15, query_block: int = 1 << 14, envelopes: int = 1024) -> DataFrame:
@@ -111,7 +113,7 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, candidate_block: int =
             return pd.DataFrame({"vec_id": [], "x": [], "size": [], "floor": [], "qb": [], "cb": []}, dtype=object)
         vectors = np.stack(q["x"])
         bound = envelope_bounds(vectors, np.stack(e["low"]), np.stack(e["high"])) if q["size"][0] else np.zeros((len(q), len(e)))
-        may = (bound * (1 + 1e-9) + 1e-6 >= q["floor"].to_numpy()[:, None]) & (q["cb"].to_numpy()[:, None] != e["cb"].to_numpy())
+        may = (bound >= q["floor"].to_numpy()[:, None]) & (q["cb"].to_numpy()[:, None] != e["cb"].to_numpy())
         i, j = np.nonzero(may)
         return q.iloc[i][["vec_id", "x", "size", "floor", "qb"]].assign(cb=e["cb"].to_numpy()[j])
 

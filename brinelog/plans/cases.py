@@ -112,16 +112,25 @@ clean AS (SELECT event_id, substr(mmsi, 1, 9) AS mmsi, date_trunc('second', ts)
   CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS name FROM raw WHERE mmsi IS NOT NULL AND ts IS NOT NULL)"""
 
 
-def position_file(spark: SparkSession, sf: str) -> DataFrame:
-    """Events written as a position-report file, with headers in any case, then scanned and cleaned."""
+def position_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a position-report file has them, with headers in any case."""
     e, k = table(spark, sf, "events"), F.col("event_id")
     mmsi = F.when(k % 17 != 0, F.concat((F.col("user_id") + 360000000).cast("string"), F.when(k % 4 == 0, "99").otherwise("")))
     time = F.when(k % 13 == 0, "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
     v = F.round("value", 2)
-    raw = e.select(mmsi.alias("MMSI"), time.alias("BaseDateTime"), (v * 20 - 90).alias("LAT"), (v * 40 - 200).alias("Lon"), k.alias("Heading"), (k % 3).alias("Status"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("VesselName"))
+    return e.select(mmsi.alias("MMSI"), time.alias("BaseDateTime"), (v * 20 - 90).alias("LAT"), (v * 40 - 200).alias("Lon"), k.alias("Heading"), (k % 3).alias("Status"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("VesselName"))
+
+
+def position_csv(spark: SparkSession, sf: str) -> str:
+    """Where the events were written as a position-report file."""
     path = f"{shared_folder(spark)}/positions-{uuid.uuid4().hex}"
-    raw.write.option("header", True).csv(path)
-    return C.clean(C.read_csv(spark, path))
+    position_columns(spark, sf).write.option("header", True).csv(path)
+    return path
+
+
+def position_file(spark: SparkSession, sf: str) -> DataFrame:
+    """That file, scanned and cleaned."""
+    return C.clean(C.read_csv(spark, position_csv(spark, sf)))
 
 
 @query(f"WITH {_CSV} SELECT event_id, mmsi, epoch(timestamp)::BIGINT AS t, round(lat, 5) AS lat, round(lon, 5) AS lon, status, coalesce(name, '') AS name FROM clean")
@@ -144,8 +153,23 @@ def position_store(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_CSV}, known AS (SELECT DISTINCT mmsi FROM clean WHERE event_id % 10 = 0) SELECT (SELECT count(DISTINCT mmsi) FROM clean WHERE mmsi NOT IN (SELECT mmsi FROM known)) AS vessels_created, (SELECT count(*) FROM clean) AS records_created, (SELECT count(*) FROM raw WHERE mmsi IS NULL OR ts IS NULL) AS errors")
 def ingest_counters(spark: SparkSession, sf: str) -> DataFrame:
-    p = position_file(spark, sf)
-    return C.counters(table(spark, sf, "events"), p, p.where("CAST(heading AS LONG) % 10 = 0"))
+    path, folder = position_csv(spark, sf), f"{shared_folder(spark)}/loaded-{uuid.uuid4().hex}"
+    known = table(spark, sf, "events").where("event_id % 10 = 0 AND event_id % 17 <> 0 AND event_id % 13 <> 0").select((F.col("user_id") + 360000000).cast("string").alias("mmsi"))
+    return C.load(C.read_csv(spark, path), folder, known)
+
+
+_LAYOUTS = f"""{_CSV}, mixed AS (SELECT * FROM clean WHERE event_id % 4 < 3)"""
+
+
+@query(f"WITH {_LAYOUTS} SELECT event_id, mmsi, epoch(timestamp)::BIGINT AS t, round(lat, 5) AS lat, round(lon, 5) AS lon, CASE WHEN event_id % 4 = 2 THEN '' ELSE status END AS status, coalesce(name, '') AS name FROM mixed")
+def position_files_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """One folder, four layouts: as usual; another order, case and a column more; without an optional one; without a required one."""
+    raw, k, path = position_columns(spark, sf), F.col("Heading") % 4, f"{shared_folder(spark)}/mixed-{uuid.uuid4().hex}"
+    other = raw.where(k == 1).select(*[F.col(c).alias(c.lower()) for c in ("VesselName", "Lon", "LAT", "Status", "Heading", "BaseDateTime", "MMSI")], F.lit("x, y").alias("note"))
+    for layout in (raw.where(k == 0), other, raw.where(k == 2).drop("Status"), raw.where(k == 3).drop("LAT")):
+        layout.write.mode("append").option("header", True).csv(path)
+    rows = C.clean(C.read_csv(spark, path))
+    return rows.select(F.col("heading").cast("long").alias("event_id"), "mmsi", F.unix_seconds("timestamp").alias("t"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), "status", "name")
 
 
 @query(f"WITH {AIS} SELECT ordinal, a.mmsi, c_name AS name, c_mktsegment AS vessel_type FROM ais a LEFT JOIN customer ON a.mmsi = c_custkey")

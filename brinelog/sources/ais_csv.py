@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 REQUIRED = {"mmsi": "mmsi", "basedatetime": "timestamp", "lat": "lat", "lon": "lon"}
 OPTIONAL = {"sog": "speed_knots", "cog": "course", "heading": "heading", "vesselname": "name", "vesseltype": "vessel_type", "status": "status", "length": "length_m", "width": "width_m"}
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text under their own names, matched without regard to case; missing optional ones are null."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    have = {c.lower(): c for c in raw.columns}
-    if missing := [c for c in REQUIRED if c not in have]:
-        raise ValueError(f"required columns missing: {', '.join(missing)}")
-    return raw.select(*[(F.col(f"`{have[c]}`") if c in have else F.lit(None).cast("string")).alias(n) for c, n in (REQUIRED | OPTIONAL).items()])
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """file, columns (the first line's names, in order) and missing (required names it lacks, whatever the case) of every file at a
+    path. One pass over the files as lines, of which only each file's first is kept; files of no bytes aren't listed by Spark."""
+    named = F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))").alias("file")
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(named, "value", F.monotonically_increasing_id().alias("at"))
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    names = F.transform(F.split("line", ","), lambda c: F.regexp_replace(c, r'^[\uFEFF\s"]+|[\s"]+$', ""))
+    lacking = F.array_except(F.array(*[F.lit(c) for c in REQUIRED]), F.transform("columns", F.lower))
+    return first.select("file", names.alias("columns")).withColumn("missing", lacking)
+
+
+def read_csv(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """All columns as text under their own names, matched by each file's own header without regard to case (of names that differ
+    in case only the last counts); missing optional ones are null. Files that lack a required column are left out: `headers` names
+    them, and what a load counts as errors has them. If no file can be read that is an error.
+
+    Files go by layout, one scan a layout, united by name. What the driver holds is the files' names, as it does for any scan."""
+    layouts = (headers(spark, path) if known is None else known).groupBy("columns", "missing").agg(F.collect_list("file").alias("files")).collect()
+    readable = [x for x in layouts if not x.missing]
+    if not readable:
+        raise ValueError(f"required columns missing: {', '.join(sorted({c for x in layouts for c in x.missing}))}")
+    frames = []
+    for layout in sorted(readable, key=lambda x: x.columns):
+        place = {c.lower(): i for i, c in enumerate(layout.columns)}
+        kind = ", ".join(f"c{i} string" for i in range(len(layout.columns)))
+        raw = spark.read.schema(kind).option("header", True).option("mode", "PERMISSIVE").csv(layout.files)
+        frames.append(raw.select(*[(F.col(f"c{place[c]}") if c in place else F.lit(None).cast("string")).alias(n) for c, n in (REQUIRED | OPTIONAL).items()]))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def clean(raw: DataFrame) -> DataFrame:
@@ -51,9 +74,13 @@ def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def counters(raw: DataFrame, cleaned: DataFrame, existing: DataFrame) -> DataFrame:
-    """One row: vessels_created, records_created and errors of a load."""
-    fresh = absent(cleaned.select("mmsi").distinct(), existing.select("mmsi").distinct(), "mmsi").agg(F.count("*").alias("vessels_created"))
-    kept = cleaned.agg(F.count("*").alias("records_created"))
-    read = raw.agg(F.count("*").alias("n"))
-    return fresh.crossJoin(kept).crossJoin(read).select("vessels_created", "records_created", (F.col("n") - F.col("records_created")).alias("errors"))  # one row each
+def load(raw: DataFrame, path: str, existing: DataFrame, unreadable: int = 0) -> DataFrame:
+    """Cleans and appends a load, and returns one row: vessels_created, records_created, errors (rows that went, and files that
+    couldn't be read). Rows are counted while they are written, so the files are scanned once; new vessels are then told from the
+    written numbers alone."""
+    seen, kept = Observation(), Observation()
+    rows = clean(raw.observe(seen, F.count(F.lit(1)).alias("n"))).observe(kept, F.count(F.lit(1)).alias("n"))
+    append(rows, path)
+    records, errors = kept.get["n"], seen.get["n"] - kept.get["n"] + unreadable
+    fresh = absent(raw.sparkSession.read.schema(rows.schema).parquet(path).select("mmsi").distinct(), existing.select("mmsi").distinct(), "mmsi")
+    return fresh.agg(F.count("*").alias("vessels_created"), F.lit(records).alias("records_created"), F.lit(errors).alias("errors"))

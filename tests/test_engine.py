@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brinelog.operators import attribution, drift, evidence, fields, geometry, raster, robustness, text, tracks
-from brinelog.sources import rasters
+from brinelog.sources import ais_csv, rasters
 
 
 def km(a, b, c, d):
@@ -192,3 +192,27 @@ def test_window_means_reflect_edges(spark, size):
     padded = np.pad(p, size // 2, mode="symmetric")
     for r in raster.window_means(scene, ["p"], size).collect():
         assert abs(r.p - padded[r.y : r.y + size, r.x : r.x + size].mean()) < 1e-12
+
+
+def test_files_of_one_folder_with_headers_of_their_own(spark, tmp_path):
+    folder = tmp_path / "in put+s"
+    folder.mkdir()
+    (folder / "a.csv").write_text('MMSI,BaseDateTime,LAT,LON,VesselName\n1,2026-01-01T00:00:00,11.0,71.0,"x, y"\n')
+    (folder / "b.csv").write_text("lon,lat,basedatetime,mmsi\n71.5,11.5,2026-01-01T00:00:00,2\n\n")
+    (folder / "c.csv").write_text('﻿"MMSI","BaseDateTime","LAT","LON","Status"\n3,2026-01-01T00:00:00,12,72,5\n')
+    (folder / "d.csv").write_text("MMSI,BaseDateTime,LAT\n4,2026-01-01T00:00:00,1\n")
+    (folder / "e.csv").write_text("")
+    (folder / "f.csv").write_text("MMSI,BaseDateTime,LAT,LON\n")
+    found = {r.mmsi: (r.lat, r.lon, r.name, r.status) for r in ais_csv.clean(ais_csv.read_csv(spark, str(folder))).collect()}
+    assert found == {"1": (11.0, 71.0, "x, y", ""), "2": (11.5, 71.5, "", ""), "3": (12.0, 72.0, "", "5")}
+    lacking = {r.file.rsplit("/", 1)[1]: r.missing for r in ais_csv.headers(spark, str(folder)).collect()}
+    assert lacking == {"a.csv": [], "b.csv": [], "c.csv": [], "d.csv": ["lon"], "f.csv": []}
+
+
+def test_a_load_counts_while_it_writes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("MMSI,BaseDateTime,LAT,LON\n1,2026-01-01T00:00:00,1,1\n1,never,1,1\n2,2026-01-01T00:00:00,1,1\n3,2026-01-01T00:00:00,,1\n")
+    known = spark.createDataFrame([("1",), (None,)], "mmsi string")
+    got = ais_csv.load(ais_csv.read_csv(spark, str(tmp_path / "a.csv")), str(tmp_path / "out"), known, unreadable=2)
+    assert tuple(got.first()) == (1, 2, 4)
+    none = ais_csv.load(ais_csv.read_csv(spark, str(tmp_path / "a.csv")).limit(0), str(tmp_path / "none"), known)
+    assert tuple(none.first()) == (0, 0, 0)

@@ -316,8 +316,9 @@ def raster_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_TIFF}, p AS (SELECT k, w, unnest(range(w * h * 2)) AS i FROM t) SELECT 'scene/' || k || '.tif' AS path, (i % 2)::INT AS band, count(*) AS n, sum(((i * 7 + k) % 250) * (1 + i // 2))::DOUBLE AS mark FROM p GROUP BY 1, 2")
 def raster_pixels(spark: SparkSession, sf: str) -> DataFrame:
-    width = R.read_tiff(tiffs(spark, sf)).select("path", "width")
-    return R.tiff_pixels(tiffs(spark, sf)).join(width, "path").groupBy("path", "band").agg(F.count("*").alias("n"), F.sum(F.col("value") * (1 + F.col("y") * F.col("width") + F.col("x"))).alias("mark"))
+    files = tiffs(spark, sf)
+    width = R.read_tiff(files).select("path", "width")
+    return R.tiff_pixels(files).join(width, "path").groupBy("path", "band").agg(F.count("*").alias("n"), F.sum(F.col("value") * (1 + F.col("y") * F.col("width") + F.col("x"))).alias("mark"))
 
 
 _MODELS = "m AS (SELECT c_custkey AS k, 'models/g' || c_custkey % 7 || '/p' || c_custkey % 5 || '/net' || c_custkey AS checkpoint FROM customer)"

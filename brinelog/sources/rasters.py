@@ -1,91 +1,78 @@
 """Raster files and model sidecars as tables.
 
-`read_tiff` takes rows of (path, content), as Spark's binaryFile source gives them, so it reads from wherever Spark reads.
-Uncompressed strips of 8-, 16- and 32-bit whole numbers and of floats are decoded, the bands side by side; what else a file holds
-gives a reason in `error` and no pixels. A picture's place comes from its tie point and pixel scale, where both are there
-and lie on the globe."""
+`read_tiff` and `tiff_pixels` take rows of (path, content), as Spark's binaryFile source gives them, so they read from wherever Spark reads
+files of up to 2 GB; `scenes` reads files of any size by strips. What can't be read gives a reason in `error` and no pixels. A
+picture's place comes from its tie point and pixel scale, where both are there and lie on the globe."""
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = {1: "B", 3: "H", 4: "I", 11: "f", 12: "d"}  # fixed values: TIFF field types
-WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, BANDS, STRIP_BYTES, FORMAT, SCALE, TIE = 256, 257, 258, 259, 273, 277, 279, 339, 33550, 33922  # fixed values: TIFF tags
-HEAD = "path string, width int, height int, bands int, kind string, min_lon double, min_lat double, max_lon double, max_lat double, error string"
-
-
-def fields_of(content: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}[content[:2]]
-    magic, at = struct.unpack_from(order + "HI", content, 2)
-    if magic != 42:
-        raise ValueError("not a TIFF file")
-    (n,) = struct.unpack_from(order + "H", content, at)
-    found = {}
-    for i in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", content, at + 2 + 12 * i)
-        if kind in KINDS:
-            size = struct.calcsize(KINDS[kind]) * count
-            place = at + 2 + 12 * i + 8 if size <= 4 else struct.unpack_from(order + "I", content, at + 2 + 12 * i + 8)[0]
-            found[tag] = struct.unpack_from(f"{order}{count}{KINDS[kind]}", content, place)
-    return order, found
-
-
-def place_of(tags: dict[int, tuple], width: int, height: int) -> tuple:
-    tie, scale = tags.get(TIE, ()), tags.get(SCALE, ())
-    if len(tie) < 6 or len(scale) < 2 or not (-180 <= tie[3] <= 180 and -90 <= tie[4] - height * scale[1] <= 90):
-        return (None,) * 4
-    return tie[3], tie[4] - height * scale[1], tie[3] + width * scale[0], tie[4]
-
-
-def decoded(content: bytes) -> tuple[tuple, np.ndarray]:
-    """(width, height, bands, kind, bbox) and the pixels, as height x width x bands."""
-    order, tags = fields_of(content)
-    (width,), (height,) = tags[WIDTH], tags[HEIGHT]
-    bands, bits, form = tags.get(BANDS, (1,))[0], tags.get(BITS, (1,))[0], tags.get(FORMAT, (1,))[0]
-    kind = {(8, 1): "uint8", (16, 1): "uint16", (32, 1): "uint32", (32, 3): "float32", (64, 3): "float64"}.get((bits, form))
-    if tags.get(COMPRESSION, (1,))[0] != 1 or kind is None:
-        raise ValueError("compressed, or of another kind of number")
-    raw = b"".join(content[a : a + n] for a, n in zip(tags[STRIPS], tags[STRIP_BYTES], strict=True))
-    pixels = np.frombuffer(raw, np.dtype(kind).newbyteorder(order)).reshape(height, width, bands)
-    return (width, height, bands, kind, *place_of(tags, width, height)), pixels
+from .codecs import BAD, Read, layout_of
+from .scenes import HEAD, PIXELS, batches_of, blocks_of, head_row, pixel_batch
+
+def reader_of(content: bytes | None) -> Read:
+    data = bytes(content) if content is not None else b""
+
+    def read(offset: int, size: int) -> bytes:
+        return data[offset : offset + size]
+
+    return read
 
 
 def read_tiff(files: DataFrame) -> DataFrame:
-    """One row a file: HEAD. error is null where the file could be read."""
+    """One row a file: HEAD, from the headers alone. error is null where the file can be read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    rows.append((path, *decoded(bytes(content))[0], None))
-                except (ValueError, KeyError, struct.error, TypeError) as e:
-                    rows.append((path, *(None,) * 8, f"unreadable: {e}"[:200]))
+            rows = [head_row(path, reader_of(c), len(c) if c is not None else 0) for path, c in zip(pdf["path"], pdf["content"], strict=True)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in HEAD.split(", ")])
 
     return files.select("path", "content").mapInPandas(run, HEAD)
 
 
 def tiff_pixels(files: DataFrame) -> DataFrame:
-    """path, band, y, x, value of every pixel of the files that can be read."""
+    """path, band, y, x, value of every pixel of the files that can be read; many small files make one batch."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    _, pixels = decoded(bytes(content))
-                except (ValueError, KeyError, struct.error, TypeError):
-                    continue
-                y, x, band = (i.ravel() for i in np.indices(pixels.shape))
-                yield pd.DataFrame({"path": path, "band": band, "y": y, "x": x, "value": pixels.ravel().astype(float)})
-
-    return files.select("path", "content").mapInPandas(run, "path string, band int, y int, x int, value double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks() -> Iterator[dict]:
+            for batch in batches:
+                for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                    read, length = reader_of(content.as_py()), len(content.as_py() or b"")
+                    try:
+                        layout = layout_of(read, length)
+                    except BAD:
+                        continue
+                    yield from blocks_of(path, layout, read, length)
+
+        yield from batches_of(blocks())
+
+    return files.select("path", "content").mapInArrow(run, PIXELS)
+
+
+def image_pixels(images: DataFrame) -> DataFrame:
+    """path, band, y, x, value from Spark's own `image` source (PNG, JPEG and others; its bands are blue, green, red and alpha, ours
+    begin with red); pictures that it couldn't read have no pixels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks() -> Iterator[dict]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    pixels = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["bands"])
+                    if r["bands"] >= 3:
+                        pixels = pixels[:, :, [2, 1, 0, *range(3, r["bands"])]]
+                    yield pixel_batch(r["path"], 0, 0, 0, pixels)
+
+        yield from batches_of(blocks())
+
+    rows = images.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("bands"), "image.data")
+    return rows.where("height > 0 AND width > 0 AND bands > 0").mapInArrow(run, PIXELS)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -155,7 +155,7 @@ def tiff(order, pixels, kind, extra=()):
 def test_raster_files(spark):
     pixels = np.arange(24).reshape(3, 4, 2) / 2
     good = [(f"{o}{k}", bytearray(tiff(o, pixels, k))) for o in "<>" for k in ("u1", "u2", "f4", "f8")]
-    bad = [("packed", bytearray(tiff("<", pixels, "u1", [(259, 4, 1, 5)]))), ("short", bytearray(b"II*")), ("text", bytearray(b"hello, no raster")), ("empty", bytearray()), ("null", None)]
+    bad = [("packed", bytearray(tiff("<", pixels, "u1", [(259, 4, 1, 7)]))), ("short", bytearray(b"II*")), ("text", bytearray(b"hello, no raster")), ("empty", bytearray()), ("null", None)]
     files = spark.createDataFrame(good + bad, "path string, content binary")
     heads = {r.path: r for r in rasters.read_tiff(files).collect()}
     assert all(heads[p].error is None and (heads[p].width, heads[p].height, heads[p].bands, heads[p].min_lon) == (4, 3, 2, None) for p, _ in good)

@@ -55,13 +55,19 @@ def manifest_build(spark: SparkSession, sf: str) -> DataFrame:
     return manifests(spark, sf).select("run_id", "content_sha256", "manifest_sha256")
 
 
-@query("""WITH k AS (SELECT o_orderkey AS run_id, o_orderkey % 5 = 1 AS altered, o_orderkey % 7 = 2 AS redated, o_orderkey % 11 = 3 AS swapped FROM orders)
-SELECT run_id, NOT (altered OR redated OR swapped) AS valid, concat_ws(',', CASE WHEN altered OR redated THEN 'manifest_sha256' END, CASE WHEN altered THEN 'content_sha256' END, CASE WHEN swapped THEN 'input' END) AS reasons FROM k""")
+_ALTERED = "CASE WHEN o_orderkey % 5 = 1 THEN '0' ELSE round(o_totalprice)::BIGINT::VARCHAR END"
+_REDATED = "CASE WHEN o_orderkey % 7 = 2 THEN '1066-10-14' ELSE o_orderdate::DATE::VARCHAR END"
+
+
+@query(f"""WITH {SEALED}, now AS (SELECT *, sha256({_CONTENT.replace("round(o_totalprice)::BIGINT", _ALTERED)}) AS c_now, sha256({_FULL.replace("round(o_totalprice)::BIGINT", _ALTERED).replace("o_orderdate::DATE", _REDATED)}) AS m_now,
+CASE WHEN o_orderkey % 11 = 3 THEN 'another file' ELSE sha256(o_orderpriority) END AS input_now FROM sealed),
+r AS (SELECT o_orderkey AS run_id, concat_ws(',', CASE WHEN m_now <> m THEN 'manifest_sha256' END, CASE WHEN c_now <> c THEN 'content_sha256' END, CASE WHEN input_now <> sha256(o_orderpriority) THEN 'input' END) AS reasons FROM now)
+SELECT run_id, reasons = '' AS valid, reasons FROM r""")
 def manifest_verify(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("run_id")
     put = lambda name, value: F.map_concat(F.map_filter("fields", lambda n, _: n != name), F.create_map(F.lit(name), F.lit(value)))
     changed = manifests(spark, sf).withColumn("fields", F.when(k % 5 == 1, put("total", "0")).otherwise(F.col("fields")))
-    changed = changed.withColumn("fields", F.when(k % 7 == 2, put("created_at", "1999-01-01")).otherwise(F.col("fields")))
+    changed = changed.withColumn("fields", F.when(k % 7 == 2, put("created_at", "1066-10-14")).otherwise(F.col("fields")))
     now = F.when(k % 11 == 3, F.lit("another file")).otherwise(F.sha2("o_orderpriority", 256))
     return E.verified(changed.withColumn("input_now", now).withColumn("model_now", F.lit(None).cast("string")), "run_id")
 

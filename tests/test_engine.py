@@ -216,3 +216,11 @@ def test_a_load_counts_while_it_writes(spark, tmp_path):
     assert tuple(got.first()) == (1, 2, 4)
     none = ais_csv.load(ais_csv.read_csv(spark, str(tmp_path / "a.csv")).limit(0), str(tmp_path / "none"), known)
     assert tuple(none.first()) == (0, 0, 0)
+
+
+def test_seals_escape_as_plain_json_does(spark):
+    values = ["a\nb", 'q"\\', "".join(map(chr, range(1, 33))) + "\x7f\x85", "\\u001b \\\\u000E", "\x1b\\\x0e", "é/你", "", None, "\U0001f600"]
+    rows = [(i, {"note": v, "b": "1", "É": v, "a\t": "x", "created_at": "now"}) for i, v in enumerate(values)]
+    found = spark.createDataFrame(rows, "k int, m map<string,string>").select("k", evidence.canonical(F.col("m"), ("created_at",)).alias("c")).collect()
+    for r in found:
+        assert r.c == json.dumps({k: v for k, v in rows[r.k][1].items() if k != "created_at"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)

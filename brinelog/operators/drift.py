@@ -1,4 +1,4 @@
-"""Backward and forward drift: deterministic folds, the Monte Carlo ensemble, and statistics over particles."""
+"""Backward and forward drift: deterministic folds, each step's field and where it is from, and statistics over particles."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, drift_velocity, haversine_km, wrap_lon
 from .fields import nearest_hour
+from .order_statistics import percentiles
 
 FIELD = ("wind", "wind_from", "current", "current_to")
 
@@ -47,57 +48,29 @@ def path(starts: DataFrame, hours: float = 24.0, step_hours: float = 1.0, windag
     return moved.withColumn("path", F.reverse(walked)).withColumn("uncertainty_km", F.lit(2.0 + 0.5 * hours)).drop("ve", "vn")
 
 
-def step_fields(cases: DataFrame, hourly: DataFrame) -> DataFrame:
-    """The cases with steps (an array with each hour's field, backward from t; null where no hour is near enough) and
-    degraded_steps, how many are null. Single nulls of an hour are filled from the case's own field.
+def step_sources(cases: DataFrame, hourly: DataFrame, dt: float = 3600.0) -> DataFrame:
+    """One row a step of each case, backward from t: case_id, k, at, the field, the hour it is from, its age in seconds (how far that
+    hour lies from the step), and source: `hour`, `filled` (an hour that lacked something the case's own field gave), or `held` where no hour
+    is near enough, so that the case's own field stands.
 
     Fields (hour, wind, wind_from, current, current_to) are looked up once for each distinct moment, not for each case."""
     n = F.greatest(F.lit(1), F.rint("hours")).cast("int")
-    each = cases.select("case_id", *FIELD, "t", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).withColumn("at", F.col("t") - F.col("k") * 3600.0)
+    each = cases.select("case_id", *FIELD, "t", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).withColumn("at", F.col("t") - F.col("k") * dt)
     moments = each.select(F.col("at").alias("probe_id"), F.col("at").alias("t")).distinct()
     near = nearest_hour(moments, hourly).select(F.col("probe_id").alias("at"), "hour", *[F.col(f).alias(f"near_{f}") for f in FIELD])
-    field = F.struct(*[F.coalesce(f"near_{f}", f).cast("double").alias(f) for f in FIELD])
-    met = each.join(near, "at", "left").withColumn("field", F.when(F.col("hour").isNotNull(), field))
-    steps = met.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("k", "field"))).alias("s"), F.count_if(F.col("hour").isNull()).alias("degraded_steps"))
-    return cases.join(steps.select("case_id", F.transform("s", lambda x: x.field).alias("steps"), "degraded_steps"), "case_id")
+    lacking = F.greatest(*[F.col(f"near_{f}").isNull() for f in FIELD])
+    source = F.when(F.col("hour").isNull(), "held").when(lacking, "filled").otherwise("hour")
+    fields = [F.coalesce(f"near_{f}", f).cast("double").alias(f) for f in FIELD]
+    return each.join(near, "at", "left").select("case_id", "k", "at", *fields, "hour", F.abs(F.col("at") - F.col("hour") * 3600).alias("age_s"), source.alias("source"))
 
 
-def ensemble(cases: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
-    """Monte Carlo hindcast of each case (case_id, lat, lon, t, wind, wind_from, current, current_to, hours): case_id,
-    particle_id, lat, lon, t, windage. The random streams are seeded by seed + case's order key, so any re-run is the same.
-
-    A case may bring `steps`, the field of each hour back from t (see step_fields): a step without one holds the field
-    before it. Each particle's errors are drawn once and applied to the step's own field."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pdf.iloc[0]
-        rng = np.random.default_rng(seed + int(c["case_id"]))
-        steps, dt = max(1, round(float(c["hours"]))), 3600.0
-        wind_error, from_error = np.maximum(0.0, 1.0 + rng.normal(0.0, 0.20, n)), rng.normal(0.0, 15.0, n)
-        current_error, to_error = np.maximum(0.0, 1.0 + rng.normal(0.0, 0.30, n)), rng.normal(0.0, 20.0, n)
-        windage = np.clip(rng.normal(0.03, 0.005, n), 0.0, 0.10)
-        release = np.minimum(np.clip(np.round(rng.normal(steps, 0.15 * steps, n)).astype(int), 1, 2 * steps), steps)
-        turn = np.radians(-15.0 if c["lat"] >= 0 else 15.0)
-        field, own = {f: float(c[f]) for f in FIELD}, c["steps"] if "steps" in pdf.columns and c["steps"] is not None else ()
-        lat, lon, degrees, spread = np.full(n, float(c["lat"])), np.full(n, float(c["lon"])), 180 / np.pi, math.sqrt(2 * 5.0 * dt)
-        for k in range(steps):
-            if k < len(own) and own[k] is not None:
-                field = own[k]
-            wind, wind_from = field["wind"] * wind_error, np.radians(field["wind_from"] + from_error)
-            current, current_to = field["current"] * current_error, np.radians(field["current_to"] + to_error)
-            e, north = -wind * np.sin(wind_from), -wind * np.cos(wind_from)
-            ve = current * np.sin(current_to) + windage * (e * np.cos(turn) - north * np.sin(turn))
-            vn = current * np.cos(current_to) + windage * (e * np.sin(turn) + north * np.cos(turn))
-            half = np.clip(lat - vn * dt / EARTH_M * degrees / 2, -89.5, 89.5)
-            shrink = EARTH_M * np.cos(np.radians(half))
-            dlat = -(vn * dt) / EARTH_M * degrees + rng.normal(0.0, spread, n) / EARTH_M * degrees
-            dlon = -(ve * dt) / shrink * degrees + rng.normal(0.0, spread, n) / shrink * degrees
-            moving = release > k
-            lat = np.where(moving, np.clip(lat + dlat, -89.5, 89.5), lat)
-            lon = np.where(moving, (lon + dlon + 180) % 360 - 180, lon)
-        return pd.DataFrame({"case_id": int(c["case_id"]), "particle_id": np.arange(n), "lat": lat, "lon": lon, "t": c["t"] - release * dt, "windage": windage})
-
-    return cases.groupBy("case_id").applyInPandas(run, "case_id long, particle_id long, lat double, lon double, t double, windage double")
+def step_fields(cases: DataFrame, hourly: DataFrame) -> DataFrame:
+    """The cases with steps (an array with each hour's field, backward from t; null where no hour is near enough) and
+    degraded_steps, how many are null. Single nulls of an hour are filled from the case's own field."""
+    held = F.col("source") == "held"
+    field = F.when(~held, F.struct(*FIELD)).alias("field")
+    steps = step_sources(cases, hourly).groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("k", field))).alias("s"), F.count_if(held).alias("degraded_steps"))
+    return cases.join(steps.select("case_id", F.transform("s", lambda x: x.field).alias("steps"), "degraded_steps"), "case_id")
 
 
 def centre(particles: DataFrame, by: str) -> DataFrame:
@@ -113,9 +86,9 @@ def distances(particles: DataFrame, by: str) -> DataFrame:
 
 
 def radii(particles: DataFrame, by: str) -> DataFrame:
-    """by, radius_50_km, radius_90_km: exact interpolated percentiles."""
-    p = distances(particles, by).groupBy(by).agg(F.percentile("km", F.array(F.lit(0.5), F.lit(0.9))).alias("p"))
-    return p.select(by, F.col("p")[0].alias("radius_50_km"), F.col("p")[1].alias("radius_90_km"))
+    """by, radius_50_km, radius_90_km: exact interpolated percentiles of clouds of any size."""
+    p = percentiles(distances(particles, by), [by], "km", [0.5, 0.9])
+    return p.select(by, F.col("percentiles")[0].alias("radius_50_km"), F.col("percentiles")[1].alias("radius_90_km"))
 
 
 def nearest_share(particles: DataFrame, by: str, share: float) -> DataFrame:

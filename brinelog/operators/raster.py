@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import clip01, total, wind_plausibility
+from ..sources.written import saved
+from .order_statistics import percentiles
 
 WEIGHTS = {"damping": 1.80, "edge": 1.60, "homogeneity": 3.00, "shape": 1.40, "wind": 3.00, "model": 1.40}
 BIAS = -1.20
@@ -76,11 +78,14 @@ def zones(scene: DataFrame, mask: DataFrame, width: int) -> DataFrame:
 
 def region_statistics(zoned: DataFrame) -> DataFrame:
     """scene, n_in, n_ring, mean and population deviation of both zones, mean and 90th percentile inside."""
+    zoned = saved(zoned.select("scene", "zone", "p"), "zoned")
     own = lambda z, f: f(F.when(F.col("zone") == z, F.col("p")))
-    return zoned.groupBy("scene").agg(
+    moments = zoned.groupBy("scene").agg(
         own("inside", F.count).alias("n_in"), own("ring", F.count).alias("n_ring"), own("inside", F.avg).alias("in_mean"), own("ring", F.avg).alias("ring_mean"),
-        own("inside", F.stddev_pop).alias("in_std"), own("ring", F.stddev_pop).alias("ring_std"), F.percentile(F.when(F.col("zone") == "inside", F.col("p")), F.lit(0.9)).alias("in_p90"),
+        own("inside", F.stddev_pop).alias("in_std"), own("ring", F.stddev_pop).alias("ring_std"),
     )
+    p90 = percentiles(zoned.where("zone = 'inside'"), ["scene"], "p", [0.9]).select("scene", F.col("percentiles")[0].alias("in_p90"))
+    return moments.join(p90, "scene", "left")
 
 
 def extents(scene: DataFrame) -> DataFrame:
@@ -115,8 +120,9 @@ def local_cv(scene: DataFrame, reach: int) -> DataFrame:
 def speckle(scene: DataFrame, reach: int = 4, floor: float = 0.02 * 255, smooth: float = 0.05) -> DataFrame:
     """scene, median_cv, smooth_fraction, valid_fraction of grey values p in 0..255; nearly black pixels don't count, and
     with fewer than 64 others a scene is all smooth."""
-    valid = F.when(F.col("mean") > floor, F.col("cv"))
-    s = local_cv(scene, reach).groupBy("scene").agg(F.median(valid).alias("median"), F.avg((valid < smooth).cast("int")).alias("smooth"), F.count(valid).alias("n"), F.count("*").alias("all"))
+    own = saved(local_cv(scene, reach).select("scene", F.when(F.col("mean") > floor, F.col("cv")).alias("valid")), "cv")
+    s = own.groupBy("scene").agg(F.avg((F.col("valid") < smooth).cast("int")).alias("smooth"), F.count("valid").alias("n"), F.count("*").alias("all"))
+    s = s.join(percentiles(own, ["scene"], "valid", [0.5]).select("scene", F.col("percentiles")[0].alias("median")), "scene", "left")
     enough = F.col("n") >= 64
     return s.select("scene", F.when(enough, F.col("median")).otherwise(0.0).alias("median_cv"), F.when(enough, F.col("smooth")).otherwise(1.0).alias("smooth_fraction"), F.when(enough, F.col("n") / F.col("all")).otherwise(0.0).alias("valid_fraction"))
 

@@ -95,12 +95,19 @@ def nearest_half_particles(spark: SparkSession, sf: str) -> DataFrame:
     return D.nearest_share(clouds(spark, sf), "cloud", 0.5).select("cloud", "particle_id")
 
 
-@query()
-def ensemble_hindcast(spark: SparkSession, sf: str) -> DataFrame:
-    cases = starts(spark, sf).select(F.col("particle_id").alias("case_id"), "lat", "lon", "t", "wind", "wind_from", "current", "current_to", F.lit(24.0).alias("hours"))
-    hourly = fields.joined_fields(*hourly_fields(spark, sf)).withColumns({"wind": F.col("wind") / 10, "current": F.col("current") / 100})  # events' values as speeds at sea
-    cases = saved(D.step_fields(cases, hourly), "cases")
-    return D.radii(D.ensemble(cases), "case_id").join(cases.select("case_id", "degraded_steps"), "case_id")
+STEPS = f"""{STARTS}, {HOURS}, series AS (SELECT w.hour, CASE WHEN w.hour % 5 <> 0 THEN wind END AS wind, wind_from, current, current_to FROM wind w LEFT JOIN curr c ON w.hour = c.hour WHERE w.hour % 97 < 60),
+each AS (SELECT particle_id AS case_id, s.*, k, s.t - k * 3600.0::DOUBLE AS at FROM starts s, range(4 + particle_id % 3) AS r(k)),
+met AS (SELECT e.case_id, e.k, h.*, row_number() OVER (PARTITION BY e.case_id, e.k ORDER BY abs(e.at - h.hour * 3600), h.hour) AS pick FROM each e JOIN series h ON h.hour BETWEEN floor(e.at / 3600) - 24 AND floor(e.at / 3600) + 25)"""
+
+
+@query(f"""WITH {STEPS} SELECT e.case_id, e.k::INT AS k, round(e.at, 3) AS at, round(coalesce(m.wind, e.wind), 5) AS wind, round(coalesce(m.wind_from, e.wind_from), 5) AS wind_from, round(coalesce(m.current, e.current), 5) AS current, round(coalesce(m.current_to, e.current_to), 5) AS current_to,
+round(abs(e.at - m.hour * 3600), 3) AS age_s, CASE WHEN m.hour IS NULL THEN 'held' WHEN m.wind IS NULL OR m.wind_from IS NULL OR m.current IS NULL OR m.current_to IS NULL THEN 'filled' ELSE 'hour' END AS source FROM each e LEFT JOIN met m ON e.case_id = m.case_id AND e.k = m.k AND pick = 1""")
+def step_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Each step's field with where it is from; some hours lack the wind, some days are missing."""
+    cases = starts(spark, sf).select(F.col("particle_id").alias("case_id"), "lat", "lon", "t", "wind", "wind_from", "current", "current_to", (4 + F.col("particle_id") % 3).cast("double").alias("hours"))
+    hourly = fields.joined_fields(*hourly_fields(spark, sf)).withColumn("wind", F.when(F.col("hour") % 5 != 0, F.col("wind"))).where("hour % 97 < 60")
+    steps = D.step_sources(cases, hourly)
+    return steps.select("case_id", "k", F.round("at", 3).alias("at"), *[F.round(c, 5).alias(c) for c in ("wind", "wind_from", "current", "current_to")], F.round("age_s", 3).alias("age_s"), "source")
 
 
 HULL = f"""WITH {PARTICLES}, cl AS (SELECT particle_id % 7 AS cloud, * FROM particles),

@@ -97,9 +97,6 @@ def test_drift(spark):
     assert drift.trajectory(start, 1.0).first().end_lat == pytest.approx(-3600 / 6371000 * 180 / math.pi)
     west = start.withColumns({"wind": F.lit(10.0), "wind_from": F.lit(270.0), "current": F.lit(0.0)})
     assert drift.trajectory(west, 1.0).first().end_lon == pytest.approx(-0.3 * 3600 / 6371000 * 180 / math.pi)
-    cases = spark.createDataFrame([(1, 19.0, 72.0, T0, 6.0, 225.0, 0.4, 90.0, h) for h in (12.0,)], "case_id long, lat double, lon double, t double, wind double, wind_from double, current double, current_to double, hours double")
-    spread = [drift.radii(drift.ensemble(cases.withColumn("hours", F.lit(h)), 500), "case_id").first().radius_90_km for h in (12.0, 24.0, 48.0)]
-    assert spread == sorted(spread) and spread == [drift.radii(drift.ensemble(cases.withColumn("hours", F.lit(h)), 500), "case_id").first().radius_90_km for h in (12.0, 24.0, 48.0)]
     square = spark.createDataFrame([(1, float(x), float(y)) for x in range(3) for y in range(3)], "g long, lon double, lat double")
     assert drift.hulls(square, "g").first().ring == [[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]
 
@@ -150,25 +147,13 @@ def test_stream_gives_the_batch_anomalies(spark, tmp_path):
     assert spark.sql("SELECT * FROM found WHERE code = 'speed_drop'").count() == drops > 0
 
 
-def test_ensemble_takes_each_steps_own_field(spark):
+def test_each_step_takes_its_own_field(spark):
     cases = spark.createDataFrame([(1, 19.0, 72.0, T0, 4.0, 225.0, 0.1, 90.0, 6.0)], "case_id long, lat double, lon double, t double, wind double, wind_from double, current double, current_to double, hours double")
     hour = int(T0 // 3600)
     schema = "hour long, wind double, wind_from double, current double, current_to double"
-    told = drift.step_fields(cases, spark.createDataFrame([(hour - k, 8.0, 0.0, None if k == 2 else 0.5, 10.0 * k) for k in range(6)], schema)).first()
+    hours = spark.createDataFrame([(hour - k, 8.0, 0.0, None if k == 2 else 0.5, 10.0 * k) for k in range(6)], schema)
+    told = drift.step_fields(cases, hours).first()
     assert [(s.wind, s.current, s.current_to) for s in told.steps] == [(8.0, 0.1 if k == 2 else 0.5, 10.0 * k) for k in range(6)] and told.degraded_steps == 0
-    alike = drift.step_fields(cases, spark.createDataFrame([(hour - k, 4.0, 225.0, 0.1, 90.0) for k in range(6)], schema))
-    spot = lambda c: [(r.lat, r.lon) for r in drift.ensemble(c).orderBy("particle_id").collect()]
-    assert spot(alike) == spot(cases)
-    turned = drift.step_fields(cases, spark.createDataFrame([(hour - k, 4.0, 225.0, 0.1, 90.0 + 180 * (k > 2)) for k in range(6)], schema))
-    assert spot(turned) != spot(cases)
-    none = drift.step_fields(cases, spark.createDataFrame([(hour - 99, 8.0, 0.0, 0.5, 0.0)], schema))
-    assert none.first().degraded_steps == 6 and spot(none) == spot(cases)
-
-
-def test_ensemble_query_draws_the_default_number_of_particles(spark, monkeypatch):
-    from brinelog.plans import weather
-
-    drawn, ensemble = [], drift.ensemble
-    monkeypatch.setattr(weather.D, "ensemble", lambda cases, n=500, seed=42: drawn.append((n, "steps" in cases.columns)) or ensemble(cases, n, seed))
-    assert weather.ensemble_hindcast(spark, "/root/testdata/sf0.001").count() > 0
-    assert drawn == [(500, True)]
+    assert [(r.source, r.age_s) for r in drift.step_sources(cases, hours).orderBy("k").collect()] == [("filled" if k == 2 else "hour", T0 % 3600) for k in range(6)]
+    none = drift.step_fields(cases, spark.createDataFrame([(hour - 99, 8.0, 0.0, 0.5, 0.0)], schema)).first()
+    assert none.degraded_steps == 6 and none.steps == [None] * 6

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import windows
+
 
 def joined_fields(wind: DataFrame, current: DataFrame) -> DataFrame:
     return wind.join(current, "hour", "left")
@@ -43,3 +45,43 @@ def sampled(probes: DataFrame, fields: DataFrame, point: DataFrame | None = None
     values = {c: F.coalesce(F.col(c), F.col(f"point_{c}"), F.lit(DEFAULTS[c])) for c in names}
     source = F.when(F.col("hour").isNotNull(), "series").when(F.coalesce(*[F.col(f"point_{c}") for c in names]).isNotNull(), "point").otherwise("default")
     return met.select(*probes.columns, "hour", *[v.alias(c) for c, v in values.items()], source.alias("source"), F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in names]).alias("filled"))
+
+
+def newest(store: DataFrame, key: str = "key", at: str = "fetched_at") -> DataFrame:
+    """The last written row of each key."""
+    rest = [c for c in store.columns if c != key]
+    return store.groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("v")).select(key, "v.*")
+
+
+def to_ask(wanted: DataFrame, store: DataFrame, ttl: float = 21600.0) -> DataFrame:
+    """Of the wanted (key, t) those that the store (key, fetched_at, ...) has no value for that is younger than `ttl` seconds: each once."""
+    fresh = newest(store).select("key", "fetched_at")
+    met = wanted.select("key", "t").join(fresh, "key", "left")
+    return met.where(F.col("fetched_at").isNull() | (F.col("t") >= F.col("fetched_at") + ttl)).groupBy("key").agg(F.min("t").alias("t"))
+
+
+def served(requests: DataFrame, ttl: float = 21600.0, open_s: float = 300.0) -> DataFrame:
+    """What each request (request_id, service, key, t, ok, value) was answered with, had it gone through a store with expiry and a
+    breaker: request_id, t, state, hit, source, value, age_s.
+
+    An answer stands for `ttl` seconds, whatever it was. A request that no answer stands for is asked, unless the service failed
+    less than `open_s` seconds before: the breaker is then open and the default stands in. The first request after that is a trial:
+    if it fails, the breaker opens again. ok says whether the service would have answered, value with what.
+
+    Which requests aren't answered from the store depends on their key alone, and which failures open the breaker on the failures
+    alone; both are folds of their own, and all else meets by windows of time."""
+    rows = requests.select(F.col("request_id").alias("id"), "service", "key", F.col("t").cast("double").alias("t"), "ok", "value")
+    stands = windows(rows, ttl).select("id", "since", "opens")
+    known = rows.join(stands, "id")
+    asked = known.where("opens").select("id", "service", "key", "t", "ok", "value")
+    failing = windows(asked.where("NOT ok").select(F.col("service").alias("key"), "id", "t"), open_s).where("opens")
+    bucket = lambda t: F.floor(t / open_s)
+    opened = failing.select(F.col("key").alias("o_service"), F.col("id").alias("o_id"), F.col("t").alias("opened"), F.explode(F.array(bucket(F.col("t")), bucket(F.col("t")) + 1)).alias("o_bucket"))
+    after = (F.col("t") > F.col("opened")) | ((F.col("t") == F.col("opened")) & (F.col("id") > F.col("o_id")))
+    within = (F.col("service").cast("string") == F.col("o_service")) & (F.col("bucket") == F.col("o_bucket")) & after & (F.col("t") < F.col("opened") + open_s)
+    broken = asked.withColumn("bucket", bucket(F.col("t"))).join(opened, within, "left_semi").select("id", F.lit(True).alias("broken"))
+    state = F.when(F.col("broken"), "open").otherwise("closed")
+    answer = F.when(F.col("broken").isNull() & F.col("ok"), "fetched").otherwise("default")
+    fills = asked.join(broken, "id", "left").select(F.col("key").alias("f_key"), F.col("t").alias("filled"), state.alias("state"), answer.alias("source"), F.when(answer == "fetched", F.col("value")).alias("value"))
+    told = known.drop("value").join(fills, (F.col("key") == F.col("f_key")) & (F.col("since") == F.col("filled")))
+    return told.select(F.col("id").alias("request_id"), "t", "state", (~F.col("opens")).alias("hit"), "source", "value", (F.col("t") - F.col("since")).alias("age_s"))

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, wrap_lon
+from .folds import first_dwells, stays_near
 
 MAX_GAP = 3600.0
 
@@ -125,41 +124,10 @@ def speed_drops(track: DataFrame, segs: DataFrame | None = None) -> DataFrame:
     return s.select("mmsi", F.lit("speed_drop").alias("code"), F.least(F.lit(1.0), drop / 15).alias("severity")).withColumn("ratio", 1 + 0.35 * F.col("severity"))
 
 
-def next_event(t: np.ndarray, phi: np.ndarray, lam: np.ndarray, anchor: int, km: float, least: float) -> tuple[int, bool]:
-    """The first position after the anchor that lies over `km` from it (its place, True) or comes over `least` seconds later
-    while still near (its place, False); the track's length if neither comes. Looked for in blocks of growing length."""
-    at, block = anchor + 1, 16
-    while at < len(t):
-        j = slice(at, min(len(t), at + block))
-        across = (lam[j] - lam[anchor] + np.pi) % (2 * np.pi) - np.pi
-        a = np.sin((phi[j] - phi[anchor]) / 2) ** 2 + np.cos(phi[anchor]) * np.cos(phi[j]) * np.sin(across / 2) ** 2
-        far = 2 * 6371.0 * np.arcsin(np.minimum(1.0, np.sqrt(a))) > km
-        hit = np.flatnonzero(far | (t[j] - t[anchor] > least))
-        if len(hit):
-            return at + int(hit[0]), bool(far[hit[0]])
-        at, block = j.stop, block * 2
-    return len(t), True
-
-
 def loitering(track: DataFrame, km: float = 2.0, least: float = 3600.0) -> DataFrame:
-    """mmsi, code, severity, ratio of the first dwell of over an hour within 2 km of a moving anchor; tracks of three or more.
-
-    The anchor depends on all positions before it, so each track is folded in order, a track at a time."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "ordinal"])
-        t, phi, lam = pdf["t"].to_numpy(), np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
-        at, far = 0, True
-        while far and at < len(t) and len(t) >= 3:
-            anchor = at
-            at, far = next_event(t, phi, lam, anchor, km, least)
-        if far:
-            return pd.DataFrame({"mmsi": [], "severity": [], "ratio": []})
-        severity = min(1.0, (t[at] - t[anchor]) / 21600)
-        return pd.DataFrame({"mmsi": [pdf["mmsi"].iloc[0]], "severity": [severity], "ratio": [1 + 0.45 * severity]})
-
-    found = track.select("mmsi", "t", "ordinal", "lat", "lon").groupBy("mmsi").applyInPandas(run, "mmsi long, severity double, ratio double")
-    return found.select("mmsi", F.lit("loitering").alias("code"), "severity", "ratio")
+    """mmsi, code, severity, ratio of the first dwell of over an hour within 2 km of a moving anchor; tracks of three or more."""
+    severity = F.least(F.lit(1.0), F.col("dwell") / 21600)
+    return first_dwells(track, km, least).select("mmsi", F.lit("loitering").alias("code"), severity.alias("severity"), (1 + 0.45 * severity).alias("ratio"))
 
 
 def anomalies(track: DataFrame, lat: float, lon: float, segs: DataFrame | None = None) -> DataFrame:
@@ -208,17 +176,5 @@ def integrity(track: DataFrame) -> DataFrame:
 
 
 def legacy_loitering(track: DataFrame, km: float = 2.0, least: float = 3600.0) -> DataFrame:
-    """mmsi of tracks with some position that all following ones stay within 2 km of for over an hour.
-
-    From each start the track is followed to the first position outside or the first after an hour, whichever comes first:
-    never further than a dwell, so a track costs its length times the positions of an hour. A track at a time."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "ordinal"])
-        t, phi, lam = pdf["t"].to_numpy(), np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
-        for i in range(len(t) - 1):
-            if not next_event(t, phi, lam, i, km, least)[1]:
-                return pd.DataFrame({"mmsi": [pdf["mmsi"].iloc[0]], "loiters": [True]})
-        return pd.DataFrame({"mmsi": [], "loiters": []}).astype({"mmsi": "int64", "loiters": "bool"})
-
-    return track.select("mmsi", "t", "ordinal", "lat", "lon").groupBy("mmsi").applyInPandas(one, "mmsi long, loiters boolean")
+    """mmsi of tracks with some position that all following ones stay within 2 km of for over an hour."""
+    return stays_near(track, km, least)

@@ -20,7 +20,7 @@ from ..operators import tracks as T
 from ..sources import ais_csv as C
 from ..sources import rasters as R
 from ..sources.adapters import T0, hourly_fields, positions, runs, table
-from ..sources.written import shared_folder
+from ..sources.written import saved, shared_folder
 from .sql import AIS, HOURS, SEG
 from .tracks import FLAGS, r6
 from .weather import STARTS, _velocity, starts
@@ -110,6 +110,31 @@ def field_cache_key(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", M.cache_key(F.col("value"), -F.col("value") / 3, F.col("ts").cast("timestamp")).alias("key"))
 
 
+_ASKED = "req AS (SELECT event_id AS id, (event_id % 3)::VARCHAR AS service, user_id % 97 || '@' || event_id % 3 AS key, epoch_us(ts) / 2e7 AS t, event_type <> 'error' AS ok, value FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_ASKED}, f AS (SELECT key, min(t) AS t FROM req GROUP BY key UNION ALL SELECT r.key, min(r.t) FROM f JOIN req r ON r.key = f.key AND r.t >= f.t + 21600 GROUP BY r.key),
+asked AS (SELECT r.* FROM req r JOIN f ON r.key = f.key AND r.t = f.t QUALIFY row_number() OVER (PARTITION BY r.key, r.t ORDER BY id) = 1),
+o AS (SELECT service, min(t) AS t FROM asked WHERE NOT ok GROUP BY 1 UNION ALL SELECT a.service, min(a.t) FROM o JOIN asked a ON a.service = o.service AND NOT a.ok AND a.t >= o.t + 300 GROUP BY 1),
+fills AS (SELECT a.*, EXISTS (SELECT 1 FROM o WHERE o.service = a.service AND a.t > o.t AND a.t < o.t + 300) AS broken FROM asked a)
+SELECT r.id AS request_id, round(r.t, 3) AS t, CASE WHEN a.broken THEN 'open' ELSE 'closed' END AS state, r.id <> a.id AS hit, CASE WHEN a.ok AND NOT a.broken THEN 'fetched' ELSE 'default' END AS source, CASE WHEN a.ok AND NOT a.broken THEN a.value END AS value, round(r.t - a.t, 3) AS age_s
+FROM req r JOIN fills a ON a.key = r.key AND a.t <= r.t QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY a.t DESC) = 1""")
+def field_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests for fields in order of time through a store of six hours and a breaker of five minutes; errors are failures."""
+    k, service = F.col("event_id"), (F.col("event_id") % 3).cast("string")
+    asked = table(spark, sf, "events").select(k.alias("request_id"), service.alias("service"), F.concat((F.col("user_id") % 97).cast("string"), F.lit("@"), service).alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(2e7)).alias("t"), (F.col("event_type") != "error").alias("ok"), "value")
+    return M.served(saved(asked, "requests")).select("request_id", F.round("t", 3).alias("t"), "state", "hit", "source", "value", F.round("age_s", 3).alias("age_s"))
+
+
+@query("""WITH s AS (SELECT user_id AS key, epoch_us(ts) / 1e6 AS fetched_at FROM events WHERE event_id % 3 = 0), n AS (SELECT key, max(fetched_at) AS fetched_at FROM s GROUP BY 1), w AS (SELECT user_id AS key, epoch_us(ts) / 1e6 AS t FROM events WHERE event_id % 3 = 1)
+SELECT w.key, round(min(t), 3) AS t FROM w LEFT JOIN n USING (key) WHERE fetched_at IS NULL OR t >= fetched_at + 21600 GROUP BY 1""")
+def fields_to_ask(spark: SparkSession, sf: str) -> DataFrame:
+    """Which keys have to be asked again: their newest value in the store is too old at some moment that wants it."""
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at"), "value")
+    store = e.where("event_id % 3 = 0").select("key", F.col("at").alias("fetched_at"), "value")
+    return M.to_ask(e.where("event_id % 3 = 1").select("key", F.col("at").alias("t")), store).select("key", F.round("t", 3).alias("t"))
+
+
 # ---- position files
 
 _CSV = """raw AS (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE (user_id + 360000000) || CASE WHEN event_id % 4 = 0 THEN '99' ELSE '' END END AS mmsi,

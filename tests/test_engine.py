@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brinelog.operators import attribution, drift, evidence, fields, geometry, raster, robustness, text, tracks
+from brinelog.operators import attribution, drift, evidence, fields, folds, geometry, raster, robustness, text, tracks
 from brinelog.sources import ais_csv, rasters
 
 
@@ -61,20 +61,52 @@ def test_many_cases_agree_with_single_ones(spark):
     assert last[3].best is None and last[3].conclusion == "insufficient_evidence" and last[3].unknown == 1.0
 
 
-def test_loitering_in_blocks_is_the_plain_walk():
-    rng = np.random.default_rng(3)
-    for _ in range(60):
-        n = int(rng.integers(2, 400))
-        t = np.cumsum(rng.uniform(0, 200, n))
-        phi, lam = np.radians(np.cumsum(rng.normal(0, 0.002, n))), np.radians(np.cumsum(rng.normal(0, 0.002, n)))
-        for anchor in (0, n // 2, n - 1):
-            want = (n, True)
-            for j in range(anchor + 1, n):
-                far = km(math.degrees(phi[anchor]), math.degrees(lam[anchor]), math.degrees(phi[j]), math.degrees(lam[j])) > 2
-                if far or t[j] - t[anchor] > 3600:
-                    want = (j, far)
+def test_loitering_is_the_plain_walk(spark):
+    rng, rows = np.random.default_rng(3), []
+    for mmsi in range(60):
+        n = int(rng.integers(1, 200))
+        t, lat, lon = np.cumsum(rng.uniform(0, 200, n)), np.cumsum(rng.normal(0, 0.1, n) ** 3), 179.9 + np.cumsum(rng.normal(0, 0.1, n) ** 3)
+        rows += [(mmsi, k, float(t[k]), float(lat[k]), float((lon[k] + 180) % 360 - 180)) for k in range(n)]
+    near = lambda a, b: km(a[3], a[4], b[3], b[4]) <= 2
+    dwells, stays = {}, set()
+    for mmsi in range(60):
+        own, anchor = [r for r in rows if r[0] == mmsi], 0
+        for j in range(1, len(own)):
+            if not near(own[anchor], own[j]):
+                anchor = j
+            elif own[j][2] - own[anchor][2] > 3600 and len(own) >= 3:
+                dwells[mmsi] = own[j][2] - own[anchor][2]
+                break
+        for i in range(len(own)):
+            for j in range(i + 1, len(own)):
+                if not near(own[i], own[j]):
                     break
-            assert tracks.next_event(t, phi, lam, anchor, 2.0, 3600.0) == want
+                if own[j][2] - own[i][2] > 3600:
+                    stays.add(mmsi)
+                    break
+    frame = spark.createDataFrame(rows + [(0, 999, None, 1.0, 1.0), (None, 0, 1.0, 1.0, 1.0)], "mmsi long, ordinal long, t double, lat double, lon double").repartition(4)
+    assert {r.mmsi: r.dwell for r in folds.first_dwells(frame, 2.0, 3600.0).collect()} == pytest.approx(dwells) and dwells
+    assert {r.mmsi for r in folds.stays_near(frame, 2.0, 3600.0).collect()} == stays
+    assert folds.stays_near(frame.limit(0), 2.0, 3600.0).count() == 0
+
+
+def test_a_store_with_a_breaker_is_the_plain_one(spark):
+    random.seed(4)
+    rows = sorted({(random.randrange(4000), i) for i in range(500)})
+    rows = [(i, "s%d" % (i % 2), "k%d" % (i % 14), float(t), random.random() < 0.7, float(i)) for t, i in rows]
+    want, store, broken = {}, {}, {}
+    for i, service, key, t, ok, value in rows:
+        hit = key in store and t < store[key][0] + 600
+        if not hit:
+            open_ = t < broken.get(service, -1e9) + 90
+            if not open_ and not ok:
+                broken[service] = t
+            store[key] = (t, "open" if open_ else "closed", "fetched" if ok and not open_ else "default", value if ok and not open_ else None)
+        since, state, source, value = store[key]
+        want[i] = (state, hit, source, value, t - since)
+    frame = spark.createDataFrame(rows, "request_id long, service string, key string, t double, ok boolean, value double").repartition(3)
+    assert {r.request_id: tuple(r)[2:] for r in fields.served(frame, 600.0, 90.0).collect()} == want
+    assert len({w[0] for w in want.values()}) == 2 and any(w[1] for w in want.values())
 
 
 def test_dilation_and_distances_are_brute_force(spark):

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs as arrow_fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scenes import opened
+
 
 def _plain(value: object) -> object:
     if isinstance(value, bool) or value is None or isinstance(value, str):
@@ -102,6 +107,41 @@ def folder_digests(files: DataFrame, folder: str) -> DataFrame:
     return each.groupBy(folder).agg(F.sha2(told, 256).alias("sha256"))
 
 
+def walked(spark: SparkSession, folder: str) -> DataFrame:
+    """file and path (inside the folder) of every file below a folder, hidden ones too."""
+    system, inner = opened(folder)
+    scheme = folder.split("://")[0] + "://" if "://" in folder and not folder.startswith("file:") else ""
+    found = [f.path for f in system.get_file_info(arrow_fs.FileSelector(inner, recursive=True)) if f.is_file]
+    cut = len(inner.rstrip("/")) + 1
+    rows = spark.createDataFrame([(scheme + p, p[cut:]) for p in found], "file string, path string")
+    return rows.repartition(max(1, min(len(found), 10 * spark.sparkContext.defaultParallelism)), "file")
+
+
+def file_digests(files: DataFrame, chunk: int = 4 << 20) -> DataFrame:
+    """Adds length, sha256 and error to rows with a file each. A file is read in chunks through a running digest, so its size doesn't
+    matter; one that can't be read has a reason in error and neither of the others."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(file: str | None) -> tuple:
+            state, length = hashlib.sha256(), 0
+            try:
+                system, inner = opened(file or "")
+                with system.open_input_stream(inner) as stream:
+                    while data := stream.read(chunk):
+                        state.update(data)
+                        length += len(data)
+            except (OSError, ValueError, TypeError) as e:
+                return None, None, f"unreadable: {e}"[:200]
+            return length, state.hexdigest(), None
+
+        for pdf in frames:
+            told = [one(f) for f in pdf["file"]]
+            yield pdf.assign(length=pd.array([t[0] for t in told], "Int64"), sha256=[t[1] for t in told], error=[t[2] for t in told])
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInPandas(run, f"{kind}, length long, sha256 string, error string")
+
+
 def code_version(commit: str | None, dirty: bool = False) -> str:
     return "unavailable" if not commit else f"{commit}-dirty" if dirty else commit
 

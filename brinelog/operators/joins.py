@@ -23,8 +23,8 @@ def last_drift(regions: DataFrame, drifts: DataFrame, key: str = "region_id", or
 
 def suspect_tracks(track: DataFrame, suspects: DataFrame, origins: DataFrame, hours: float = 12.0) -> DataFrame:
     """The suspects' positions from `hours` before the first origin to as long after the last."""
-    ends = origins.agg((F.min("t") - hours * 3600).alias("since"), (F.max("t") + hours * 3600).alias("until"))
-    near = track.crossJoin(F.broadcast(ends)).where(F.col("t").between(F.col("since"), F.col("until"))).drop("since", "until")  # one row is broadcast
+    ends = origins.agg((F.min("t") - hours * 3600).alias("since"), (F.max("t") + hours * 3600).alias("until")).first()  # one row
+    near = track.where(F.col("t").between(F.lit(ends.since), F.lit(ends.until)))  # numbers reach the scan, a join wouldn't
     return near.join(suspects.select("mmsi").distinct(), "mmsi", "left_semi")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +16,24 @@ RANGES = {
 }
 
 
+def sampled(runs: DataFrame, by: str, n: int = 32, seed: int = 7, ranges: dict[str, tuple[float, float]] = RANGES) -> DataFrame:
+    """by, scenario and the assumptions: a latin hypercube for each run, in which every assumption takes each of its n strata once.
+
+    A stratum's place among a run's scenarios and its offset come from a digest of seed, run, assumption and stratum, so a run's
+    scenarios are the same whatever else is sampled, and whichever executor samples them."""
+    assumptions = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high")) for k, (low, high) in ranges.items()]))
+    each = runs.select(by).distinct().select(by, assumptions.alias("a")).select(by, "a.*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("stratum"))
+    each = each.withColumn("digest", F.md5(F.concat_ws("|", F.lit(seed), F.col(by).cast("string"), "name", F.col("stratum").cast("string"))))
+    offset = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    place = F.row_number().over(Window.partitionBy(by, "name").orderBy("digest", "stratum")) - 1
+    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("stratum") + offset) / n
+    placed = each.select(by, "name", place.cast("long").alias("scenario"), value.alias("value"))
+    return placed.groupBy(by, "scenario").agg(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in ranges])
+
+
 def sample_scenarios(spark: SparkSession, n: int = 32, seed: int = 7) -> DataFrame:
-    """A latin hypercube: every assumption takes each of its n strata once."""
-    rng = np.random.default_rng(seed)
-    columns = {k: low + (high - low) * (rng.permutation(n) + rng.random(n)) / n for k, (low, high) in RANGES.items()}
-    rows = [(i, *(float(columns[k][i]) for k in RANGES)) for i in range(n)]
-    return spark.createDataFrame(rows, "scenario long, " + ", ".join(f"{k} double" for k in RANGES))
+    """The hypercube of one run without a name."""
+    return sampled(spark.range(1).select(F.lit("").alias("run")), "run", n, seed).drop("run")
 
 
 def stability(results: DataFrame, baseline, by: str) -> DataFrame:
@@ -51,16 +62,27 @@ def audited(results: DataFrame, baseline, by: str) -> DataFrame:
     )
 
 
-def influence(results: DataFrame, baseline, parameters: dict[str, float]) -> DataFrame:
-    """parameter, influence: distance of its means in held and flipped scenarios over its span."""
+def influence(results: DataFrame, baseline, parameters: dict[str, float], by: str | None = None) -> DataFrame:
+    """by (where given), parameter, influence: distance of its means in held and flipped scenarios over its span; null where all held
+    or all flipped. baseline is a column, so that every run may have its own."""
+    keys = [by] if by else []
     pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(p).alias("value"), F.lit(float(s)).alias("span")) for p, s in parameters.items()]))
-    each = results.select(F.col("winner").eqNullSafe(baseline).alias("held"), pairs.alias("e")).select("held", "e.*")
+    each = results.select(*keys, F.col("winner").eqNullSafe(baseline).alias("held"), pairs.alias("e")).select(*keys, "held", "e.*")
     mean = lambda held: F.avg(F.when(F.col("held") if held else ~F.col("held"), F.col("value")))
-    return each.groupBy("parameter", "span").agg((F.abs(mean(True) - mean(False))).alias("d")).select("parameter", (F.col("d") / F.col("span")).alias("influence"))
+    return each.groupBy(*keys, "parameter", "span").agg((F.abs(mean(True) - mean(False))).alias("d")).select(*keys, "parameter", (F.col("d") / F.col("span")).alias("influence"))
 
 
 def breaking_points(results: DataFrame, baseline, parameter: str, base: float, span: float, most: int = 3) -> DataFrame:
-    """value, winner: the flipped scenarios nearest to the baseline value that moved it, one for each value to two places."""
-    moved = results.where(~F.col("winner").eqNullSafe(baseline)).select("scenario", "winner", F.col(parameter).alias("value"), F.abs(F.col(parameter) - base).alias("away")).where(F.col("away") > 0.02 * span)
-    one = moved.withColumn("bucket", F.bround("value", 2)).withColumn("rn", F.row_number().over(Window.partitionBy("bucket").orderBy("away", "scenario"))).where("rn = 1")
-    return one.orderBy("away", "scenario").limit(most).select("scenario", "winner", "value")
+    """scenario, winner, value: the flipped scenarios nearest to the baseline value that moved it, one for each value to two places."""
+    one = breaking_points_of(results.withColumn("run_", F.lit(0)), baseline, {parameter: (base, span)}, "run_", most)
+    return one.orderBy("nearness").select("scenario", "winner", "value")
+
+
+def breaking_points_of(results: DataFrame, baseline, parameters: dict[str, tuple[float, float]], by: str, most: int = 3) -> DataFrame:
+    """by, parameter, nearness (from 1), scenario, winner, value: the same for every run and several parameters (base, span) at once."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(p).alias("value"), F.lit(float(b)).alias("base"), F.lit(float(s)).alias("span")) for p, (b, s) in parameters.items()]))
+    flipped = results.where(~F.col("winner").eqNullSafe(baseline)).select(by, "scenario", "winner", pairs.alias("e")).select(by, "scenario", "winner", "e.*")
+    moved = flipped.withColumn("away", F.abs(F.col("value") - F.col("base"))).where(F.col("away") > 0.02 * F.col("span"))
+    near = lambda *keys: F.row_number().over(Window.partitionBy(by, "parameter", *keys).orderBy("away", "scenario"))
+    one = moved.withColumn("bucket", F.bround("value", 2)).withColumn("rn", near("bucket")).where("rn = 1")
+    return one.withColumn("nearness", near()).where(F.col("nearness") <= most).select(by, "parameter", "nearness", "scenario", "winner", "value")

@@ -2,6 +2,6 @@
 
 
 def registered() -> list:
-    from . import cases, evidence, raster, regions, scenes, scoring, tracks, weather
+    from . import cases, evidence, raster, regions, scenes, scoring, stores, tracks, weather
 
-    return [tracks, scoring, weather, raster, regions, cases, evidence, scenes]
+    return [tracks, scoring, weather, raster, regions, cases, evidence, scenes, stores]

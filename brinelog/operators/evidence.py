@@ -3,39 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.scenes import opened
-
-
-def _plain(value: object) -> object:
-    if isinstance(value, bool) or value is None or isinstance(value, str):
-        return value
-    if isinstance(value, (int, float)):
-        return f"{value:.12g}"
-    if isinstance(value, dict):
-        return {str(k): _plain(v) for k, v in value.items()}
-    return [_plain(v) for v in value]
-
-
-@F.pandas_udf(T.StringType())
-def canonical_json(text: pd.Series) -> pd.Series:
-    """JSON text with sorted keys, no spaces and numbers as text of twelve significant digits; null for what can't be read."""
-
-    def one(x: str | None) -> str | None:
-        try:
-            return None if x is None else json.dumps(_plain(json.loads(x)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
-            return None
-
-    return text.map(one)
+from .documents import lowered
 
 
 def digest(text: Column) -> Column:
@@ -63,14 +39,10 @@ UNSEALED = ("created_at", "content_sha256", "manifest_sha256")
 
 def canonical(fields: Column, but: tuple[str, ...] = ()) -> Column:
     """Canonical JSON of a map from name to text, but for some names: sorted keys, no spaces, control characters escaped in lower
-    case. Values are text already, as every number of a manifest is; nested JSON goes through canonical_json."""
+    case. Values are text already, as every number of a manifest is; JSON of any shape goes through documents.canonical."""
     entries = F.map_entries(fields)
     kept = F.filter(entries, lambda e: ~e["key"].isin(*but)) if but else entries
-    told = F.to_json(F.map_from_entries(F.array_sort(kept)))
-    lower = told
-    for code in (11, 14, 15, *range(26, 32)):  # of the escapes without a letter of their own, those with a letter among their digits
-        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
-    return F.when(F.contains(told, F.lit("\\u00")), lower).otherwise(told)
+    return lowered(F.to_json(F.map_from_entries(F.array_sort(kept))))
 
 
 def sealed(manifests: DataFrame, fields: str = "fields") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import documents as D
 from ..operators import evidence as E
 from ..sources.adapters import particles, runs, table
 from .sql import PARTICLES
@@ -31,7 +32,30 @@ def sha256_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, sha256('{\"k\":\"' || (props->>'k') || '\"}') AS digest FROM events")
 def canonical_json(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", E.digest(E.canonical_json("props")).alias("digest"))
+    told = D.canonical(table(spark, sf, "events").select("event_id", "props"), "props")
+    return told.select("event_id", E.digest(F.col("canonical")).alias("digest"))
+
+
+def nested(spark: SparkSession, sf: str) -> DataFrame:
+    """run_id, text: an order as a document with objects in arrays in objects, booleans, nulls and long numbers; some can't be read."""
+    o, k, total = table(spark, sf, "orders"), F.col("o_orderkey"), F.col("o_totalprice").cast("double")
+    text = F.format_string('{"z": [%d, {"status": "%s", "none": null, "deep": [[], {"share": %.15e}]}], "paid": %s, "a b": {"\\u00e9\\n": %.3f, "small": -%.9e}, "e": {}, "n": %d0000000000}', k, "o_orderstatus", total / 7, (k % 3 == 0).cast("string"), total * 1000, total / F.lit(1e12), k)
+    return o.select(k.alias("run_id"), F.when(k % 13 == 0, F.substring(text, 1, 40)).otherwise(text).alias("text"))
+
+
+_G = lambda x: f"""'"' || printf('%.12g', {x}) || '"'"""
+_DOC = f"""d AS (SELECT o_orderkey AS k, o_orderstatus AS status, (o_orderkey % 3 = 0)::VARCHAR AS paid, printf('%.15e', o_totalprice::DOUBLE / 7)::DOUBLE AS share, printf('%.3f', o_totalprice::DOUBLE * 1000)::DOUBLE AS big, -printf('%.9e', o_totalprice::DOUBLE / 1e12)::DOUBLE AS small FROM orders)"""
+
+
+@query(f"""WITH {_DOC} SELECT k AS run_id, CASE WHEN k % 13 <> 0 THEN '{{"a b":{{"small":' || {_G('small')} || ',"é\\n":' || {_G('big')} || '}},"e":{{}},"n":' || {_G('k * 10000000000.0::DOUBLE')} || ',"paid":' || paid || ',"z":[' || {_G('k::DOUBLE')} || ',{{"deep":[[],{{"share":' || {_G('share')} || '}}],"none":null,"status":"' || status || '"}}]}}' END AS canonical FROM d""")
+def canonical_nested(spark: SparkSession, sf: str) -> DataFrame:
+    return D.canonical(nested(spark, sf), "text").select("run_id", "canonical")
+
+
+@query(f"""WITH {_DOC} SELECT k AS run_id, unnest(['$.a b.small', '$.a b.é' || chr(10), '$.e', '$.n', '$.paid', '$.z[0]', '$.z[1].deep[0]', '$.z[1].deep[1].share', '$.z[1].none', '$.z[1].status']) AS path, unnest(['number', 'number', 'object', 'number', 'boolean', 'number', 'array', 'number', 'null', 'string']) AS kind,
+unnest([{_G('small')}, {_G('big')}, '{{}}', {_G('k * 10000000000.0::DOUBLE')}, paid, {_G('k::DOUBLE')}, '[]', {_G('share')}, 'null', '"' || status || '"']) AS value FROM d WHERE k % 13 <> 0""")
+def documents_flattened(spark: SparkSession, sf: str) -> DataFrame:
+    return D.flattened(nested(spark, sf), "run_id", "text")
 
 
 @query("""SELECT o_orderkey AS run_id, o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 AS valid,

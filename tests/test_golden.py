@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brinelog.functions import geo
-from brinelog.operators import attribution, drift, evidence, fields, robustness, tracks
+from brinelog.operators import attribution, documents, drift, evidence, fields, robustness, tracks
 from brinelog.sources import ais_csv
 
 T0 = 1767268800.0
@@ -115,8 +115,8 @@ def test_scenarios_are_stratified(spark):
 
 def test_canonical_json(spark):
     texts = ['{"b": 1, "a": [true, 1.0, null, "é"]}', '{"a":[true,1,null,"é"],"b":1.0}', "no", None]
-    got = [r.c for r in spark.createDataFrame([(t,) for t in texts], "t string").select(evidence.canonical_json("t").alias("c")).collect()]
-    assert got == ['{"a":[true,"1",null,"é"],"b":"1"}'] * 2 + [None] * 2
+    got = sorted((r.k, r.c) for r in documents.canonical(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "t", "c").collect())
+    assert got == [(0, '{"a":[true,"1",null,"é"],"b":"1"}'), (1, '{"a":[true,"1",null,"é"],"b":"1"}'), (2, None), (3, None)]
 
 
 def test_position_files(spark, tmp_path):

@@ -36,7 +36,7 @@ def made(depth):
 def test_documents_of_any_shape(spark):
     random.seed(11)
     values = [made(5) for _ in range(200)] + [[], {}, [[]], {"": {}}, "x" * 50000, [[[[[[[1]]]]]]]]
-    texts = [json.dumps(v, ensure_ascii=i % 2 == 0) for i, v in enumerate(values)] + [None, "", "{", "nope", '{"a":1,"a":2}', "1 2"]
+    texts = [json.dumps(v, ensure_ascii=i % 2 == 0) for i, v in enumerate(values)] + [None, "", "{", "nope", '{"a":1,"a":2}', "1 2", '{"a":1} x', "1],[2", "1,0],[2"]
     frame = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "id int, t string, v string, at int").repartition(3)
     found = {r.id: r for r in documents.canonical(frame, "t", "told").collect()}
     assert len(found) == len(texts) and found[0].v == "x"

@@ -35,17 +35,16 @@ def long_number(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or pd.isna(v) else f"{v:.12g}")
 
 
-def twelve_digits(x: Column) -> Column:
-    """A number's text of twelve significant digits, without zeros at its end, by exponent below 1e-4 and from 1e12."""
-    told = F.when(x.isNotNull(), F.format_string("%.11e", F.abs(x)))
-    power = F.substring_index(told, "e", -1).cast("int")
+def twelve_digits(x: Column, told: Column) -> Column:
+    """A number's text of twelve significant digits, without zeros at its end, by exponent below 1e-4 and from 1e12; told: with exponent."""
+    power = F.substring_index(told, "e", -1).try_cast("int")
     digits = F.replace(F.substring_index(told, "e", 1), F.lit("."), F.lit(""))
     stripped = lambda whole, rest: F.concat(whole, F.when(F.rtrim(rest, F.lit("0")) == "", "").otherwise(F.concat(F.lit("."), F.rtrim(rest, F.lit("0")))))
     plain = F.when(power >= 0, stripped(F.substring(digits, F.lit(1), power + 1), F.substring(digits, power + 2, F.lit(12)))).otherwise(stripped(F.lit("0"), F.concat(F.repeat(F.lit("0"), -power - 1), digits)))
     tens = F.abs(power).cast("string")
     scientific = F.concat(stripped(F.substring(digits, 1, 1), F.substring(digits, 2, 12)), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, F.concat(F.lit("0"), tens)).otherwise(tens))
     short = F.when((power < -4) | (power >= 12), scientific).otherwise(plain)
-    exact = (told.cast("double") == F.abs(x)) & (F.abs(x) > 1e-300)  # numbers near the least have fewer digits of their own
+    exact = (told.try_cast("double") == F.abs(x)) & (F.abs(x) > 1e-300)  # numbers near the least have fewer digits of their own
     signed = F.concat(F.when(x < 0, "-").otherwise(""), short)
     return F.when(x == 0, "0").when(exact, signed).otherwise(long_number(F.when(~exact, x)))
 
@@ -58,9 +57,13 @@ def levels(documents: DataFrame) -> list[DataFrame]:
     while True:
         shape = F.schema_of_variant("v")
         kind = F.when(F.startswith(shape, F.lit("OBJECT<")), "object").when(F.startswith(shape, F.lit("ARRAY<")), "array").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").when(shape == "VOID", "null").otherwise("number")
-        level = saved(level.withColumn("kind", kind).withColumn("number", F.when(F.col("kind") == "number", F.expr("try_variant_get(v, '$', 'double')"))), "level")
+        level = level.withColumn("kind", kind).withColumn("number", F.when(F.col("kind") == "number", F.expr("try_variant_get(v, '$', 'double')")))
         word = F.expr("try_variant_get(v, '$', 'string')")
-        text = F.when(F.col("kind") == "string", quoted(word)).when(F.col("kind") == "boolean", word).when(F.col("kind") == "null", "null").when(F.col("kind") == "number", F.concat(F.lit('"'), twelve_digits(F.col("number")), F.lit('"')))
+        scalar = F.when(F.col("kind") == "string", F.to_json(F.array(word))).when(F.col("kind") == "number", F.format_string("%.11e", F.abs("number"))).when(F.col("kind") == "boolean", word)
+        level = saved(level.withColumns({"scalar": scalar, "name": F.when(F.col("key").isNotNull(), quoted(F.col("key")))}), "level")  # written once, or each mention would be formatted again
+        told = lowered(F.substring("scalar", F.lit(2), F.length("scalar") - 2))
+        number = F.concat(F.lit('"'), twelve_digits(F.col("number"), F.col("scalar")), F.lit('"'))
+        text = F.when(F.col("kind") == "string", told).when(F.col("kind") == "boolean", F.col("scalar")).when(F.col("kind") == "null", "null").when(F.col("kind") == "number", number)
         found.append(level.withColumn("text", text))
         containers = level.where("kind IN ('object', 'array')")
         if containers.isEmpty():
@@ -95,13 +98,13 @@ def canonical(rows: DataFrame, text: str, name: str = "canonical") -> DataFrame:
     own = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row_of"), F.col(text).alias("text_of"))
     whole = read(own, "text_of")
     parts = levels(whole.where("v IS NOT NULL").select("id", "v"))
-    below = parts[-1].select("id", "at", "key", "text")
+    below = saved(parts[-1].select("id", "at", "key", "name", "text"), "texts")
     for part in reversed(parts[:-1]):
         inside = below.withColumn("pos", F.element_at("at", -1)).withColumn("at", F.slice("at", 1, F.size("at") - 1))
-        members = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "text")))), lambda m: F.concat(quoted(m["key"]), F.lit(":"), m["text"])), ",")
+        members = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "name", "text")))), lambda m: F.concat(m["name"], F.lit(":"), m["text"])), ",")
         items = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("key").isNull(), F.struct("pos", "text")))), lambda m: m["text"]), ",")
         grouped = inside.groupBy("id", "at").agg(members.alias("members"), items.alias("items"))
-        met = part.select("id", "at", "key", "kind", "text").join(saved(grouped, "grouped"), ["id", "at"], "left")
+        met = part.select("id", "at", "key", "name", "kind", "text").join(grouped, ["id", "at"], "left")
         made = F.when(F.col("kind") == "object", F.concat(F.lit("{"), F.coalesce("members", F.lit("")), F.lit("}"))).when(F.col("kind") == "array", F.concat(F.lit("["), F.coalesce("items", F.lit("")), F.lit("]"))).otherwise(F.col("text"))
-        below = saved(met.select("id", "at", "key", made.alias("text")), "texts")
+        below = saved(met.select("id", "at", "key", "name", made.alias("text")), "texts")
     return whole.join(below.select("id", F.col("text").alias("told")), "id", "left").select("row_of.*", F.col("told").alias(name))

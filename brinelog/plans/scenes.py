@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import raster as R
+from ..sources import rasters
 from ..sources import scenes as S
 from ..sources.adapters import table
 from ..sources.written import shared_folder
@@ -161,3 +163,26 @@ def scene_pixels(spark: SparkSession, sf: str) -> DataFrame:
     pixels = S.scenes(spark, written(spark, sf))
     path = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path")
     return pixels.groupBy(path, "band").agg(F.count("value").alias("n"), F.sum(F.col("value") * (1 + F.col("y") * 8 + F.col("x"))).alias("mark"))
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE vec_id % 3 <> 0),
+m AS (SELECT vec_id, (v::DOUBLE > 0.05::DOUBLE)::INT AS b, (v::DOUBLE > 0.08::DOUBLE OR i % 9 = 0)::INT AS a FROM v), s AS (SELECT vec_id, sum(a * b) AS i, sum(a) AS a, sum(b) AS b FROM m GROUP BY 1)
+SELECT 'scene-' || vec_id AS scene, CASE WHEN a + b > 0 THEN round(2 * i / (a + b), 6) END AS dice, CASE WHEN a + b - i > 0 THEN round(i / (a + b - i), 6) END AS iou, CASE WHEN a > 0 THEN round(i / a, 6) END AS precision, CASE WHEN b > 0 THEN round(i / b, 6) END AS recall FROM s""")
+def suite_truth_dice(spark: SparkSession, sf: str) -> DataFrame:
+    """A suite's truth masks, written as PNG and named in its manifest, against what was found in its scenes."""
+
+    def run(frames):
+        for pdf in frames:
+            made = [picture(((np.array(v, float) > 0.05) * 255).astype("u1").reshape(8, 8, 1), "png") for v in pdf["embedding"]]
+            yield pd.DataFrame({"path": [f"truth/{k}.png" for k in pdf["vec_id"]], "content": made})
+
+    vectors, folder = table(spark, sf, "embeddings"), f"{shared_folder(spark)}/suite-{uuid.uuid4().hex}"
+    S.write_files(vectors.where("vec_id % 3 <> 0").select("vec_id", "embedding").mapInPandas(run, "path string, content binary"), folder).agg(F.sum("length")).collect()
+    k = F.col("vec_id")
+    listed = vectors.select((k % 8).alias("part"), F.struct(F.format_string("scene-%d", k).alias("scene"), (k % 3 != 0).alias("has_slick"), F.when(k % 3 != 0, F.format_string("truth/%d.png", k)).alias("truth")).alias("s"))
+    listed.groupBy("part").agg(F.collect_list("s").alias("scenes")).write.json(f"{folder}/manifest")
+    manifest = rasters.read_manifest(spark, f"{folder}/manifest")
+    i = F.col("i")
+    found = vectors.select(F.format_string("scene-%d", k).alias("scene"), F.posexplode("embedding").alias("i", "v"))
+    found = found.select("scene", F.floor(i / 8).cast("int").alias("y"), (i % 8).alias("x"), ((F.col("v").cast("double") > 0.08) | (i % 9 == 0)).alias("m"))
+    return R.dice(found, rasters.truth_masks(spark, manifest, folder)).select("scene", *[F.round(c, 6).alias(c) for c in ("dice", "iou", "precision", "recall")])

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import documents as D
+from ..operators import dossiers as O
 from ..operators import evidence as E
 from ..operators import joins as J
 from ..operators import robustness as B
 from ..sources import position_store as P
+from ..sources import records as W
 from ..sources import scenes as S
 from ..sources.adapters import T0, positions, runs, table
 from ..sources.pages import Pages
@@ -134,3 +137,65 @@ SELECT run_id, parameter, row_number() OVER (PARTITION BY run_id, parameter ORDE
 def breaking_points_by_run(spark: SparkSession, sf: str) -> DataFrame:
     points = B.breaking_points_of(swept(spark, sf), F.col("base"), dict.fromkeys(PARAMETERS, (0.5, 1.0)), "run_id")
     return points.select("run_id", "parameter", "nearness", "scenario", "winner", *r6("value"))
+
+
+# ---- what the stages of runs write, and the whole dossier: parts as regions of 97 runs, suppliers as suspects
+
+_CASES = """r AS (SELECT p_partkey AS region_id, p_partkey % 97 AS run_id, p_size::DOUBLE AS area FROM part), d AS (SELECT p_partkey AS region_id, p_partkey * 10 + k AS drift_id, p_size % 4 + k AS degraded_steps, 1704067200.0::DOUBLE + 3600 * (p_partkey % 12) AS origin_t FROM part, range(2) x(k) WHERE p_partkey % 3 <> 0)"""
+
+
+def regions_of_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    part, k = table(spark, sf, "part"), F.col("p_partkey")
+    regions = part.select(k.alias("region_id"), (k % 97).alias("run_id"), F.col("p_size").cast("double").alias("area"))
+    drifts = part.where(k % 3 != 0).select(k.alias("region_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("again"), "p_size", "p_partkey")
+    return regions, drifts.select("region_id", (k * 10 + F.col("again")).alias("drift_id"), (F.col("p_size") % 4 + F.col("again")).cast("long").alias("degraded_steps"), (T0 + 3600.0 * (k % 12)).alias("origin_t"))
+
+
+@query(f"""WITH {_CASES}, a AS (SELECT run_id, count(*) AS regions, sum(area) AS area FROM r GROUP BY 1), b AS (SELECT run_id, count(*) AS drifts, sum(degraded_steps)::BIGINT AS degraded_steps FROM d JOIN r USING (region_id) GROUP BY 1)
+SELECT run_id, CASE WHEN run_id % 7 = 0 THEN 'failed' WHEN run_id % 7 = 1 THEN 'drifting' ELSE 'completed' END AS state, regions, area, coalesce(drifts, 0) AS drifts, coalesce(degraded_steps, 0) AS degraded_steps FROM a LEFT JOIN b USING (run_id)""")
+def stages_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions, drifts and states of runs, written in two batches of runs; some stages are tried twice, once breaking off half way."""
+    regions, drifts = regions_of_runs(spark, sf)
+    path = f"{shared_folder(spark)}/case-{uuid.uuid4().hex}"
+    owned = drifts.join(regions.select("region_id", "run_id"), "region_id")
+    for batch in (0, 1):
+        some = F.col("run_id") % 2 == batch
+        W.insert(regions.where(some), path, "regions", str(batch))
+        W.insert(owned.where(some).drop("run_id").limit(5), path, "drifts", str(batch))
+        W.insert(owned.where(some).drop("run_id"), path, "drifts", str(batch))
+        k = F.col("run_id")
+        stage = lambda at, state: F.struct(F.lit(at).alias("at"), F.lit(state).alias("state"))
+        told = F.array(stage(1, "detecting"), stage(2, "drifting"), F.when(k % 7 == 0, stage(3, "failed")).when(k % 7 != 1, stage(3, "completed")))
+        states = regions.where(some).select("run_id").distinct().select("run_id", F.explode(F.array_compact(told)).alias("s")).select("run_id", "s.*", F.when(F.col("s.state") == "failed", "no origin").alias("reason"))
+        W.insert(states, path, "states", str(batch))
+    return W.written_case(spark, path)
+
+
+@query(f"""WITH {_CASES}, p AS (SELECT l_partkey * 10 + 1 AS drift_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS ordinal, count(*) OVER (PARTITION BY l_partkey) AS n, l_quantity::DOUBLE AS lat, l_linenumber::DOUBLE AS lon FROM lineitem),
+thin AS (SELECT *, row_number() OVER (PARTITION BY drift_id ORDER BY ordinal) - 1 AS i FROM p WHERE ordinal % greatest(1, n // 10) = 0),
+s AS (SELECT s_suppkey % 97 AS run_id, s_suppkey AS mmsi, row_number() OVER (PARTITION BY s_suppkey % 97 ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier WHERE s_suppkey % 97 <> 5),
+w AS (SELECT run_id, min(origin_t) - 43200 AS low, max(origin_t) + 43200 AS high FROM r JOIN d USING (region_id) GROUP BY 1), {AIS},
+tr AS (SELECT s.run_id, s.rank, row_number() OVER (PARTITION BY s.run_id, s.mmsi ORDER BY t, ordinal) - 1 AS i, ordinal FROM s JOIN w USING (run_id) JOIN ais ON ais.mmsi = s.mmsi AND t BETWEEN low AND high),
+ri AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY region_id) - 1 AS i FROM r), runs AS (SELECT DISTINCT run_id FROM r),
+o AS (SELECT run_id, '$.run.run_id' AS path, run_id::VARCHAR AS value FROM runs UNION ALL SELECT run_id, '$.run.suspects_ranked', '3' FROM runs UNION ALL SELECT run_id, '$.stale', (run_id NOT IN (SELECT run_id FROM s))::VARCHAR FROM runs
+  UNION ALL SELECT run_id, '$.suspects', '[]' FROM runs WHERE run_id NOT IN (SELECT run_id FROM s)
+  UNION ALL SELECT run_id, '$.regions[' || i || '].region_id', region_id::VARCHAR FROM ri UNION ALL SELECT run_id, '$.regions[' || i || '].area', printf('%.12g', area) FROM ri
+  UNION ALL SELECT run_id, '$.regions[' || i || '].drift', 'null' FROM ri WHERE region_id % 3 = 0
+  UNION ALL SELECT run_id, '$.regions[' || i || '].drift.' || unnest(['drift_id', 'degraded_steps', 'origin_t', 'n_particles']), unnest([d.drift_id::VARCHAR, degraded_steps::VARCHAR, printf('%.12g', origin_t), coalesce(n, 0)::VARCHAR]) FROM ri JOIN d ON d.region_id = ri.region_id AND d.drift_id % 10 = 1 LEFT JOIN (SELECT drift_id, count(*) AS n FROM p GROUP BY 1) c ON c.drift_id = d.drift_id
+  UNION ALL SELECT run_id, '$.regions[' || i || '].drift.particles', '[]' FROM ri JOIN d ON d.region_id = ri.region_id AND d.drift_id % 10 = 1 WHERE d.drift_id NOT IN (SELECT drift_id FROM p)
+  UNION ALL SELECT run_id, '$.regions[' || ri.i || '].drift.particles[' || thin.i || '].' || unnest(['lat', 'lon']), unnest([printf('%.12g', lat), printf('%.12g', lon)]) FROM ri JOIN thin ON thin.drift_id = ri.region_id * 10 + 1 WHERE ri.region_id % 3 <> 0
+  UNION ALL SELECT run_id, '$.suspects[' || rank - 1 || '].' || unnest(['rank', 'mmsi']), unnest([rank::VARCHAR, mmsi::VARCHAR]) FROM s
+  UNION ALL SELECT run_id, '$.suspects[' || rank - 1 || '].track', '[]' FROM s WHERE (run_id, rank) NOT IN (SELECT run_id, rank FROM tr)
+  UNION ALL SELECT run_id, '$.suspects[' || rank - 1 || '].track[' || i || '].ordinal', ordinal::VARCHAR FROM tr)
+SELECT run_id, path, CASE WHEN value IN ('null', '[]', 'true', 'false') THEN value ELSE '"' || value || '"' END AS value FROM o""")
+def dossier_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole dossiers, told value by value; times of tracks are left out of what is told."""
+    regions, drifts = regions_of_runs(spark, sf)
+    ordinal = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_quantity")) - 1
+    particles = table(spark, sf, "lineitem").select((F.col("l_partkey") * 10 + 1).alias("drift_id"), ordinal.alias("ordinal"), F.col("l_quantity").cast("double").alias("lat"), F.col("l_linenumber").cast("double").alias("lon"))
+    k = F.col("s_suppkey")
+    suspects = table(spark, sf, "supplier").where(k % 97 != 5).select((k % 97).alias("run_id"), k.alias("mmsi"), F.row_number().over(Window.partitionBy(k % 97).orderBy(F.desc("s_acctbal"), k)).alias("rank"))
+    of_runs = regions.select("run_id").distinct().withColumn("suspects_ranked", F.lit(3))
+    made = O.dossier(of_runs, regions, drifts, particles, suspects, positions(spark, sf).select("mmsi", "t", "ordinal"), most=10)
+    told = D.flattened(made.select("run_id", F.to_json("payload").alias("text")), "run_id", "text")
+    return told.where("path NOT LIKE '%track[%].t'").select("run_id", "path", "value")

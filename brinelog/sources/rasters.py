@@ -6,6 +6,7 @@ picture's place comes from its tie point and pixel scale, where both are there a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codecs import BAD, Read, layout_of
-from .scenes import HEAD, PIXELS, batches_of, blocks_of, head_row, pixel_batch
+from .scenes import HEAD, PIXELS, batches_of, blocks_of, head_row, pixel_batch, scenes
 
 def reader_of(content: bytes | None) -> Read:
     data = bytes(content) if content is not None else b""
@@ -83,6 +84,16 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return listed.where(~F.coalesce("withdrawn", F.lit(False))).select("scene", F.coalesce("has_slick", F.col("truth").isNotNull()).alias("has_slick"), "truth")
 
 
+def truth_masks(spark: SparkSession, manifest: DataFrame, folder: str, threshold: float = 127.0) -> DataFrame:
+    """scene, y, x, m of the manifest's scenes that have a truth: the first band of its picture, above the threshold. Truths are paths
+    below the folder; one that is missing or can't be read gives no pixels."""
+    wanted = manifest.where("truth IS NOT NULL").select("scene", F.concat(F.lit("/"), F.regexp_replace("truth", "^[./]+", "")).alias("truth"))
+    pixels = scenes(spark, folder).where("band = 0 AND value IS NOT NULL")
+    inside = F.regexp_replace("path", "^.*?(?=" + re.escape(folder.rstrip("/").rsplit("/", 1)[-1]) + "/)", "")
+    below = F.substring(inside, F.lit(len(folder.rstrip("/").rsplit("/", 1)[-1]) + 1), F.length(inside))
+    return pixels.withColumn("truth", below).join(wanted, "truth").select("scene", "y", "x", (F.col("value") > threshold).alias("m"))
+
+
 # fixed values: what a model is taken to be where its sidecar says nothing
 DEFAULTS = {"version": "1.0.0", "architecture": "custom_unet", "input_size": 256, "stride": 224, "normalization": "scale_0_1", "threshold": 0.5}
 

@@ -33,8 +33,8 @@ def narrative(captured: Column, n: Column, radius_km: float, cpa_km: Column, cpa
 
 def headline(name: Column, mmsi: Column, posterior: Column, unknown: Column, verdict: Column) -> Column:
     """A case in a sentence; an unknown source wins ties."""
-    nobody = F.format_string("No vessel can be placed at the release; a source outside the data is most probable (%.0f%%).", unknown * 100)
-    someone = F.format_string("%s (MMSI %s) is the most probable source at %.0f%%, on %s evidence; a source outside the data has %.0f%%.", F.coalesce(name, F.lit("Unnamed vessel")), mmsi.cast("string"), posterior * 100, verdict, unknown * 100)
+    nobody = F.format_string("No reporting vessel stands out: %.0f%% goes to a source that sent no reports.", unknown * 100)
+    someone = F.format_string("Released most likely by %s, MMSI %s (%s evidence): %.0f%%, against %.0f%% for a source that sent no reports.", F.coalesce(name, F.lit("a vessel without a name")), mmsi.cast("string"), verdict, posterior * 100, unknown * 100)
     return F.when(posterior.isNull() | (unknown >= posterior), nobody).otherwise(someone)
 
 

@@ -276,8 +276,8 @@ def missing_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH h AS (SELECT o_orderkey AS case_id, o_custkey AS mmsi, c_name AS name, (o_orderkey % 100) / 100.0::DOUBLE AS posterior, (o_orderkey * 7 % 100) / 100.0::DOUBLE AS unknown FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 3 <> 0)
-SELECT case_id, CASE WHEN unknown >= posterior THEN printf('No vessel can be placed at the release; a source outside the data is most probable (%.0f%%).', unknown * 100)
-ELSE printf('%s (MMSI %s) is the most probable source at %.0f%%, on %s evidence; a source outside the data has %.0f%%.', coalesce(name, 'Unnamed vessel'), mmsi::VARCHAR, posterior * 100, CASE WHEN posterior >= 0.6 THEN 'strong' WHEN posterior >= 0.35 THEN 'probable' WHEN posterior >= 0.15 THEN 'weak' ELSE 'insufficient' END, unknown * 100) END AS headline FROM h""")
+SELECT case_id, CASE WHEN unknown >= posterior THEN printf('No reporting vessel stands out: %.0f%% goes to a source that sent no reports.', unknown * 100)
+ELSE printf('Released most likely by %s, MMSI %s (%s evidence): %.0f%%, against %.0f%% for a source that sent no reports.', coalesce(name, 'a vessel without a name'), mmsi::VARCHAR, CASE WHEN posterior >= 0.6 THEN 'strong' WHEN posterior >= 0.35 THEN 'probable' WHEN posterior >= 0.15 THEN 'weak' ELSE 'insufficient' END, posterior * 100, unknown * 100) END AS headline FROM h""")
 def case_headline(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
     o, k = table(spark, sf, "orders").join(names, "o_custkey", "left"), F.col("o_orderkey")

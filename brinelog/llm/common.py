@@ -6,7 +6,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.written import saved, shared_folder  # noqa: F401
@@ -31,13 +31,28 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def numbered(docs: DataFrame, label: str, rows_a_bucket: int = 4096) -> DataFrame:
-    """docs with `part` (what one task of their scan read) and `row` (its place there), written bucketed by part.
+PART_ROWS, PART_TEXT = 4096, 1 << 14
+
+
+def part_of(number: Column, text: Column) -> Column:
+    """A part of the scan's partition that `number` lies in, of at most PART_ROWS rows and twice as many times PART_TEXT bytes.
+
+    Texts of up to twice PART_TEXT bytes go by PART_ROWS rows, those of up to twice as many bytes by half as many rows, and so
+    on; from PART_ROWS times as many each is a part of its own. So a partition of any size, or a file that can't be split, makes
+    many small groups."""
+    tier = F.least(F.floor(F.log2(F.greatest(F.coalesce(F.octet_length(text), F.lit(0)) / PART_TEXT, F.lit(1.0)))), F.lit(PART_ROWS.bit_length() - 1)).cast("int")
+    rows = F.floor(number.bitwiseAND(F.lit((1 << 33) - 1)) / F.pow(F.lit(2.0), F.lit(PART_ROWS.bit_length() - 1) - tier)).cast("long")
+    return F.shiftleft(F.shiftright(number, 33), 37).bitwiseOR(F.shiftleft(tier.cast("long"), 33)).bitwiseOR(rows)
+
+
+def numbered(docs: DataFrame, label: str, text: str = "text", rows_a_bucket: int = 4096) -> DataFrame:
+    """docs with `part` (a bounded piece of what one task of their scan read) and `row` (its place there), written bucketed by part.
 
     Each task writes one file, and whatever is joined or cogrouped by part later moves to the texts: they are not
     shuffled again. `part` and `row` tell rows apart that repeat each other or an id; no column of docs may have these names."""
     spark, number = docs.sparkSession, F.monotonically_increasing_id()
-    rows = docs.withColumns({"part": F.shiftright(number, 33).cast("int"), "row": number.bitwiseAND(F.lit((1 << 33) - 1)).cast("int")})
+    placed = docs.withColumn("row", number).withColumn("part", part_of(F.col("row"), F.col(text).cast("string")))
+    rows = placed.withColumn("row", F.col("row").bitwiseAND(F.lit((1 << 33) - 1)).cast("int"))
     name, buckets = f"{label}_{uuid.uuid4().hex}", min(100_000, max(128, docs.count() // rows_a_bucket))
     rows.write.bucketBy(buckets, "part").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     return spark.table(name)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import WHITESPACE, as_bytes, numbered, rows_at, saved
 
-DIGESTS = "part int, row int, doc_id long, n_points long, text_sha256 string, owner int, slot int, n int, block binary"
+DIGESTS = "part long, row int, doc_id long, n_points long, text_sha256 string, owner int, slot int, n int, block binary"
 
 
 def golomb_encode(values: np.ndarray, shift: int) -> bytes:
@@ -74,7 +74,7 @@ def digests(rows: DataFrame, owner_bits: int) -> DataFrame:
         n, k = len(fp), len(own)
         at = pa.array(order)
         sent = [
-            pa.array(np.full(n + k, part, np.int32)), pa.concat_arrays([texts.column("row").combine_chunks().take(at), none(pa.int32(), k)]),
+            pa.array(np.full(n + k, part, np.int64)), pa.concat_arrays([texts.column("row").combine_chunks().take(at), none(pa.int32(), k)]),
             pa.concat_arrays([texts.column("doc_id").combine_chunks().take(at), none(pa.int64(), k)]), pa.concat_arrays([pa.array(points, pa.int64()).take(at), none(pa.int64(), k)]),
             pa.array([*(raw[i].hex() for i in order.tolist()), *[None] * k], pa.string()), pa.array(np.concatenate((owner, own))),
             pa.concat_arrays([pa.array((np.arange(n) - np.repeat(first, sizes)).astype(np.int32)), none(pa.int32(), k)]),
@@ -102,7 +102,7 @@ def answers(blocks: DataFrame, owner_bits: int) -> DataFrame:
             maps.append(np.packbits(bits, bitorder="little").view(np.int64))
         return pd.DataFrame({"part": pdf["part"], "owner": pdf["owner"], "bitmap": maps})
 
-    return blocks.groupBy("owner").applyInPandas(run, "part int, owner int, bitmap array<long>")
+    return blocks.groupBy("owner").applyInPandas(run, "part long, owner int, bitmap array<long>")
 
 
 def marked_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -137,6 +137,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The documents, but of each group of equal texts only the row that `exact_dedup` keeps; all columns as they are."""
-    rows = numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "texts")
+    rows = numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "texts", "doc.text")
     _, told = marked_copies(rows.select("part", "row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text")))
     return rows_at(rows, told.where("NOT kept"), inside=False).select("doc.*")

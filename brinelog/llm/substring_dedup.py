@@ -147,11 +147,11 @@ def piece_uses(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     columns = [batch.column("part").take(own), batch.column("row").take(own), pa.array(piece.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (first, stop, uses))]
                     yield pa.RecordBatch.from_arrays(columns, ["part", "row", "piece", "first", "stop", "uses"])
 
-    return docs.select("part", "row", "text").mapInArrow(run, "part int, row int, piece long, first int, stop int, uses int")
+    return docs.select("part", "row", "text").mapInArrow(run, "part long, row int, piece long, first int, stop int, uses int")
 
 
-RUNS = "deal long, words binary, suffixes int, places array<struct<part:int,row:int,at:int>>"
-PLACE = pa.struct([("part", pa.int32()), ("row", pa.int32()), ("at", pa.int32())])
+RUNS = "deal long, words binary, suffixes int, places array<struct<part:long,row:int,at:int>>"
+PLACE = pa.struct([("part", pa.int64()), ("row", pa.int32()), ("at", pa.int32())])
 
 
 def travelling_runs(docs: DataFrame, chosen: DataFrame, window: int, whole: bool) -> DataFrame:
@@ -183,8 +183,8 @@ def travelling_runs(docs: DataFrame, chosen: DataFrame, window: int, whole: bool
                         places[prefix[word + j] if whole else k, words, e - j].append((part, at[base + i], j))
         deal, words, n = zip(*places, strict=True) if places else ((), (), ())
         sizes = np.fromiter(map(len, places.values()), np.int32, len(places))
-        each = np.array([p for own in places.values() for p in own], np.int32).reshape(-1, 3)
-        fields = pa.StructArray.from_arrays([pa.array(each[:, c]) for c in range(3)], fields=list(PLACE))
+        each = np.array([p for own in places.values() for p in own], np.int64).reshape(-1, 3)
+        fields = pa.StructArray.from_arrays([pa.array(each[:, c]).cast(kind.type) for c, kind in enumerate(PLACE)], fields=list(PLACE))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), fields)
         return pa.table([pa.array(deal, pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int32()), lists.cast(pa.list_(PLACE))], ["deal", "words", "suffixes", "places"])
 
@@ -246,7 +246,7 @@ def repeats(runs: DataFrame, window: int) -> DataFrame:
         each = places.flatten()
         part, row, at = (each.field(c).to_numpy()[place] for c in ("part", "row", "at"))
         first, last = (at + np.repeat(x - run_at[run], n) for x in (begin, stop))
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in (part, row, first, last + window - 1)], ["part", "row", "first", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(c.astype(np.int32)) for c in (row, first, last + window - 1))], ["part", "row", "first", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -263,7 +263,7 @@ def repeats(runs: DataFrame, window: int) -> DataFrame:
         if held:
             yield grown(held)
 
-    return runs.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "part int, row int, first int, stop int")
+    return runs.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "part long, row int, first int, stop int")
 
 
 def cut(docs: DataFrame, found: DataFrame) -> DataFrame:

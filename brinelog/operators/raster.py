@@ -321,10 +321,10 @@ def evidence_order(contributions: Column) -> Column:
 
 
 def strongest(contributions: Column) -> Column:
-    """The name of what speaks most for oil and of what speaks most against it; the bias is no evidence."""
+    """The name of what speaks most for oil and of what speaks most against it, of equals the first by name; the bias is no evidence."""
     named = F.map_filter(contributions, lambda k, _: k != "bias")
-    entries = F.array_sort(F.transform(F.map_entries(named), lambda e: F.struct(e["value"].alias("value"), e["key"].alias("name"))))
-    return F.struct(F.element_at(entries, -1)["name"].alias("for_oil"), F.element_at(entries, 1)["name"].alias("against"))
+    first = lambda by: F.element_at(F.array_sort(F.transform(F.map_entries(named), lambda e: F.struct(by(e["value"]).alias("by"), e["key"].alias("name")))), 1)["name"]
+    return F.struct(first(lambda v: -v).alias("for_oil"), first(lambda v: v).alias("against"))
 
 
 def screen_features(stats: DataFrame) -> DataFrame:

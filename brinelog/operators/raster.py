@@ -88,8 +88,10 @@ def region_statistics(zoned: DataFrame) -> DataFrame:
     return moments.join(p90, "scene", "left")
 
 
-def extents(scene: DataFrame) -> DataFrame:
-    """scene, height, width."""
+def extents(scene: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """scene, height, width: as given (by headers, say), for scenes may lack pixels; else as far as the pixels reach."""
+    if sizes is not None:
+        return sizes.select("scene", "height", "width")
     return scene.groupBy("scene").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
 
 
@@ -285,14 +287,15 @@ def flipped(tiles: DataFrame, size: int) -> DataFrame:
     return each.select("scene", "tile_y", "tile_x", "view", turn("y", F.col("view") % 2 == 1), turn("x", F.col("view") >= 2), "p")
 
 
-def median_filter(scene: DataFrame, size: int = 3) -> DataFrame:
-    """p as the median of the square around each pixel, edges reflected."""
-    reach, out = size // 2, scene.select("scene", "y", "x", "p").join(extents(scene), "scene")
+def median_filter(scene: DataFrame, size: int = 3, sizes: DataFrame | None = None) -> DataFrame:
+    """p as the median of the square around each pixel, edges reflected; pixels that aren't there count for none and get none."""
+    reach, out = size // 2, scene.select("scene", "y", "x", "p", F.lit(True).alias("own")).join(extents(scene, sizes), "scene")
     for at, most in (("x", "width"), ("y", "height")):
         out = reflected(out, at, most, reach)
         to = F.explode(F.sequence(F.greatest(F.col(at) - reach, F.lit(0)), F.least(F.col(at) + reach, F.col(most) - 1)))
-        out = out.where((F.col(at) >= -reach) & (F.col(at) < F.col(most) + reach)).withColumn(at, to)
-    return out.groupBy("scene", "y", "x").agg(F.median("p").alias("p"))
+        out = out.where((F.col(at) >= -reach) & (F.col(at) < F.col(most) + reach)).withColumn("to", to)
+        out = out.withColumn("own", F.col("own") & (F.col("to") == F.col(at))).drop(at).withColumnRenamed("to", at)
+    return out.groupBy("scene", "y", "x").agg(F.median("p").alias("p"), F.bool_or("own").alias("own")).where("own").drop("own")
 
 
 def suite_means(rows: DataFrame, alert: float = 0.001) -> DataFrame:

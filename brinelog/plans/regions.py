@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry as G
 from ..operators import raster as R
-from ..sources.adapters import colours, outlines, scenes, table
+from ..sources.adapters import colours, outlines, scene_sizes, scenes, table
 from .raster import _C, _WIND
 from .sql import PIXELS, wrap
 from .tracks import r6
@@ -219,7 +219,7 @@ def tile_views(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SCENES}, want AS (SELECT scene, y, x, {_mirror('y + dy')} AS ny, {_mirror('x + dx')} AS nx FROM sc, range(-1, 2) dy(dy), range(-1, 2) dx(dx)) SELECT a.scene, a.y, a.x, round(median(b.p), 6) AS p FROM want a JOIN sc b ON b.scene = a.scene AND b.y = ny AND b.x = nx GROUP BY 1, 2, 3")
 def median_purified(spark: SparkSession, sf: str) -> DataFrame:
-    return R.median_filter(scenes(spark, sf), 3).select("scene", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *r6("p"))
+    return R.median_filter(scenes(spark, sf), 3, scene_sizes(spark, sf)).select("scene", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *r6("p"))
 
 
 _ROWS = "vec_id AS scene, label % 3 <> 0 AS has_slick, abs(embedding[1])::DOUBLE AS dice, abs(embedding[2])::DOUBLE AS precision, abs(embedding[3])::DOUBLE AS recall, greatest(0, embedding[4]::DOUBLE - 0.1::DOUBLE) AS found_share"

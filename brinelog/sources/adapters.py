@@ -72,6 +72,12 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).select(F.floor(i / 25).alias("scene"), (F.floor(i % 25 / 5) * 8 + F.col("y")).cast("int").alias("y"), (i % 5 * 8 + F.col("x")).cast("int").alias("x"), "p")
 
 
+def scene_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scene, height, width of `scenes`: 40 x 40, whether or not there are vectors for all 25 tiles."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 25).alias("scene")).distinct()
+    return e.select("scene", F.lit(40).alias("height"), F.lit(40).alias("width"))
+
+
 def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """region_id, run_id, ring, holes, bbox: each part as an L-shaped outline in a picture of 1200 x 900, every fifth without a place."""
     k = F.col("p_partkey")

@@ -95,6 +95,14 @@ def extents(scene: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     return scene.groupBy("scene").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
 
 
+def filled(scene: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pixels and, with nulls, those that a scene of its size lacks; `there` tells them apart."""
+    lacking = scene.groupBy("scene").agg(F.count("*").alias("n")).join(sizes, "scene").where(F.col("n") < F.col("height") * F.col("width"))
+    places = lacking.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).select("scene", "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    holes = places.join(scene.select("scene", "y", "x"), ["scene", "y", "x"], "left_anti").withColumn("there", F.lit(False))
+    return scene.withColumn("there", F.lit(True)).unionByName(holes, allowMissingColumns=True)
+
+
 def reflected(scene: DataFrame, at: str, most: str, reach: int) -> DataFrame:
     """The pixels and those that mirror them beyond the edges, edge pixels included, up to `reach` away. `most` pixels along `at`."""
     x, n = F.col(at), F.col(most)
@@ -102,27 +110,33 @@ def reflected(scene: DataFrame, at: str, most: str, reach: int) -> DataFrame:
     return scene.withColumn(at, F.explode(F.array_compact(copies)))
 
 
-def window_means(scene: DataFrame, names: list[str], size: int) -> DataFrame:
-    """The names as means over the square of `size` pixels around each pixel, edges reflected: a pass along rows, one along columns."""
-    reach, out = size // 2, scene.join(extents(scene), "scene")
+def window_means(scene: DataFrame, names: list[str], size: int, sizes: DataFrame | None = None) -> DataFrame:
+    """The names as means over the square of `size` pixels around each pixel, edges reflected: a pass along rows, one along columns.
+    With sizes, scenes may lack pixels, which count for none and get none."""
+    reach, out = size // 2, (scene if sizes is None else filled(scene, sizes)).join(extents(scene, sizes), "scene")
+    counts = {n: f"{n}_count" for n in names if sizes is not None}
+    out = out.withColumns({c: F.col(n).isNotNull().cast("int") for n, c in counts.items()})
     for at, along, most in (("x", "y", "width"), ("y", "x", "height")):
         w = Window.partitionBy("scene", along).orderBy(at).rowsBetween(-reach, reach)
-        out = reflected(out, at, most, reach).withColumns({n: F.avg(n).over(w) for n in names}).where((F.col(at) >= 0) & (F.col(at) < F.col(most)))
+        passed = {n: F.avg(n).over(w) for n in names} if sizes is None else {c: F.sum(c).over(w) for c in (*counts, *counts.values())}
+        out = reflected(out, at, most, reach).withColumns(passed).where((F.col(at) >= 0) & (F.col(at) < F.col(most)))
+    if sizes is not None:
+        out = out.where("there").withColumns({n: F.try_divide(F.col(n), F.col(c)) for n, c in counts.items()}).drop("there", *counts.values())
     return out.drop("height", "width")
 
 
-def local_cv(scene: DataFrame, reach: int) -> DataFrame:
+def local_cv(scene: DataFrame, reach: int, sizes: DataFrame | None = None) -> DataFrame:
     """scene, y, x, mean, cv: mean, and deviation over mean, of the square around each pixel; edges reflected."""
     moments = scene.select("scene", "y", "x", F.col("p").alias("m"), (F.col("p") * F.col("p")).alias("q"))
-    done = window_means(moments, ["m", "q"], 2 * reach + 1)
+    done = window_means(moments, ["m", "q"], 2 * reach + 1, sizes)
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("q") - F.col("m") * F.col("m")))
     return done.select("scene", "y", "x", F.col("m").alias("mean"), (spread / F.greatest(F.col("m"), F.lit(1e-6))).alias("cv"))
 
 
-def speckle(scene: DataFrame, reach: int = 4, floor: float = 0.02 * 255, smooth: float = 0.05) -> DataFrame:
+def speckle(scene: DataFrame, reach: int = 4, floor: float = 0.02 * 255, smooth: float = 0.05, sizes: DataFrame | None = None) -> DataFrame:
     """scene, median_cv, smooth_fraction, valid_fraction of grey values p in 0..255; nearly black pixels don't count, and
     with fewer than 64 others a scene is all smooth."""
-    own = saved(local_cv(scene, reach).select("scene", F.when(F.col("mean") > floor, F.col("cv")).alias("valid")), "cv")
+    own = saved(local_cv(scene, reach, sizes).select("scene", F.when(F.col("mean") > floor, F.col("cv")).alias("valid")), "cv")
     s = own.groupBy("scene").agg(F.avg((F.col("valid") < smooth).cast("int")).alias("smooth"), F.count("valid").alias("n"), F.count("*").alias("all"))
     s = s.join(percentiles(own, ["scene"], "valid", [0.5]).select("scene", F.col("percentiles")[0].alias("median")), "scene", "left")
     enough = F.col("n") >= 64
@@ -142,10 +156,10 @@ def channel_agreement(scene: DataFrame) -> DataFrame:
     return s.select("scene", F.when(flat == 3, F.when(apart > 5.0, 0.0).otherwise(1.0)).when(flat > 0, 0.0).otherwise(least).alias("min_corr"))
 
 
-def flat_patches(scene: DataFrame, patch: int = 16, least: float = 0.5) -> DataFrame:
+def flat_patches(scene: DataFrame, patch: int = 16, least: float = 0.5, sizes: DataFrame | None = None) -> DataFrame:
     """scene, flat_ratio: the share of patches without variance (of p), on a grid as wide as a patch or a 32nd of the scene."""
     step = lambda n: F.greatest(F.lit(patch), F.floor(F.col(n) / 32))
-    out = scene.join(extents(scene), "scene").withColumn("sy", step("height")).withColumn("sx", step("width"))
+    out = scene.join(extents(scene, sizes), "scene").withColumn("sy", step("height")).withColumn("sx", step("width"))
     for at, by, most in (("y", "sy", "height"), ("x", "sx", "width")):
         start = F.col(at) - F.col(at) % F.col(by)
         out = out.where((F.col(at) - start < patch) & (start < F.col(most) - patch)).withColumn(f"o{at}", start)
@@ -154,13 +168,13 @@ def flat_patches(scene: DataFrame, patch: int = 16, least: float = 0.5) -> DataF
     return scene.select("scene").distinct().join(found, "scene", "left").select("scene", F.coalesce("flat_ratio", F.lit(0.0)).alias("flat_ratio"))
 
 
-def radar_gate(scene: DataFrame) -> DataFrame:
+def radar_gate(scene: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """scene, valid, reason, and the signals: whether a scene (r, g, b in 0..255) can be radar backscatter.
 
     It can't if its channels disagree strongly, or somewhat where blocks are flat too, or over half of it is flat, or it
     has no speckle; the reason names each signal that speaks against it."""
     grey = scene.select("scene", "y", "x", ((F.col("r") + F.col("g") + F.col("b")) / 3).alias("p"))
-    s = channel_agreement(scene).join(flat_patches(grey), "scene").join(speckle(grey), "scene")
+    s = channel_agreement(scene).join(flat_patches(grey, sizes=sizes), "scene").join(speckle(grey, sizes=sizes), "scene")
     apart, strongly = F.col("min_corr") < 0.98, F.col("min_corr") < 0.85
     flat, mostly = F.col("flat_ratio") > 0.30, F.col("flat_ratio") > 0.50
     bare = (F.col("median_cv") < 0.18) & (F.col("smooth_fraction") > 0.15)
@@ -184,13 +198,15 @@ def gradients(scene: DataFrame) -> DataFrame:
     return scene.withColumn("dx", along("y", "x")).withColumn("dy", along("x", "y")).withColumn("slope", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).drop("dx", "dy")
 
 
-def region_features(scene: DataFrame, mask: DataFrame, shapes: DataFrame, width: int = 25, edge: int = 2) -> DataFrame:
+def region_features(scene: DataFrame, mask: DataFrame, shapes: DataFrame, width: int = 25, edge: int = 2, sizes: DataFrame | None = None) -> DataFrame:
     """The six features of each scene's region: scene, n_in, n_ring, damping, edge, homogeneity, shape, model (wind comes with shapes).
 
     scene: p (grey, 0..1) and prob (the model's, may be null) of every pixel; mask: the region's pixels; shapes: scene,
     shape_complexity, wind, either may be null. A feature that can't be measured is 0.5."""
     marked = scene.join(mask.select("scene", "y", "x", F.lit(True).alias("is_in")), ["scene", "y", "x"], "left").withColumn("is_in", F.coalesce("is_in", F.lit(False))).withColumn("is_out", ~F.col("is_in"))
-    d = distances(distances(gradients(marked), "is_in", "away"), "is_out", "deep").join(extents(scene), "scene")
+    sloped = gradients(marked) if sizes is None else filled(gradients(marked), sizes)
+    d = distances(distances(sloped, "is_in", "away"), "is_out", "deep").join(extents(scene, sizes), "scene")
+    d = d if sizes is None else d.where("there")
     rim = F.least(F.col("y") + 1, F.col("x") + 1, F.col("height") - F.col("y"), F.col("width") - F.col("x"))  # beyond the edge is no region
     near_edge = (F.col("away") <= edge) & (F.least(F.coalesce("deep", rim), rim) <= edge)
     ring, own = ~F.col("is_in") & (F.col("away") <= width), F.col("is_in")
@@ -265,10 +281,10 @@ def tile_grid(sizes: DataFrame, size: int = 256, stride: int = 224) -> DataFrame
     return sizes.withColumn("tile_y", starts("height")).withColumn("tile_x", starts("width")).select("scene", "tile_y", "tile_x")
 
 
-def tiled(scene: DataFrame, size: int, stride: int) -> DataFrame:
+def tiled(scene: DataFrame, size: int, stride: int, sizes: DataFrame | None = None) -> DataFrame:
     """(scene, tile_y, tile_x, y, x inside the tile, p): every pixel in each tile that covers it; what pads a scene mirrors it
     without repeating the edge. Scenes are at least half a tile wide, so that one reflection fills the padding."""
-    ends = extents(scene)
+    ends = extents(scene, sizes)
     grid = tile_grid(ends, size, stride)
     out = scene.join(ends, "scene")
     for at, most in (("y", "height"), ("x", "width")):

@@ -100,7 +100,7 @@ speckle AS (SELECT scene, CASE WHEN n >= 64 THEN m ELSE 0 END AS median_cv, CASE
 def speckle_statistics(spark: SparkSession, sf: str) -> DataFrame:
     s, p = F.col("scene"), F.col("p")
     grey = scenes(spark, sf).withColumn("p", F.when(s % 3 == 0, p * 12).when((s % 3 == 1) & (F.col("y") < 20), F.lit(100.0)).otherwise(p * 255))
-    return R.speckle(grey).select("scene", F.round("median_cv", 5).alias("median_cv"), *r6("smooth_fraction", "valid_fraction"))
+    return R.speckle(grey, sizes=scene_sizes(spark, sf)).select("scene", F.round("median_cv", 5).alias("median_cv"), *r6("smooth_fraction", "valid_fraction"))
 
 
 COLOURS = f"""{SCENES}, c0 AS (SELECT scene, y, x, floor(p * 255) AS grey0, floor(255 * (p * 0.3::DOUBLE + 0.7::DOUBLE * ((x * 7 + y * 13) % 32) / 32)) AS other, 40 + 20 * (x // 20) AS block FROM sc),
@@ -118,7 +118,7 @@ gated AS (SELECT *, NOT (strongly OR (apart AND flat) OR mostly OR bare) AS vali
 @query(f"""WITH {GATE} SELECT scene, round(min_corr, 4) AS min_corr, round(flat_ratio, 6) AS flat_ratio, valid, CASE WHEN valid THEN 'passed' ELSE concat_ws('; ', CASE WHEN apart THEN printf('channels disagree (%.3f)', min_corr) END,
   CASE WHEN flat THEN printf('flat blocks (%.1f%%)', flat_ratio * 100) END, CASE WHEN bare THEN printf('no speckle (%.3f, %.0f%% smooth)', median_cv, smooth_fraction * 100) END) END AS reason FROM gated""")
 def radar_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return R.radar_gate(colours(spark, sf)).select("scene", F.round("min_corr", 4).alias("min_corr"), *r6("flat_ratio"), "valid", "reason")
+    return R.radar_gate(colours(spark, sf), scene_sizes(spark, sf)).select("scene", F.round("min_corr", 4).alias("min_corr"), *r6("flat_ratio"), "valid", "reason")
 
 
 _BLOB = "abs(y - 16) + abs(x - 14) <= 5 + scene % 4"
@@ -148,7 +148,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     sc = scenes(spark, sf)
     pic = sc.select("scene", "y", "x", F.when(own, 0.35 + 0.2 * p).otherwise(p).alias("p"), F.when(F.col("scene") % 5 != 4, 1 - p).alias("prob"))
     shapes = sc.select("scene").distinct().selectExpr("scene", *_SHAPE.format(d="D").split(", CASE")[:1], "CASE" + _SHAPE.format(d="D").split(", CASE")[1])
-    return R.region_features(pic, sc.where(own), shapes)
+    return R.region_features(pic, sc.where(own), shapes, sizes=scene_sizes(spark, sf))
 
 
 def contributions(spark: SparkSession, sf: str) -> DataFrame:

@@ -208,7 +208,7 @@ tl AS (SELECT scene, ty.t AS tile_y, tx.t AS tile_x, y - ty.t AS y, x - tx.t AS
 
 @query(f"WITH {TILED} SELECT scene, tile_y, tile_x, count(*) AS n, round(sum(p * (y * 16 + x)), 3) AS mark FROM tl GROUP BY 1, 2, 3")
 def tile_split(spark: SparkSession, sf: str) -> DataFrame:
-    return R.tiled(scenes(spark, sf), 16, 12).groupBy("scene", "tile_y", "tile_x").agg(F.count("*").alias("n"), F.round(F.sum(F.col("p") * (F.col("y") * 16 + F.col("x"))), 3).alias("mark"))
+    return R.tiled(scenes(spark, sf), 16, 12, scene_sizes(spark, sf)).groupBy("scene", "tile_y", "tile_x").agg(F.count("*").alias("n"), F.round(F.sum(F.col("p") * (F.col("y") * 16 + F.col("x"))), 3).alias("mark"))
 
 
 @query(f"WITH {TILED}, v AS (SELECT scene, tile_y, tile_x, view, CASE WHEN view % 2 = 1 THEN 15 - y ELSE y END AS y, CASE WHEN view >= 2 THEN 15 - x ELSE x END AS x, p FROM tl, range(4) vw(view)) SELECT scene, view::INT AS view, count(*) AS n, round(sum(p * (y * 16 + x)), 2) AS mark FROM v GROUP BY 1, 2")

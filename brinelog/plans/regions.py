@@ -213,7 +213,7 @@ def tile_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TILED}, v AS (SELECT scene, tile_y, tile_x, view, CASE WHEN view % 2 = 1 THEN 15 - y ELSE y END AS y, CASE WHEN view >= 2 THEN 15 - x ELSE x END AS x, p FROM tl, range(4) vw(view)) SELECT scene, view::INT AS view, count(*) AS n, round(sum(p * (y * 16 + x)), 2) AS mark FROM v GROUP BY 1, 2")
 def tile_views(spark: SparkSession, sf: str) -> DataFrame:
-    v = R.flipped(R.tiled(scenes(spark, sf), 16, 12), 16)
+    v = R.flipped(R.tiled(scenes(spark, sf), 16, 12, scene_sizes(spark, sf)), 16)
     return v.groupBy("scene", "view").agg(F.count("*").alias("n"), F.round(F.sum(F.col("p") * (F.col("y") * 16 + F.col("x"))), 2).alias("mark"))
 
 

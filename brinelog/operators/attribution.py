@@ -22,8 +22,9 @@ def origin(particles: DataFrame) -> DataFrame:
 def soft_capture(track: DataFrame, particles: DataFrame, radius_km: float, segs: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """mmsi (and by), weight, captured: Gaussian weights of the particles within 1.5 radii of the vessel at their release time."""
     sigma = radius_km / 2
-    near = tracks.near_moments(segs or tracks.segments(track), track, particles, 3 * sigma)
-    return near.groupBy(*(by or []), "mmsi").agg(F.sum(F.exp(-0.5 * F.pow(F.col("km") / sigma, 2))).alias("weight"), F.count("*").alias("captured"))
+    met = tracks.met_moments(segs or tracks.segments(track), track, particles, 3 * sigma)
+    weight = F.when(F.col("km") <= 3 * sigma, F.exp(-0.5 * F.pow(F.col("km") / sigma, 2)))
+    return met.groupBy(*(by or []), "mmsi").agg(F.sum(weight).alias("weight"), F.count(weight).alias("captured")).where("captured > 0")
 
 
 def global_rank(df: DataFrame, score: str, name: str) -> DataFrame:

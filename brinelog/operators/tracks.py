@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, wrap_lon
+from ..sources.written import saved
 from .folds import first_dwells, stays_near
 
 MAX_GAP = 3600.0
+DEALT = 1 << 12
 
 
 def segments(track: DataFrame) -> DataFrame:
@@ -28,33 +30,48 @@ def at(moment, part: str):
     return wrap_lon(place) if part == "lon" else place
 
 
+def paired(places: DataFrame, moments: DataFrame, keys: list[str]) -> DataFrame:
+    """Places of vessels with the moments of the same keys, which may be few: the places of a key are dealt out, DEALT or so at a
+    time, and its moments go to each deal, so that no task has a key to itself."""
+    deals = places.groupBy(*keys).agg(F.ceil(F.count("*") / DEALT).alias("deals"))
+    dealt = places.join(deals, keys).withColumn("deal", F.pmod(F.xxhash64("mmsi"), F.col("deals"))).drop("deals")
+    copies = moments.join(deals, keys).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
+    return dealt.join(copies, [*keys, "deal"]).drop("deal")
+
+
 def interpolate(track: DataFrame, moments: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
     """Every vessel's position at every moment (`t`, any other columns) that its track brackets within max_gap.
 
     The first segment that brackets a moment counts, so a moment on a ping belongs to the segment that ends there, and
-    to none if that one is too long. Segments and moments meet by hour, never as a cross product. A vessel with a
-    single position is taken to be there within max_gap."""
+    to none if that one is too long. Segments and distinct moments meet by hour, never as a cross product; rows of one moment
+    share each vessel's place. A vessel with a single position is taken to be there within max_gap."""
     hour = lambda t: F.floor(t / max_gap)
-    moments = moments.withColumnRenamed("t", "moment").withColumn("bucket", hour(F.col("moment")))
+    moments = moments.withColumnRenamed("t", "moment")
     short = segments(track).where(F.col("dt") <= max_gap).withColumn("bucket", F.explode(F.sequence(hour(F.col("p_t")), hour(F.col("t")))))
     inside = ((F.col("p_t") < F.col("moment")) | (F.col("first_segment") & (F.col("p_t") == F.col("moment")))) & (F.col("moment") <= F.col("t"))
-    others = [c for c in moments.columns if c not in ("moment", "bucket")]
-    own = {c: f"m_{c}" for c in others}
-    moments = moments.withColumnsRenamed(own)
-    keep = ["mmsi", "moment", *own.values()]
-    met = short.join(moments, "bucket").where(inside).select(*keep, at(F.col("moment"), "lat").alias("lat"), at(F.col("moment"), "lon").alias("lon"))
+    own = {c: f"m_{c}" for c in moments.columns if c != "moment"}
+    moments = saved(moments.withColumnsRenamed(own), "moments")
+    times = saved(moments.select("moment").distinct().withColumn("bucket", hour(F.col("moment"))), "times")
+    keep = ["mmsi", "moment"]
+    met = short.join(times, "bucket").where(inside).select(*keep, at(F.col("moment"), "lat").alias("lat"), at(F.col("moment"), "lon").alias("lon"))
     single = track.groupBy("mmsi").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("t", "lat", "lon")]).where("n = 1")
     single = single.withColumn("bucket", F.explode(F.sequence(hour(F.col("t") - max_gap), hour(F.col("t") + max_gap))))
-    lone = single.join(moments, "bucket").where(F.abs(F.col("moment") - F.col("t")) <= max_gap).select(*keep, "lat", "lon")
-    return met.unionByName(lone)
+    lone = single.join(times, "bucket").where(F.abs(F.col("moment") - F.col("t")) <= max_gap).select(*keep, "lat", "lon")
+    return paired(saved(met.unionByName(lone), "places"), moments, ["moment"]).select(*keep, *own.values(), "lat", "lon")
 
 
 def near_moments(segs: DataFrame, track: DataFrame, moments: DataFrame, reach_km: float, max_gap: float = MAX_GAP) -> DataFrame:
-    """mmsi, km and the columns of moments (t, lat, lon, any others): the moments within `reach_km` of a vessel's interpolated place.
+    """mmsi, km and the columns of moments (t, lat, lon, any others): the moments within `reach_km` of a vessel's interpolated place."""
+    return met_moments(segs, track, moments, reach_km, max_gap).where(F.col("km") <= reach_km)
+
+
+def met_moments(segs: DataFrame, track: DataFrame, moments: DataFrame, reach_km: float, max_gap: float = MAX_GAP) -> DataFrame:
+    """As `near_moments`, with some that lie farther away: a filter would have Spark compute every distance twice.
 
     As `interpolate`, but segments and moments meet by hour and cell, so that what is far apart never meets: cells come in
     sizes of 360 degrees over powers of two, a segment lies in the few cells of the size that its box (widened by the
-    reach) calls for, and a moment in one cell of each size."""
+    reach) calls for, and a moment in one cell of each size. Moments of one time in one smallest cell meet a vessel together;
+    it is placed once for all of them."""
     degrees = reach_km / 111.0
     finest = max(0, int(math.floor(math.log2(360.0 / degrees))))
     size = F.lit(360.0) / F.pow(F.lit(2.0), F.col("level"))
@@ -75,13 +92,17 @@ def near_moments(segs: DataFrame, track: DataFrame, moments: DataFrame, reach_km
     short = segs.where(F.col("dt") <= max_gap).withColumn("u_lon", p_lon + wrap_lon(lon - p_lon))
     short = dealt(short, p_lat, lat, p_lon, F.col("u_lon"), F.col("p_t"), F.col("t"))
     others = {c: f"m_{c}" for c in moments.columns}
-    own = moments.withColumnsRenamed(others).withColumn("bucket", hour(F.col("m_t"))).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(finest))))
-    own = own.withColumn("cy", cell(F.col("m_lat"))).withColumn("cx", around(cell(F.col("m_lon"))))
+    own = moments.withColumnsRenamed(others).withColumn("level", F.lit(finest))
+    own = saved(own.withColumn("m_cy", cell(F.col("m_lat"))).withColumn("m_cx", around(cell(F.col("m_lon")))).drop("level"), "moments")
+    spots = ["m_t", "m_cy", "m_cx"]
+    times = own.select(*spots).distinct().withColumn("bucket", hour(F.col("m_t"))).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(finest))))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), finest - F.col("level")))
+    times = saved(times.withColumn("cy", up("m_cy")).withColumn("cx", up("m_cx")), "times")
     inside = ((F.col("p_t") < F.col("m_t")) | (F.col("first_segment") & (F.col("p_t") == F.col("m_t")))) & (F.col("m_t") <= F.col("t"))
-    met = short.join(own, keys).where(inside).select("mmsi", *others.values(), at(F.col("m_t"), "lat").alias("lat"), at(F.col("m_t"), "lon").alias("lon"))
+    met = short.join(times, keys).where(inside).select("mmsi", *spots, at(F.col("m_t"), "lat").alias("lat"), at(F.col("m_t"), "lon").alias("lon"))
     single = track.groupBy("mmsi").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("t", "lat", "lon")]).where("n = 1")
-    lone = dealt(single, lat, lat, lon, lon, F.col("t") - max_gap, F.col("t") + max_gap).join(own, keys).where(F.abs(F.col("m_t") - F.col("t")) <= max_gap).select("mmsi", *others.values(), "lat", "lon")
-    near = met.unionByName(lone).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("m_lat"), F.col("m_lon"))).where(F.col("km") <= reach_km)
+    lone = dealt(single, lat, lat, lon, lon, F.col("t") - max_gap, F.col("t") + max_gap).join(times, keys).where(F.abs(F.col("m_t") - F.col("t")) <= max_gap).select("mmsi", *spots, "lat", "lon")
+    near = paired(saved(met.unionByName(lone), "places"), own, spots).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("m_lat"), F.col("m_lon")))
     return near.select("mmsi", "km", *[F.col(n).alias(o) for o, n in others.items()])
 
 

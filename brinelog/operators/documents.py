@@ -1,7 +1,8 @@
 """JSON documents of unknown shape as variants: flattened level by level, canonical text rebuilt from the bottom.
 
 Every level of every document is one step of the same few joins, so the number of steps is the deepest nesting. A container's
-children meet in one group: as many as one document holds.
+children meet in one group: as many as one document holds. Joins by document never broadcast: ids compress so well in a written
+table that Spark would take millions of documents for a few megabytes.
 
 What can't be read, null, and objects that repeat a key are null as a whole. Numbers are doubles, as the canonical text has them; a negative
 zero loses its sign."""
@@ -90,7 +91,7 @@ def flattened(rows: DataFrame, key: str, text: str) -> DataFrame:
     out = each[0]
     for more in each[1:]:
         out = out.unionByName(more)
-    return out.join(whole.select("id", "key_of"), "id").select(F.col("key_of").alias(key), "path", "kind", "value")
+    return out.join(whole.select("id", "key_of").hint("merge"), "id").select(F.col("key_of").alias(key), "path", "kind", "value")
 
 
 def canonical(rows: DataFrame, text: str, name: str = "canonical") -> DataFrame:

@@ -105,7 +105,7 @@ def canonical(rows: DataFrame, text: str, name: str = "canonical") -> DataFrame:
         members = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "name", "text")))), lambda m: F.concat(m["name"], F.lit(":"), m["text"])), ",")
         items = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("key").isNull(), F.struct("pos", "text")))), lambda m: m["text"]), ",")
         grouped = inside.groupBy("id", "at").agg(members.alias("members"), items.alias("items"))
-        met = part.select("id", "at", "key", "name", "kind", "text").join(grouped, ["id", "at"], "left")
+        met = part.select("id", "at", "key", "name", "kind", "text").join(grouped.hint("merge"), ["id", "at"], "left")
         made = F.when(F.col("kind") == "object", F.concat(F.lit("{"), F.coalesce("members", F.lit("")), F.lit("}"))).when(F.col("kind") == "array", F.concat(F.lit("["), F.coalesce("items", F.lit("")), F.lit("]"))).otherwise(F.col("text"))
         below = saved(met.select("id", "at", "key", "name", made.alias("text")), "texts")
-    return whole.join(below.select("id", F.col("text").alias("told")), "id", "left").select("row_of.*", F.col("told").alias(name))
+    return whole.join(below.select("id", F.col("text").alias("told")).hint("merge"), "id", "left").select("row_of.*", F.col("told").alias(name))

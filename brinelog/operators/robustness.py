@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RANGES = {
@@ -20,15 +20,20 @@ def sampled(runs: DataFrame, by: str, n: int = 32, seed: int = 7, ranges: dict[s
     """by, scenario and the assumptions: a latin hypercube for each run, in which every assumption takes each of its n strata once.
 
     A stratum's place among a run's scenarios and its offset come from a digest of seed, run, assumption and stratum, so a run's
-    scenarios are the same whatever else is sampled, and whichever executor samples them."""
-    assumptions = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high")) for k, (low, high) in ranges.items()]))
-    each = runs.select(by).distinct().select(by, assumptions.alias("a")).select(by, "a.*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("stratum"))
-    each = each.withColumn("digest", F.md5(F.concat_ws("|", F.lit(seed), F.col(by).cast("string"), "name", F.col("stratum").cast("string"))))
-    offset = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    place = F.row_number().over(Window.partitionBy(by, "name").orderBy("digest", "stratum")) - 1
-    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("stratum") + offset) / n
-    placed = each.select(by, "name", place.cast("long").alias("scenario"), value.alias("value"))
-    return placed.groupBy(by, "scenario").agg(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in ranges])
+    scenarios are the same whatever else is sampled, and whichever executor samples them. A run's strata are put in order within its
+    row, so nothing is sorted or shuffled but the runs, and a task holds one run's scenarios at a time."""
+
+    def values(name: str, low: float, high: float) -> Column:
+        digest = lambda s: F.md5(F.concat_ws("|", F.lit(seed), F.col(by).cast("string"), F.lit(name), s.cast("string")))
+        strata = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: F.struct(digest(s).alias("digest"), s.alias("stratum")))
+        offset = lambda e: F.conv(F.substring(e["digest"], 1, 8), 16, 10).cast("double") / float(1 << 32)
+        return F.transform(F.sort_array(strata), lambda e: F.lit(low) + (F.lit(high) - F.lit(low)) * (e["stratum"] + offset(e)) / n)
+
+    # as many partitions as named: runs take few bytes and their scenarios many, so partitions merged by bytes would be one task's
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = runs.select(by).repartition(parts, by).distinct()
+    placed = each.select(by, F.posexplode(F.arrays_zip(*[values(k, float(low), float(high)).alias(k) for k, (low, high) in ranges.items()])).alias("scenario", "v"))
+    return placed.select(by, F.col("scenario").cast("long").alias("scenario"), *[F.col("v")[k].alias(k) for k in ranges])
 
 
 def sample_scenarios(spark: SparkSession, n: int = 32, seed: int = 7) -> DataFrame:

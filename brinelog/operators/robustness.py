@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 RANGES = {
     # fixed values: swept range of each assumption
     "duration_scale": (0.60, 1.60),
@@ -29,9 +31,7 @@ def sampled(runs: DataFrame, by: str, n: int = 32, seed: int = 7, ranges: dict[s
         offset = lambda e: F.conv(F.substring(e["digest"], 1, 8), 16, 10).cast("double") / float(1 << 32)
         return F.transform(F.sort_array(strata), lambda e: F.lit(low) + (F.lit(high) - F.lit(low)) * (e["stratum"] + offset(e)) / n)
 
-    # as many partitions as named: runs take few bytes and their scenarios many, so partitions merged by bytes would be one task's
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = runs.select(by).repartition(parts, by).distinct()
+    each = spread(runs.select(by), by).distinct()
     placed = each.select(by, F.posexplode(F.arrays_zip(*[values(k, float(low), float(high)).alias(k) for k, (low, high) in ranges.items()])).alias("scenario", "v"))
     return placed.select(by, F.col("scenario").cast("long").alias("scenario"), *[F.col("v")[k].alias(k) for k in ranges])
 

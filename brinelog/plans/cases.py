@@ -17,6 +17,7 @@ from ..operators import fields as M
 from ..operators import joins as J
 from ..operators import text as X
 from ..operators import tracks as T
+from ..session import spread
 from ..sources import ais_csv as C
 from ..sources import rasters as R
 from ..sources.adapters import T0, hourly_fields, positions, runs, table
@@ -334,7 +335,7 @@ def tiffs(spark: SparkSession, sf: str) -> DataFrame:
                 rows.append((f"scene/{k}.tif", whole[:50] if k % 11 == 0 else whole))
             yield pd.DataFrame(rows, columns=["path", "content"])
 
-    return table(spark, sf, "part").select("p_partkey").mapInPandas(run, "path string, content binary")
+    return spread(table(spark, sf, "part").select("p_partkey"), "p_partkey").mapInPandas(run, "path string, content binary")
 
 
 _TIFF = "t AS (SELECT p_partkey AS k, 3 + p_partkey % 4 AS w, 2 + p_partkey % 3 AS h, -170.0::DOUBLE + p_partkey % 300 AS lon, 80.0::DOUBLE - p_partkey % 100 AS lat, p_partkey % 5 <> 0 AS placed FROM part WHERE p_partkey % 11 <> 0)"
@@ -347,9 +348,11 @@ def raster_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_TIFF}, p AS (SELECT k, w, unnest(range(w * h * 2)) AS i FROM t) SELECT 'scene/' || k || '.tif' AS path, (i % 2)::INT AS band, count(*) AS n, sum(((i * 7 + k) % 250) * (1 + i // 2))::DOUBLE AS mark FROM p GROUP BY 1, 2")
 def raster_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """A pixel's weight is its place in its file, from 1; sums along rows meet the width, not each pixel. Whole numbers, so exact."""
     files = tiffs(spark, sf)
-    width = R.read_tiff(files).select("path", "width")
-    return R.tiff_pixels(files).join(width, "path").groupBy("path", "band").agg(F.count("*").alias("n"), F.sum(F.col("value") * (1 + F.col("y") * F.col("width") + F.col("x"))).alias("mark"))
+    width = R.read_tiff(files).select("path", "width").hint("merge")  # by its bytes it would be broadcast, however many files
+    sums = R.tiff_pixels(files).groupBy("path", "band").agg(F.count("*").alias("n"), F.sum(F.col("value") * (1 + F.col("x"))).alias("across"), F.sum(F.col("value") * F.col("y")).alias("down"))
+    return sums.join(width, "path").select("path", "band", "n", (F.col("across") + F.col("down") * F.col("width")).alias("mark"))
 
 
 _MODELS = "m AS (SELECT c_custkey AS k, 'models/g' || c_custkey % 7 || '/p' || c_custkey % 5 || '/net' || c_custkey AS checkpoint FROM customer)"

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import raster as R
+from ..session import spread
 from ..sources import rasters
 from ..sources import scenes as S
 from ..sources.adapters import table
@@ -137,7 +138,7 @@ def pictures(spark: SparkSession, sf: str) -> DataFrame:
                 rows.append((f"{LAYOUTS[k % 8]}/{k}.img", content[: len(content) // 2] if k % 23 == 0 else content))
             yield pd.DataFrame(rows, columns=["path", "content"])
 
-    return table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(run, "path string, content binary")
+    return spread(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").mapInPandas(run, "path string, content binary")
 
 
 def written(spark: SparkSession, sf: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -19,6 +19,12 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt by columns to as many partitions as a shuffle has. For small rows that much is made of: partitions that a scan
+    or adaptive execution cuts by bytes would be one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, for tests and the bench."""
     builder = SparkSession.builder.master(f"local[{cores}]").config("spark.driver.memory", memory).config("spark.sql.shuffle.partitions", str(partitions))

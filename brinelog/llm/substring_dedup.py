@@ -22,6 +22,7 @@ short texts lose nothing; an empty table gives an empty result; extra columns ar
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -154,10 +155,26 @@ RUNS = "deal long, words binary, suffixes int, places array<struct<part:long,row
 PLACE = pa.struct([("part", pa.int64()), ("row", pa.int32()), ("at", pa.int32())])
 
 
-def travelling_runs(docs: DataFrame, chosen: DataFrame, window: int, whole: bool) -> DataFrame:
+def common_text(docs: DataFrame) -> bytes:
+    """The beginnings of 64 texts, of 128 characters each. Runs are packed with them at hand; they decide on sizes, not on results."""
+    rows = docs.where("text IS NOT NULL").select(F.substring("text", 1, 128).alias("text")).limit(64).collect()
+    return b" ".join(r.text.encode() for r in rows) or b" "
+
+
+def pack(words: bytes, common: bytes) -> bytes:
+    made = zlib.compressobj(6, zlib.DEFLATED, -15, 8, zlib.Z_DEFAULT_STRATEGY, common)
+    return made.compress(words) + made.flush()
+
+
+def unpack(packed: bytes, common: bytes) -> bytes:
+    return zlib.decompressobj(-15, common).decompress(packed)
+
+
+def travelling_runs(docs: DataFrame, chosen: DataFrame, window: int, whole: bool, common: bytes | None = None) -> DataFrame:
     """(deal, words, suffixes, places): the chosen runs of suffixes (part, row, piece, first, stop); equal runs of a part are one row.
 
-    whole: each window is a run of its own, dealt by its whole prefix."""
+    whole: each window is a run of its own, dealt by its whole prefix. With a common text the words are packed, and
+    the column's metadata holds it."""
 
     def run(texts: pa.Table, runs: pa.Table) -> pa.Table:
         places = defaultdict(list)
@@ -182,13 +199,14 @@ def travelling_runs(docs: DataFrame, chosen: DataFrame, window: int, whole: bool
                         words = b" ".join(text[starts[word + j] : ends[word + e + window - 2]].split())
                         places[prefix[word + j] if whole else k, words, e - j].append((part, at[base + i], j))
         deal, words, n = zip(*places, strict=True) if places else ((), (), ())
+        words = words if common is None else [pack(w, common) for w in words]
         sizes = np.fromiter(map(len, places.values()), np.int32, len(places))
         each = np.array([p for own in places.values() for p in own], np.int64).reshape(-1, 3)
         fields = pa.StructArray.from_arrays([pa.array(each[:, c]).cast(kind.type) for c, kind in enumerate(PLACE)], fields=list(PLACE))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), fields)
         return pa.table([pa.array(deal, pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int32()), lists.cast(pa.list_(PLACE))], ["deal", "words", "suffixes", "places"])
 
-    return docs.select("part", "row", "text").groupBy("part").cogroup(chosen.select("part", "row", "piece", "first", "stop").groupBy("part")).applyInArrow(run, RUNS)
+    return docs.select("part", "row", "text").groupBy("part").cogroup(chosen.select("part", "row", "piece", "first", "stop").groupBy("part")).applyInArrow(run, RUNS).withMetadata("words", {} if common is None else {"common": common.hex()})
 
 
 def deep_leaves(words: pa.Array, suffixes: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
@@ -229,11 +247,14 @@ def repeated_windows(runs: DataFrame, window: int) -> DataFrame:
 
 def repeats(runs: DataFrame, window: int) -> DataFrame:
     """(part, row, first, stop): stretches of words of a document whose windows also start elsewhere."""
+    common = bytes.fromhex(runs.schema["words"].metadata.get("common", "")) or None
 
     def grown(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(batches).combine_chunks()
         words, suffixes, places = (rows.column(c).combine_chunks() for c in ("words", "suffixes", "places"))
         suffixes, sizes = suffixes.to_numpy().astype(np.int64), places.value_lengths().to_numpy().astype(np.int64)
+        if common is not None:
+            words = pa.array([unpack(w, common) for w in words.to_pylist()], pa.binary())
         deep = deep_leaves(words, suffixes, sizes, window)
         run_at = np.cumsum(suffixes) - suffixes
         new_run = np.zeros(len(deep) + 1, bool)
@@ -291,10 +312,11 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
 def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 8, group_limit: int = 128, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text if asked for): one row per document."""
     rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "texts")
-    uses = saved(piece_uses(rows, window, gram), "uses")
+    uses = piece_uses(rows, window, gram)  # read twice: found again sooner than kept
     often = saved(uses.groupBy("piece").agg(F.sum("uses").alias("n")).where("n > 1"), "pieces")
     own = saved(uses.drop("uses").join(often, "piece"), "own")
     windows = saved(travelling_runs(rows, own.where(F.col("n") > group_limit), window, True), "crowded")
-    trees = repeats(travelling_runs(rows, own.where(F.col("n") <= group_limit), window, False), window)
+    common = common_text(rows)
+    trees = repeats(travelling_runs(rows, own.where(F.col("n") <= group_limit), window, False, common), window)
     out = cut(rows, trees.union(repeated_windows(windows, window)))
     return out if texts else out.drop("kept")

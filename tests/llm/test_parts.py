@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from brinelog.llm import common
+from brinelog.llm import common, substring_dedup
 
 
 def test_parts_are_small_and_rows_tell_apart(spark):
@@ -21,3 +21,15 @@ def test_parts_are_small_and_rows_tell_apart(spark):
     alone = {p for p, n in count.items() if n == 1}
     assert all(w <= 2 * common.PART_ROWS * common.PART_TEXT or p in alone for p, w in weight.items())
     assert {p >> 37 for p in count} == {r.row >> 33 for r in rows} and all(p >> 37 == r.row >> 33 for r in rows for p in [r.part])
+
+
+def test_runs_travel_packed_and_come_back_whole(spark):
+    text = " ".join(f"word{i * i % 97} and" for i in range(60))
+    docs = spark.createDataFrame([(i, text) for i in range(3)], "doc_id long, text string")
+    rows = substring_dedup.numbered(docs, "texts")
+    told = substring_dedup.common_text(rows)
+    chosen = substring_dedup.piece_uses(rows, 35, 8).drop("uses")
+    plain, packed = (substring_dedup.travelling_runs(rows, chosen, 35, False, c).collect() for c in (None, told))
+    assert sorted(substring_dedup.unpack(r.words, told) for r in packed) == sorted(r.words for r in plain)
+    assert sum(len(r.words) for r in packed) < 0.75 * sum(len(r.words) for r in plain)
+    assert {r.n_removed for r in substring_dedup.substring_dedup(docs).collect()} == {120}

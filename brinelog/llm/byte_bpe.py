@@ -34,7 +34,7 @@ from .common import saved
 SPACES = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 BUCKETS = 4096
-PLACES, NEVER = 12, 1 << 18  # a place in a piece and a rank share an int
+PLACES, NEVER = 12, 1 << 18  # three places in a piece and a rank share a long
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,39 +67,51 @@ def fold_merges(word: Column, maps: Column) -> Column:
 
 
 def fold_with(word: Column, maps: Column) -> Column:
-    """State of the fold: the parts so far, and the rank of each part joined with the next.
+    """State of the fold: the pairs of neighbouring parts in their order, each one number of its rank, start, middle and end.
 
-    The lowest rank and its place are found as one minimum, of ranks with places in their lower bits."""
+    The least number is the lowest rank's leftmost pair. Merging takes it out and changes only the pair that ends in its middle, whose
+    right part grows, and the pair that starts there, whose left part grows."""
+    mask = F.lit((1 << PLACES) - 1).cast("long")
 
-    def rank(piece: Column) -> Column:
-        return F.coalesce(rank_of(maps, piece), F.lit(NEVER))
+    def place(pair: Column, k: int) -> Column:
+        return (F.shiftright(pair, k * PLACES) if k else pair).bitwiseAND(mask)
 
-    def merge(state: Column, _: Column) -> Column:
-        def at_lowest(lowest: Column) -> Column:
-            at = lowest.bitwiseAND(F.lit((1 << PLACES) - 1))
+    def field(pair: Column, k: int) -> Column:
+        return place(pair, k).cast("int")
 
-            def joined(part: Column) -> Column:
-                parts, n = state["parts"], F.size(state["parts"])
-                left = F.when(at > 0, F.array(rank(F.concat(F.get(parts, at - 1), part)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(at + 2 < n, F.array(rank(F.concat(part, F.get(parts, at + 2))))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(parts, 1, at), F.array(part), F.slice(parts, at + 3, n)).alias("parts"),
-                    F.concat(F.slice(state["ranks"], 1, F.greatest(at - 1, F.lit(0))), left, right, F.slice(state["ranks"], at + 3, n)).alias("ranks"),
-                )
+    def piece(hexed: Column, start: Column, end: Column) -> Column:
+        return F.substring(hexed, 2 * start + 1, 2 * (end - start))
 
-            both = F.concat(F.get(state["parts"], at), F.get(state["parts"], at + 1))
-            return F.when(F.shiftright(lowest, PLACES) >= NEVER, state).otherwise(let(both, joined))
+    def begin(hexed: Column) -> Column:
+        def pair(start: Column, middle: Column, end: Column) -> Column:
+            rank = let(piece(hexed, start, end), lambda part: F.coalesce(rank_of(maps, part), F.lit(NEVER)))
+            places = F.shiftleft(start.cast("long"), 2 * PLACES).bitwiseOR(F.shiftleft(middle.cast("long"), PLACES)).bitwiseOR(end.cast("long"))
+            return F.shiftleft(rank.cast("long"), 3 * PLACES).bitwiseOR(places)
 
-        placed = F.transform(state["ranks"], lambda r, i: F.shiftleft(r, PLACES).bitwiseOR(i))
-        return let(F.coalesce(F.array_min(placed), F.lit(NEVER << PLACES)), at_lowest)
+        def merge(pairs: Column, _: Column) -> Column:
+            def at_lowest(lowest: Column) -> Column:
+                def meet(middle: Column) -> Column:
+                    def beside(x: Column) -> Column:
+                        left = F.when(place(x, 0) == middle, pair(field(x, 2), field(x, 1), field(lowest, 0)))
+                        return left.when(place(x, 2) == middle, pair(field(lowest, 2), field(x, 1), field(x, 0))).otherwise(x)
 
-    def begin(parts: Column) -> Column:
-        pairs = F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts)), lambda a, b: rank(F.concat(a, b)))
-        return F.aggregate(F.slice(parts, 2, F.size(parts)), F.struct(parts.alias("parts"), pairs.alias("ranks")), merge, lambda s: F.transform(s["parts"], lambda p: rank_of(maps, p)))
+                    return F.transform(F.filter(pairs, lambda x: x != lowest), beside)
+
+                return F.when(lowest >= F.lit(NEVER << 3 * PLACES), pairs).otherwise(let(place(lowest, 1), meet))
+
+            return let(F.coalesce(F.array_min(pairs), F.lit(NEVER << 3 * PLACES)), at_lowest)
+
+        def ids(pairs: Column) -> Column:
+            known = lambda start, end: let(piece(hexed, start, end), lambda part: rank_of(maps, part))
+            last = F.when(F.size(pairs) > 0, F.array(known(field(F.get(pairs, F.size(pairs) - 1), 1), n))).otherwise(F.array(rank_of(maps, hexed)))
+            return F.concat(F.transform(pairs, lambda x: known(field(x, 2), field(x, 1))), last)
+
+        n = (F.length(hexed) / 2).cast("int")
+        places = F.sequence(F.lit(0), n - 2)
+        return F.aggregate(places, F.transform(places, lambda i: pair(i, i + 1, i + 2)), merge, ids)
 
     def folded(hexed: Column) -> Column:
-        singles = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.substring(hexed, i, F.lit(2)))
-        return F.coalesce(F.when(rank_of(maps, hexed).isNotNull(), F.array(rank_of(maps, hexed))), let(singles, begin))
+        return F.coalesce(F.when(rank_of(maps, hexed).isNotNull(), F.array(rank_of(maps, hexed))), begin(hexed))
 
     return let(F.hex(F.encode(word, "UTF-8")), folded)
 

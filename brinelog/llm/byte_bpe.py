@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by Spark higher-order functions.
 
-A text is cut into pieces by the tokenizer's pattern. A piece's bytes (in hexadecimal, two characters each) are folded
-by `aggregate`: each round merges the adjacent pair with the lowest rank, found in a literal rank map that is dealt by
-hash into small maps, because Spark looks maps up from end to end. The distinct words of the corpus are counted, the
+A text is cut into pieces by the tokenizer's pattern. A piece's bytes are folded by `aggregate`: each round merges the
+adjacent pair with the lowest rank, found in a literal rank map: numbers of two ids and the rank of both together, dealt by
+remainders into two arrays, because Spark looks its maps up from end to end. The distinct words of the corpus are counted, the
 most frequent `remembered` of them are folded once and broadcast, and all other pieces are folded where they stand. A
 remembered word has at most 64 bytes and so 64 ids: 2**18 of them take at most 100 MB, whatever the corpus. Text is never
 shuffled. Ids are then strung together per document in the order of its pieces, and decoding concatenates the
@@ -17,14 +17,15 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import heapq
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ from .common import saved
 # fixed value: the tokenizers' pattern, with Unicode white space spelt out as Java's \s is ASCII only
 SPACES = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-BUCKETS = 4096
-PLACES, NEVER = 12, 1 << 18  # three places in a piece and a rank share a long
+PLACES, RANKS = 9, 18  # bits of a place in a piece and of a rank: one place and three ranks share a long
+NEVER = (1 << RANKS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,85 +43,111 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal rank map: array of maps from a piece in hexadecimal to its rank."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        maps[xxhash.xxh64_intdigest(key, 42) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
-
+def pair_tables(pairs: list[int]) -> list[list[int]]:
+    """Two tables, as long as two primes, with each number (left, right, rank) at its pair's remainder in one of them; NEVER in empty slots."""
+    prime = lambda n: next(k for k in range(n, 2 * n + 3) if all(k % i for i in range(2, math.isqrt(k) + 1)))
+    n = len(pairs) + 2
+    while True:
+        sizes = [prime(n), prime(prime(n) + 1)]
+        tables = [[NEVER] * k for k in sizes]
+        for number in pairs:
+            side = 0
+            for _ in range(500):
+                at = (number >> RANKS << RANKS) % sizes[side]
+                number, tables[side][at] = tables[side][at], number
+                if number == NEVER:
+                    break
+                side = 1 - side
+            else:
+                break
+        else:
+            return tables
+        n += n // 4
 
-def rank_of(maps: Column, piece: Column) -> Column:
-    slot = F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    return F.get(maps, slot)[piece]
 
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The literal rank map: for two ids that can meet side by side the rank of their bytes together, in two tables; the ids of
+    single bytes; and by themselves (`whole`) the pieces that the merges alone would not make.
 
-def let(value: Column, use) -> Column:
-    """use(value), evaluated once."""
-    return F.transform(F.array(value), use)[0]
-
+    Merges within a stretch of a word are those of the stretch alone, up to where it is one part. So where lower ranks alone
+    make two parts of a piece, no other two can meet to make it; else all its cuts in two count."""
+    met, whole = [], {}
+    for piece, rank in ranks.items():
+        if len(piece) == 1:
+            continue
+        halves = merge_long(piece, ranks, rank)
+        if len(halves) == 2:
+            met.append((*halves, rank))
+            continue
+        met += [(ranks[piece[:i]], ranks[piece[i:]], rank) for i in range(1, len(piece)) if piece[:i] in ranks and piece[i:] in ranks]
+        with contextlib.suppress(UnicodeDecodeError):  # no word has such bytes
+            whole[piece.decode()] = rank
+    one, two = pair_tables([(a << RANKS | b) << RANKS | rank for a, b, rank in met])
+    literal = {"one": one, "two": two, "bytes": [ranks[bytes([i])] for i in range(256)], "whole": whole}
+    return F.from_json(F.lit(json.dumps(literal, separators=(",", ":"))), "one array<bigint>, two array<bigint>, bytes array<bigint>, whole map<string,bigint>")
 
-def fold_merges(word: Column, maps: Column) -> Column:
-    """The ids of a word's bytes. The literal map is bound once, or every mention of it would travel with each task."""
-    return let(maps, lambda bound: fold_with(word, bound))
 
+def bound(use, *values: Column) -> Column:
+    """use(*values), each evaluated once: as the end of a fold over nothing, since a look into a transformed array works out
+    its type again for each row."""
+    if not values:
+        return use()
+    return F.aggregate(F.array().cast("array<int>"), values[0], lambda x, _: x, lambda x: bound(lambda *others: use(x, *others), *values[1:]))
 
-def fold_with(word: Column, maps: Column) -> Column:
-    """State of the fold: the pairs of neighbouring parts in their order, each one number of its rank, start, middle and end.
 
-    The least number is the lowest rank's leftmost pair. Merging takes it out and changes only the pair that ends in its middle, whose
-    right part grows, and the pair that starts there, whose left part grows."""
-    mask = F.lit((1 << PLACES) - 1).cast("long")
+def fold_merges(word: Column, maps: Column) -> Column:
+    """The ids of a word's bytes. The literal tables are bound once, or every mention of them would travel with each task."""
+    whole = maps["whole"][word]
+    merged = bound(lambda *tables: fold_with(word, *tables), maps["one"], maps["two"], F.size(maps["one"]).cast("long"), F.size(maps["two"]).cast("long"), maps["bytes"])
+    return F.when(whole.isNotNull(), F.array(whole.cast("int"))).otherwise(merged)
 
-    def place(pair: Column, k: int) -> Column:
-        return (F.shiftright(pair, k * PLACES) if k else pair).bitwiseAND(mask)
 
-    def field(pair: Column, k: int) -> Column:
-        return place(pair, k).cast("int")
+def fold_with(word: Column, one: Column, two: Column, ones: Column, twos: Column, bytes_ids: Column) -> Column:
+    """State of the fold: the pairs of neighbouring parts in their order, each one number of its rank, place, left and right id.
 
-    def piece(hexed: Column, start: Column, end: Column) -> Column:
-        return F.substring(hexed, 2 * start + 1, 2 * (end - start))
+    The least number is the lowest rank's leftmost pair. Merging takes it out and changes only the pairs beside it: the right id
+    of the one before and the left id of the one behind are now the pair's rank. The last part is paired with NEVER."""
+    both, place = 2 * RANKS, (1 << PLACES) - 1
+    never = F.lit(NEVER).cast("long")
 
-    def begin(hexed: Column) -> Column:
-        def pair(start: Column, middle: Column, end: Column) -> Column:
-            rank = let(piece(hexed, start, end), lambda part: F.coalesce(rank_of(maps, part), F.lit(NEVER)))
-            places = F.shiftleft(start.cast("long"), 2 * PLACES).bitwiseOR(F.shiftleft(middle.cast("long"), PLACES)).bitwiseOR(end.cast("long"))
-            return F.shiftleft(rank.cast("long"), 3 * PLACES).bitwiseOR(places)
+    def left(number: Column) -> Column:
+        return F.shiftright(number, RANKS).bitwiseAND(never)
 
-        def merge(pairs: Column, _: Column) -> Column:
-            def at_lowest(lowest: Column) -> Column:
-                def meet(middle: Column) -> Column:
-                    def beside(x: Column) -> Column:
-                        left = F.when(place(x, 0) == middle, pair(field(x, 2), field(x, 1), field(lowest, 0)))
-                        return left.when(place(x, 2) == middle, pair(field(lowest, 2), field(x, 1), field(x, 0))).otherwise(x)
+    def pair(left: Column, right: Column) -> Column:
+        return F.shiftleft(left, both).bitwiseOR(F.shiftleft(right, RANKS))
 
-                    return F.transform(F.filter(pairs, lambda x: x != lowest), beside)
+    def ranked(ids: Column, at: Column) -> Column:
+        # of two numbers with the same ids only the rank is left; with others, or an empty slot, NEVER or more
+        found = F.least(*(F.get(t, (ids % n).cast("int")).bitwiseXOR(ids) for t, n in ((one, ones), (two, twos))), never)
+        return F.shiftleft(found, both + PLACES).bitwiseOR(at).bitwiseOR(F.shiftright(ids, RANKS))
 
-                return F.when(lowest >= F.lit(NEVER << 3 * PLACES), pairs).otherwise(let(place(lowest, 1), meet))
+    def merge(pairs: Column, _: Column) -> Column:
+        def merged(lowest: Column) -> Column:
+            def around(made: Column, before: Column, behind: Column) -> Column:
+                def beside(x: Column, i: Column) -> Column:
+                    again = lambda ids: bound(lambda ids: ranked(ids, x.bitwiseAND(F.lit(place << both))), ids)
+                    return F.when(i == behind, again(pair(made, x.bitwiseAND(never)))).when(i == before, again(pair(left(x), made))).otherwise(x)
 
-            return let(F.coalesce(F.array_min(pairs), F.lit(NEVER << 3 * PLACES)), at_lowest)
+                return F.transform(F.array_remove(pairs, lowest), beside)
 
-        def ids(pairs: Column) -> Column:
-            known = lambda start, end: let(piece(hexed, start, end), lambda part: rank_of(maps, part))
-            last = F.when(F.size(pairs) > 0, F.array(known(field(F.get(pairs, F.size(pairs) - 1), 1), n))).otherwise(F.array(rank_of(maps, hexed)))
-            return F.concat(F.transform(pairs, lambda x: known(field(x, 2), field(x, 1))), last)
+            at = F.array_position(pairs, lowest).cast("int")
+            return F.when(lowest >= F.lit(NEVER << both + PLACES), pairs).otherwise(bound(around, F.shiftright(lowest, both + PLACES), at - 2, at - 1))
 
-        n = (F.length(hexed) / 2).cast("int")
-        places = F.sequence(F.lit(0), n - 2)
-        return F.aggregate(places, F.transform(places, lambda i: pair(i, i + 1, i + 2)), merge, ids)
+        return bound(merged, F.array_min(pairs))
 
-    def folded(hexed: Column) -> Column:
-        return F.coalesce(F.when(rank_of(maps, hexed).isNotNull(), F.array(rank_of(maps, hexed))), begin(hexed))
+    def folded(parts: Column) -> Column:
+        ids = F.transform(parts, lambda x, i: pair(x, F.coalesce(F.get(parts, i + 1), never)))
+        return F.aggregate(parts, F.transform(ids, lambda x, i: ranked(x, F.shiftleft(i.cast("long"), both))), merge, lambda pairs: F.transform(pairs, lambda x: left(x).cast("int")))
 
-    return let(F.hex(F.encode(word, "UTF-8")), folded)
+    letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+    return bound(folded, F.transform(letters, lambda x: F.get(bytes_ids, F.ascii(x))))
 
 
-def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for a long piece: a heap of pairs over a linked list of parts."""
+def merge_long(piece: bytes, ranks: dict[bytes, int], below: int = NEVER) -> list[int]:
+    """The same merges for a long piece: a heap of pairs over a linked list of parts; of ranks `below` a given one."""
     n = len(piece)
     end, left, right = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2], NEVER)) < below]
     heapq.heapify(heap)
     alive = [True] * n
     while heap:
@@ -131,9 +158,9 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         end[i], right[i], alive[j] = stop, right[j], False
         if right[i] < n:
             left[right[i]] = i
-            if (r := ranks.get(piece[i : end[right[i]]])) is not None:
+            if (r := ranks.get(piece[i : end[right[i]]], NEVER)) < below:
                 heapq.heappush(heap, (r, i, end[right[i]]))
-        if left[i] >= 0 and (r := ranks.get(piece[left[i] : stop])) is not None:
+        if left[i] >= 0 and (r := ranks.get(piece[left[i] : stop], NEVER)) < below:
             heapq.heappush(heap, (r, left[i], stop))
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
@@ -176,8 +203,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], remembered: int, longest: i
 def encode_decode(docs: DataFrame, ranks_path: str, remembered: int = 1 << 18, longest: int = 512) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per document."""
     ranks = read_ranks(ranks_path)
-    if max(ranks.values()) >= NEVER or longest >= 1 << PLACES:
-        raise ValueError(f"ranks must stay below {NEVER} and folded pieces below {1 << PLACES} bytes")
+    if max(ranks.values()) >= NEVER or longest > 1 << PLACES:
+        raise ValueError(f"ranks must stay below {NEVER} and folded pieces within {1 << PLACES} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = {rank: piece for piece, rank in ranks.items()}

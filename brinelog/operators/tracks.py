@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, wrap_lon
+from ..session import spread
 from ..sources.written import saved
 from .folds import first_dwells, stays_near
 
@@ -32,19 +33,19 @@ def at(moment, part: str):
 
 def paired(places: DataFrame, moments: DataFrame, keys: list[str]) -> DataFrame:
     """Places of vessels with the moments of the same keys, which may be few: the places of a key are dealt out, DEALT or so at a
-    time, and its moments go to each deal, so that no task has a key to itself."""
+    time, and its moments go to each deal, so that no task has a key to itself. Few bytes make many pairs here, so tasks aren't cut by bytes."""
     deals = places.groupBy(*keys).agg(F.ceil(F.count("*") / DEALT).alias("deals"))
     dealt = places.join(deals, keys).withColumn("deal", F.pmod(F.xxhash64("mmsi"), F.col("deals"))).drop("deals")
     copies = moments.join(deals, keys).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
-    return dealt.join(copies, [*keys, "deal"]).drop("deal")
+    return spread(dealt, *keys, "deal").join(spread(copies, *keys, "deal"), [*keys, "deal"]).drop("deal")
 
 
-def interpolate(track: DataFrame, moments: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
-    """Every vessel's position at every moment (`t`, any other columns) that its track brackets within max_gap.
+def interpolate(track: DataFrame, moments: DataFrame, max_gap: float = MAX_GAP, digits: int | None = None) -> DataFrame:
+    """Every vessel's position (rounded to `digits`, if given) at every moment (`t`, any other columns) that its track brackets within max_gap.
 
     The first segment that brackets a moment counts, so a moment on a ping belongs to the segment that ends there, and
     to none if that one is too long. Segments and distinct moments meet by hour, never as a cross product; rows of one moment
-    share each vessel's place. A vessel with a single position is taken to be there within max_gap."""
+    share each vessel's place, which is rounded once for all of them. A vessel with a single position is taken to be there within max_gap."""
     hour = lambda t: F.floor(t / max_gap)
     moments = moments.withColumnRenamed("t", "moment")
     short = segments(track).where(F.col("dt") <= max_gap).withColumn("bucket", F.explode(F.sequence(hour(F.col("p_t")), hour(F.col("t")))))
@@ -57,7 +58,10 @@ def interpolate(track: DataFrame, moments: DataFrame, max_gap: float = MAX_GAP)
     single = track.groupBy("mmsi").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("t", "lat", "lon")]).where("n = 1")
     single = single.withColumn("bucket", F.explode(F.sequence(hour(F.col("t") - max_gap), hour(F.col("t") + max_gap))))
     lone = single.join(times, "bucket").where(F.abs(F.col("moment") - F.col("t")) <= max_gap).select(*keep, "lat", "lon")
-    return paired(saved(met.unionByName(lone), "places"), moments, ["moment"]).select(*keep, *own.values(), "lat", "lon")
+    places = met.unionByName(lone)
+    if digits is not None:
+        places = places.withColumns({c: F.round(c, digits) for c in ("lat", "lon")})
+    return paired(saved(places, "places"), moments, ["moment"]).select(*keep, *own.values(), "lat", "lon")
 
 
 def near_moments(segs: DataFrame, track: DataFrame, moments: DataFrame, reach_km: float, max_gap: float = MAX_GAP) -> DataFrame:

@@ -109,7 +109,7 @@ met AS (SELECT particle_id, mmsi, at_lat, at_lon, p_lat + (moment - p_t) / dt *
 
 @query(f"WITH {AIS}, {SEG}, {PARTICLES}, {INTERP} SELECT mmsi, particle_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM met")
 def interp_at_particle_time(spark: SparkSession, sf: str) -> DataFrame:
-    return T.interpolate(positions(spark, sf), particles(spark, sf).select("t", "particle_id")).select("mmsi", F.col("m_particle_id").alias("particle_id"), *r6("lat", "lon"))
+    return T.interpolate(positions(spark, sf), particles(spark, sf).select("t", "particle_id"), digits=6).select("mmsi", F.col("m_particle_id").alias("particle_id"), "lat", "lon")
 
 
 @query(f"""WITH {AIS}, {SEG}, pts AS (SELECT mmsi, lat, lon FROM ais UNION ALL SELECT mmsi, p_lat + k / 12.0::DOUBLE * (lat - p_lat), {wrap(f"p_lon + k / 12.0::DOUBLE * {wrap('lon - p_lon')}")} FROM seg, range(1, 12) r(k) WHERE dt > 0 AND dt <= 3600)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, verdict
+from ..session import spread
 from ..sources.written import saved
 from . import tracks
+from .sums import near_sums
 
+DEALT, CHUNK = 1 << 14, 1 << 17
 
 def origin(particles: DataFrame) -> DataFrame:
     """One row: mean place, number, time of the middle particle, and root mean square distance to the mean place."""
@@ -20,11 +24,31 @@ def origin(particles: DataFrame) -> DataFrame:
 
 
 def soft_capture(track: DataFrame, particles: DataFrame, radius_km: float, segs: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
-    """mmsi (and by), weight, captured: Gaussian weights of the particles within 1.5 radii of the vessel at their release time."""
-    sigma = radius_km / 2
-    met = tracks.met_moments(segs or tracks.segments(track), track, particles, 3 * sigma)
-    weight = F.when(F.col("km") <= 3 * sigma, F.exp(-0.5 * F.pow(F.col("km") / sigma, 2)))
-    return met.groupBy(*(by or []), "mmsi").agg(F.sum(weight).alias("weight"), F.count(weight).alias("captured")).where("captured > 0")
+    """mmsi (and by), weight, captured: Gaussian weights of the particles within 1.5 radii of the vessel at their release time.
+
+    Vessels and particles of one time and cell (and by) are dealt out, DEALT vessels and CHUNK particles or so at a time; a task sums up
+    what each of its vessels meets (`near_sums`), so pairs are neither written nor made one by one."""
+    by, sigma = by or [], radius_km / 2
+    places, own = tracks.placed_near(segs or tracks.segments(track), track, particles, 3 * sigma)
+    own = own.select(*tracks.SPOTS, *[F.col(f"m_{c}").alias(f"by_{c}") for c in by], F.col("m_lat").alias("p_lat"), F.col("m_lon").alias("p_lon"))
+    groups = [*tracks.SPOTS, *[f"by_{c}" for c in by]]
+    deals = places.groupBy(*tracks.SPOTS).agg(F.ceil(F.count("*") / DEALT).alias("deals"))
+    chunks = own.groupBy(*groups).agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    sizes = saved(chunks.join(deals, tracks.SPOTS), "sizes")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    vessels = places.join(sizes, tracks.SPOTS).select(*groups, F.pmod(F.xxhash64("mmsi"), F.col("deals")).alias("deal"), each("chunks").alias("chunk"), "mmsi", "lat", "lon")
+    cloud = own.join(sizes, groups).select(*groups, each("deals").alias("deal"), F.pmod(F.xxhash64("p_lat", "p_lon"), F.col("chunks")).alias("chunk"), "p_lat", "p_lon")
+
+    def run(vessels: pa.Table, cloud: pa.Table) -> pa.Table:
+        lat, lon, p_lat, p_lon = (t.column(c).to_numpy() for t, cs in ((vessels, ("lat", "lon")), (cloud, ("p_lat", "p_lon"))) for c in cs)
+        weight, captured = near_sums(lat, lon, p_lat, p_lon, sigma, 3 * sigma)
+        met = vessels.select([*[f"by_{c}" for c in by], "mmsi"]).rename_columns([*by, "mmsi"])
+        return met.append_column("weight", pa.array(weight)).append_column("captured", pa.array(captured)).filter(pa.array(captured > 0))
+
+    kinds = [f"`{c}` {t.simpleString()}" for c, t in (*((c, particles.schema[c].dataType) for c in by), ("mmsi", places.schema["mmsi"].dataType))]
+    keys = [*groups, "deal", "chunk"]
+    met = spread(vessels, *keys).groupBy(*keys).cogroup(spread(cloud, *keys).groupBy(*keys)).applyInArrow(run, f"{', '.join(kinds)}, weight double, captured long")
+    return met.groupBy(*by, "mmsi").agg(F.sum("weight").alias("weight"), F.sum("captured").alias("captured"))
 
 
 def global_rank(df: DataFrame, score: str, name: str) -> DataFrame:

@@ -14,6 +14,7 @@ from .folds import first_dwells, stays_near
 
 MAX_GAP = 3600.0
 DEALT = 1 << 12
+SPOTS = ["m_t", "m_cy", "m_cx"]  # a time and a cell
 
 
 def segments(track: DataFrame) -> DataFrame:
@@ -70,11 +71,19 @@ def near_moments(segs: DataFrame, track: DataFrame, moments: DataFrame, reach_km
 
 
 def met_moments(segs: DataFrame, track: DataFrame, moments: DataFrame, reach_km: float, max_gap: float = MAX_GAP) -> DataFrame:
-    """As `near_moments`, with some that lie farther away: a filter would have Spark compute every distance twice.
+    """As `near_moments`, with some that lie farther away: a filter would have Spark compute every distance twice."""
+    places, own = placed_near(segs, track, moments, reach_km, max_gap)
+    near = paired(places, own, SPOTS).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("m_lat"), F.col("m_lon")))
+    return near.select("mmsi", "km", *[F.col(f"m_{c}").alias(c) for c in moments.columns])
+
+
+def placed_near(segs: DataFrame, track: DataFrame, moments: DataFrame, reach_km: float, max_gap: float = MAX_GAP) -> tuple[DataFrame, DataFrame]:
+    """Written tables that meet by `SPOTS`: mmsi, lat, lon of vessels, and the moments (all columns as m_*); what lies within `reach_km`
+    meets, and some that doesn't.
 
     As `interpolate`, but segments and moments meet by hour and cell, so that what is far apart never meets: cells come in
     sizes of 360 degrees over powers of two, a segment lies in the few cells of the size that its box (widened by the
-    reach) calls for, and a moment in one cell of each size. Moments of one time in one smallest cell meet a vessel together;
+    reach) calls for, and a moment in one cell of each size; segments outside an hour's first and last moment lie in none. Moments of one time in one smallest cell meet a vessel together;
     it is placed once for all of them."""
     degrees = reach_km / 111.0
     finest = max(0, int(math.floor(math.log2(360.0 / degrees))))
@@ -84,30 +93,32 @@ def met_moments(segs: DataFrame, track: DataFrame, moments: DataFrame, reach_km:
     hour = lambda t: F.floor(t / max_gap)
     keys = ["bucket", "level", "cy", "cx"]
 
+    others = {c: f"m_{c}" for c in moments.columns}
+    own = moments.withColumnsRenamed(others).withColumn("level", F.lit(finest))
+    own = saved(own.withColumn("m_cy", cell(F.col("m_lat"))).withColumn("m_cx", around(cell(F.col("m_lon")))).drop("level"), "moments")
+    hours = saved(own.groupBy(hour(F.col("m_t")).alias("bucket")).agg(F.min("m_t").alias("m_first"), F.max("m_t").alias("m_last")), "hours")
+
     def dealt(rows: DataFrame, lat0, lat1, lon0, lon1, since, until) -> DataFrame:
+        rows = rows.withColumn("bucket", F.explode(F.sequence(hour(since), hour(until)))).join(hours, "bucket")
+        rows = rows.where((F.col("m_first") <= until) & (F.col("m_last") >= since)).drop("m_first", "m_last")
         wide = degrees / F.greatest(F.lit(0.02), F.cos(F.radians(F.greatest(F.abs(lat0), F.abs(lat1)) + degrees)))
         extent = F.greatest(F.greatest(lat0, lat1) - F.least(lat0, lat1) + 2 * degrees, F.greatest(lon0, lon1) - F.least(lon0, lon1) + 2 * wide)
         rows = rows.withColumn("level", F.greatest(F.lit(0), F.least(F.lit(finest), F.floor(F.log2(360.0 / extent)).cast("int"))))
         cells = lambda a, b, by: F.sequence(cell(F.least(a, b) - by), cell(F.greatest(a, b) + by))
-        rows = rows.withColumn("bucket", F.explode(F.sequence(hour(since), hour(until)))).withColumn("cy", F.explode(cells(lat0, lat1, degrees)))
+        rows = rows.withColumn("cy", F.explode(cells(lat0, lat1, degrees)))
         return rows.withColumn("cx", F.explode(F.array_distinct(F.transform(cells(lon0, lon1, wide), around))))
 
     lat, lon, p_lat, p_lon = (F.col(c) for c in ("lat", "lon", "p_lat", "p_lon"))
     short = segs.where(F.col("dt") <= max_gap).withColumn("u_lon", p_lon + wrap_lon(lon - p_lon))
     short = dealt(short, p_lat, lat, p_lon, F.col("u_lon"), F.col("p_t"), F.col("t"))
-    others = {c: f"m_{c}" for c in moments.columns}
-    own = moments.withColumnsRenamed(others).withColumn("level", F.lit(finest))
-    own = saved(own.withColumn("m_cy", cell(F.col("m_lat"))).withColumn("m_cx", around(cell(F.col("m_lon")))).drop("level"), "moments")
-    spots = ["m_t", "m_cy", "m_cx"]
-    times = own.select(*spots).distinct().withColumn("bucket", hour(F.col("m_t"))).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(finest))))
+    times = own.select(*SPOTS).distinct().withColumn("bucket", hour(F.col("m_t"))).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(finest))))
     up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), finest - F.col("level")))
     times = saved(times.withColumn("cy", up("m_cy")).withColumn("cx", up("m_cx")), "times")
     inside = ((F.col("p_t") < F.col("m_t")) | (F.col("first_segment") & (F.col("p_t") == F.col("m_t")))) & (F.col("m_t") <= F.col("t"))
-    met = short.join(times, keys).where(inside).select("mmsi", *spots, at(F.col("m_t"), "lat").alias("lat"), at(F.col("m_t"), "lon").alias("lon"))
+    met = short.join(times, keys).where(inside).select("mmsi", *SPOTS, at(F.col("m_t"), "lat").alias("lat"), at(F.col("m_t"), "lon").alias("lon"))
     single = track.groupBy("mmsi").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("t", "lat", "lon")]).where("n = 1")
-    lone = dealt(single, lat, lat, lon, lon, F.col("t") - max_gap, F.col("t") + max_gap).join(times, keys).where(F.abs(F.col("m_t") - F.col("t")) <= max_gap).select("mmsi", *spots, "lat", "lon")
-    near = paired(saved(met.unionByName(lone), "places"), own, spots).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("m_lat"), F.col("m_lon")))
-    return near.select("mmsi", "km", *[F.col(n).alias(o) for o, n in others.items()])
+    lone = dealt(single, lat, lat, lon, lon, F.col("t") - max_gap, F.col("t") + max_gap).join(times, keys).where(F.abs(F.col("m_t") - F.col("t")) <= max_gap).select("mmsi", *SPOTS, "lat", "lon")
+    return saved(met.unionByName(lone), "places"), own
 
 
 def closest_approach(track: DataFrame, lat: float, lon: float, t: float, window: float = 48 * 3600.0, max_gap: float = MAX_GAP) -> DataFrame:

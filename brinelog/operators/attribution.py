@@ -72,11 +72,12 @@ def attribute(track: DataFrame, particles: DataFrame, radius_km: float = 5.0, pr
         lat, lon = first["o_lat"], first["o_lon"]
     segs = saved(tracks.segments(track), "segments")  # speed drops, gaps and the capture all read them
     behaviour = tracks.behavioural_factor(tracks.anomalies(track, lat, lon, segs))
-    vessels = track.select("mmsi").distinct().join(soft_capture(track, particles, radius_km, segs), "mmsi", "left").join(behaviour, "mmsi", "left").crossJoin(F.broadcast(o.select("n", "spread_km")))
+    caught = saved(soft_capture(track, particles, radius_km, segs), "caught")
+    vessels = track.select("mmsi").distinct().join(caught, "mmsi", "left").join(behaviour, "mmsi", "left").crossJoin(F.broadcast(o.select("n", "spread_km")))
     wide = F.greatest(F.col("spread_km"), F.lit(sigma))
     unknown_likelihood = F.least(F.lit(1.0), F.lit(2 * math.pi * sigma * sigma) / (math.pi * wide * wide))
     likely = vessels.select("mmsi", F.coalesce("captured", F.lit(0)).alias("captured"), (F.coalesce("weight", F.lit(0.0)) / F.col("n")).alias("likelihood"), F.coalesce("factor", F.lit(1.0)).alias("factor"), (prior_unknown * unknown_likelihood).alias("u"))
-    mass = likely.withColumn("mass", (1 - prior_unknown) * F.col("likelihood") * F.col("factor"))
+    mass = saved(likely.withColumn("mass", (1 - prior_unknown) * F.col("likelihood") * F.col("factor")), "mass")  # the evidence, ranks and posteriors read it
     evidence = mass.agg((F.sum("mass") + F.max("u")).alias("evidence"))
     shared = mass.crossJoin(F.broadcast(evidence))
     posterior = shared.select("mmsi", "captured", "likelihood", "factor", F.when(F.col("evidence") > 0, F.col("mass") / F.col("evidence")).otherwise(0.0).alias("posterior"), F.when(F.col("evidence") > 0, F.col("u") / F.col("evidence")).otherwise(1.0).alias("unknown"))
@@ -109,7 +110,7 @@ def attribute_cases(track: DataFrame, particles: DataFrame, radius_km: float = 5
     gaps = pairs.join(tracks.longest_gap(track, segs), "mmsi").join(cases.select("drift_id", "o_lat", "o_lon"), "drift_id")
     gap_ratio = tracks.classed_gaps(gaps, F.col("o_lat"), F.col("o_lon")).select("drift_id", "mmsi", F.col("ratio").alias("gap_ratio"))
     own = tracks.behavioural_factor(tracks.speed_drops(track, segs).unionByName(tracks.loitering(track))).select("mmsi", "factor")
-    caught = soft_capture(track, particles, radius_km, segs, ["drift_id"])
+    caught = saved(soft_capture(track, particles, radius_km, segs, ["drift_id"]), "caught")
     rows = pairs.join(caught, ["drift_id", "mmsi"], "left").join(gap_ratio, ["drift_id", "mmsi"], "left").join(own, "mmsi", "left").join(cases.select("drift_id", "n"), "drift_id")
     likelihood, one = F.coalesce("weight", F.lit(0.0)) / F.col("n"), F.lit(1.0)
     vessels = rows.select("drift_id", "mmsi", F.coalesce("captured", F.lit(0)).alias("captured"), likelihood.alias("likelihood"), (F.coalesce("factor", one) * F.coalesce("gap_ratio", one)).alias("factor"))

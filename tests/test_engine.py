@@ -256,3 +256,19 @@ def test_seals_escape_as_plain_json_does(spark):
     found = spark.createDataFrame(rows, "k int, m map<string,string>").select("k", evidence.canonical(F.col("m"), ("created_at",)).alias("c")).collect()
     for r in found:
         assert r.c == json.dumps({k: v for k, v in rows[r.k][1].items() if k != "created_at"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_folds_of_tracks_go_by_arrow_batches_and_keep_the_whole_order(spark):
+    kind = "mmsi long, ordinal long, t double, lat double, lon double"
+    rows = [(m, i, 60.0 * i, 10.0, 20.0 + (0 if m % 2 else 0.03 * i)) for m in range(6) for i in range(90)]  # odd ones stay, for longer than FEW positions
+    rows += [(1, 100, None, 50.0, 50.0), (1, 101, 61.0, None, 50.0), (None, 0, 0.0, 1.0, 1.0)]
+    frame = spark.createDataFrame(rows[::-1], kind)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        dwells, stays = folds.first_dwells(frame, 2.0, 3600.0), folds.stays_near(frame, 2.0, 3600.0)
+        for found in (dwells, stays):
+            assert "UDTF" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.mmsi: r.dwell for r in dwells.collect()} == {1: 3660.0, 3: 3660.0, 5: 3660.0}
+        assert {r.mmsi for r in stays.collect()} == {1, 3, 5}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -4,7 +4,9 @@ import json
 
 import numpy as np
 
-from brinelog.operators import dossiers
+from pyspark.sql import functions as F
+
+from brinelog.operators import documents, dossiers
 from brinelog.plans.scenes import picture
 from brinelog.sources import rasters, records
 
@@ -50,3 +52,19 @@ def test_truth_masks_are_the_pictures_of_the_manifest(spark, tmp_path):
     manifest = spark.createDataFrame([("one", "truth/a.png"), ("two", "./truth/b.png"), ("three", None), ("four", "truth/gone.png"), ("five", "truth/a.png")], "scene string, truth string")
     found = {(r.scene, r.y, r.x): r.m for r in rasters.truth_masks(spark, manifest, str(folder)).collect()}
     assert found == {(s, y, x): bool(v) for s in ("one", "five") for (y, x, _), v in np.ndenumerate(mask)}
+
+
+def test_a_dossier_is_told_without_a_row_that_holds_it(spark, monkeypatch):
+    runs = spark.createDataFrame([(1, "done", 2), (2, "done", 1), (3, None, None)], "run_id long, status string, suspects_ranked int")
+    regions = spark.createDataFrame([(1, 100 - i, float(i), None) for i in range(30)] + [(2, 200, 1.0, "n"), (9, 300, 1.0, "n")], "run_id long, region_id long, area double, note string")
+    drifts = spark.createDataFrame([(r, r * 10 + k, 3600.0 * k, "e") for r in (80, 85, 90, 200) for k in (0, 1)], "region_id long, drift_id long, origin_t double, engine string")
+    particles = spark.createDataFrame([(801, i, float(i), -float(i)) for i in range(7)], "drift_id long, ordinal long, lat double, lon double")
+    suspects = spark.createDataFrame([(1, r, 500 + r, None) for r in (3, 1, 2)] + [(9, 1, 501, 0.1)], "run_id long, rank int, mmsi long, posterior double")
+    tracks = spark.createDataFrame([(501, 600.0 * i, float(i)) for i in range(5)] + [(502, 1e9, 1.0)], "mmsi long, t double, lat double")
+    given = (runs, regions, drifts, particles, suspects, tracks)
+    want = documents.flattened_variants(dossiers.dossier(*given, most=3), "run_id", "payload")
+    longest, real = [], dossiers.flattened_variants
+    monkeypatch.setattr(dossiers, "flattened_variants", lambda rows, *names: longest.append(rows.agg(F.max(F.length(F.to_json("v")))).first()[0]) or real(rows, *names))
+    found = dossiers.told(*given, most=3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.select(*found.columns).collect()))
+    assert longest[0] < 300

@@ -153,9 +153,11 @@ def legacy_codes(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{BY_CASE}, {PLACED}, {FLAGS}, bad AS (SELECT mmsi, count(*) AS n_flags, bool_or(severity >= 0.7) AS bad FROM best GROUP BY 1) SELECT drift_id, rk.mmsi, rank, round(posterior, 6) AS posterior, NOT coalesce(bad, false) AS plausible, coalesce(n_flags, 0) AS n_flags FROM rk LEFT JOIN bad ON rk.mmsi = bad.mmsi WHERE drift_id + 21 IN (SELECT region_id FROM placed WHERE centroid_lat IS NOT NULL)")
 def cases_from_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Regions 21 to 24 are the cases'; some are too small, some have no place: their drifts go no further."""
-    regions = G.georeferenced(G.measured(outlines(spark, sf)), F.lit(1200), F.lit(900), F.col("bbox"))
     p = particles(spark, sf).withColumn("drift_id", F.col("particle_id") % 4).withColumn("region_id", F.col("drift_id") + 21)
-    found = A.run_cases(regions, p, positions(spark, sf), p.select("drift_id", "region_id").distinct(), RADIUS)
+    times = p.select("drift_id", "region_id").distinct()
+    own = outlines(spark, sf).join(times.select("region_id"), "region_id", "left_semi")  # each region is measured by itself, so only those that have drifts
+    regions = G.georeferenced(G.measured(own), F.lit(1200), F.lit(900), F.col("bbox"))
+    found = A.run_cases(regions, p, positions(spark, sf), times, RADIUS)
     return found.select("drift_id", "mmsi", "rank", *r6("posterior"), "plausible", "n_flags")
 
 
